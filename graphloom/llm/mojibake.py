@@ -7,7 +7,7 @@ undone one after the other while the garbling cost drops, so text that was garbl
   form whole UTF-8 sequences. The first accepted stretch needs evidence of its own, a drop of the cost around it; further
   stretches of the same layer in the same text then only need to decode to plausible characters.
 * Single-byte layers (one legacy encoding read as another) always decode, so words decide: the words with non-ASCII
-  letters of each line are converted and the change is kept where the cost over these words drops by more than a margin.
+  characters of each sentence are converted, and the change is kept where their cost drops by more than a margin.
 
 The cost counts what clean text of any of the supported scripts does not show: control characters of the C1 range,
 symbols glued to letters, letters of two scripts side by side, capital letters behind small ones, letters that are rare
@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Legacy encodings under which UTF-8 may have been read, the usual ones first.
-LEGACY = ("cp1252", "latin_1", "mac_roman", "cp1251", "cp1256", "cp437", "cp850", "cp1250", "koi8_r", "cp866", "iso8859_2", "cp1253", "cp1254", "mac_cyrillic", "iso8859_15")
+LEGACY = ("cp1252", "latin_1", "mac_roman", "cp1251", "cp1256", "cp437", "cp850", "cp1250", "koi8_r", "cp866", "iso8859_2", "cp1253", "cp1254", "mac_cyrillic")
 #: (read as, written as) of single-byte layers.
 SINGLE = (
     ("latin_1", "cp1251"), ("cp1252", "cp1251"), ("latin_1", "koi8_r"), ("cp1252", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"),
     ("mac_cyrillic", "cp1251"), ("cp1252", "cp866"), ("cp437", "cp866"), ("mac_roman", "cp1251"),
-    ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("cp1253", "cp1252"), ("koi8_r", "cp1252"), ("cp866", "cp1252"),
+    ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1251", "cp1252"), ("cp1253", "cp1252"), ("koi8_r", "cp1252"), ("cp866", "cp1252"),
     ("cp1252", "cp1256"), ("latin_1", "cp1256"), ("cp1251", "cp1256"), ("cp437", "cp1256"), ("mac_roman", "cp1256"),
     ("cp1256", "cp1252"),
 )
@@ -73,15 +73,15 @@ def stretches(name: str) -> re.Pattern:
 
 
 #: Characters that clean text glues to no letter in front of them.
-_GLUED = "¡¢£¤¥¦§¨©ª¬®¯°±´µ¶·¸º¼½¾¿ƒˆˇ˘˙˚˛˜˝‚„†‡•‰‹€™∂∆∏∑√∞∫≈≠≤≥◊⌐∙⌠⌡"
+_GLUED = "¡¢£¤¥¦§¨©ª¬¯°±´µ¶·¸º¼½¾¿ƒˆˇ˘˙˚˛˜˝‚„†‡•‰‹€∂∆∏∑√∞∫≈≠≤≥◊⌐∙⌠⌡"
 _BOXES = "─-▟■"
 #: Cyrillic letters outside the Russian alphabet.
 _RARE_CYR = "ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЄЇІіґєјЅѕї"
 _RARE_ARA = "ٹڈڑںھہےۂۀؤإأٱًٌٍَُِّْةيىك"
 _ODD = [
     (re.compile("[\x80-\x84\x86-\x9f]"), 2),
-    (re.compile(f"(?<=[^\\W\\d_])[{re.escape(_GLUED)}{_BOXES}]|[{re.escape('ƒ†‡‰‹€√∂∫¬¢£¥¤¦¨©ª®¯´¶·¸º¼½¾˜ˆ˙˚˘˛˝ˇ')}{_BOXES}](?=[^\\W\\d_])"), 1),
-    (re.compile(f"[{re.escape(_GLUED + 'ÂÃÐÑØÙÎÏâîïãåð')}{_BOXES}](?=[{re.escape(_GLUED + '“”’‘–—»«ÂÃ³²¹')}{_BOXES}])"), 1),
+    (re.compile(f"(?<=[^\\W\\d_])[{re.escape(_GLUED)}┌-▟■]|[{re.escape('ƒ†‡‰‹€√∂∫∞≤≥¬¢£¥¤¦¨©ª®¯´¶·¸º¼½¾˜ˆ˙˚˘˛˝ˇ')}┌-▟■](?=[^\\W\\d_])"), 1),
+    (re.compile(f"[{re.escape(_GLUED + 'ÂÃÐÑØÙÎÏâîïãåð')}╨╤╪┬](?=[{re.escape(_GLUED + '“”’‘–—»«ÂÃ³²¹')}{_BOXES}])|├(?=[^─\\s├])"), 1),
     (re.compile("(?<=[A-Za-zÀ-ɏ])[Ѐ-ӿ؀-ۿ]|(?<=[Ѐ-ӿ])[A-Za-zÀ-ɏ؀-ۿ]|(?<=[؀-ۿ])[A-Za-zÀ-ɏЀ-ӿ]"), 1),
     (re.compile(r"(?<=[a-zß-öø-ÿа-я])[À-ÖØ-ÞА-ЯЀ-Џ]|(?<=[À-ÖØ-Þ][À-ÖØ-Þ])[à-öø-ÿ]"), 1),
     (re.compile(f"(?<=[А-я])[{_RARE_CYR}]|[{_RARE_CYR}](?=[А-я])"), 1),
@@ -96,6 +96,16 @@ def cost(s: str) -> int:
     return sum(w * len(p.findall(s)) for p, w in _ODD)
 
 
+#: What clean texts hold besides ASCII; other characters count as rare.
+_COMMON = set("éèàùâêîôûçëïüñáíóúäößœåšÉÈÀÂÊÎÔÇÑÁÍÓÚÄÖÜ¿¡αβγδωабвгдежзийклмнопрстуфхцчшщъыьэюяёАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁاینردهمتوبسشکزلگفخعقجپحآصچطذضژظغثئءأؤ،؛؟’“”—–«»°±²₂№•…‌ 🧬💊🧠🔬🤒😀→")
+_UNCOMMON = re.compile("[^\\x00-\\x7f" + "".join(_COMMON) + "]")
+
+
+def score(s: str) -> int:
+    """Cost and the number of rare characters."""
+    return 2 * cost(s) + len(_UNCOMMON.findall(s))
+
+
 _FINE_SYMBOLS = set(" ​‌‍‎‏  ﻿­")
 
 
@@ -103,13 +113,20 @@ _FINE_SYMBOLS = set(" ​‌‍‎‏  ﻿­")
 def plausible(ch: str) -> bool:
     """Whether a decoded character may stand in the texts of this corpus."""
     o = ord(ch)
-    if ch in _FINE_SYMBOLS or 0xA1 <= o <= 0x17F or 0x218 <= o <= 0x21B or 0x391 <= o <= 0x3C9 or 0x401 <= o <= 0x491:
+    if ch in _FINE_SYMBOLS or 0xA1 <= o <= 0x17F or 0x218 <= o <= 0x21B or 0x391 <= o <= 0x3C9 or 0x401 <= o <= 0x45F or o in (0x490, 0x491):
         return True
     if 0x600 <= o <= 0x6FF:
         return ch in "،؛؟ءآأؤإئابةتثجحخدذرزسشصضطظعغـفقكلمنهوىيًٌٍَُِّْ٠١٢٣٤٥٦٧٨٩٪٫٬پچژکگیۀۀ۰۱۲۳۴۵۶۷۸۹"
-    if o < 0xA1 or 0xD800 <= o < 0xE000:
-        return 0x80 <= o < 0xA0  # a control character of a further layer
-    return unicodedata.category(ch) not in ("Cn", "Co", "Cs", "Cc") and (0x1E00 <= o <= 0x1EFF or 0x2000 <= o <= 0x2BFF or 0x3000 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7FF or 0x900 <= o <= 0xE7F or 0xFE00 <= o <= 0xFE0F or o >= 0x1F000 or 0xFB00 <= o <= 0xFEFF)
+    if o < 0xA1:
+        return 0x80 <= o  # a control character of a further layer
+    if o in (0x2C6, 0x2C7, 0x192, 0x402) or 0x2D8 <= o <= 0x2DD:  # signs of the legacy encodings
+        return True
+    blocks = ((0x1E00, 0x1EFF), (0x2010, 0x2044), (0x2070, 0x209C), (0x20A0, 0x20BF), (0x2100, 0x218F), (0x2190, 0x22FF), (0x2300, 0x23FF), (0x2500, 0x27BF), (0x3000, 0x9FFF), (0xAC00, 0xD7A3), (0x900, 0xE7F), (0xFB00, 0xFEFF), (0x1F000, 0x1FAFF))
+    return any(x <= o <= y for x, y in blocks) and unicodedata.category(ch) not in ("Cn", "Co", "Cs", "Cc")
+
+
+def _is_arabic(s: str) -> bool:
+    return all("\u0600" <= c <= "ۿ" for c in s)
 
 
 def _decoded(s: str, name: str) -> str | None:
@@ -118,14 +135,16 @@ def _decoded(s: str, name: str) -> str | None:
         out = bytes(table[c] for c in s).decode("utf-8")
     except (KeyError, UnicodeDecodeError):
         return None
-    return out if all(map(plausible, out)) else None
+    if not all(map(plausible, out)) or _is_arabic(s) and not _is_arabic(out):
+        return None
+    return out
 
 
 def undo_multibyte(text: str) -> str | None:
     """One multi-byte layer less, or None."""
-    if not _ANY_ODD.search(text):  # no cost, so none can drop
+    if not _ANY_ODD.search(text) and not _UNCOMMON.search(text):  # nothing that could drop
         return None
-    best: tuple[int, str] | None = None
+    best: tuple[tuple[int, int], str] | None = None
     for name in LEGACY:
         found = [(m.start(), m.end(), d) for m in stretches(name).finditer(text) if (d := _decoded(m.group(), name)) is not None]
         if not found:
@@ -133,7 +152,8 @@ def undo_multibyte(text: str) -> str | None:
         proof = 0
         for a, b, d in found:
             left, right = text[max(0, a - 2) : a], text[b : b + 2]
-            proof = max(proof, cost(left + text[a:b] + right) - cost(left + d + right))
+            if not _is_arabic(text[a:b]):
+                proof = max(proof, score(left + text[a:b] + right) - score(left + d + right))
             if proof > 0:
                 break
         if proof <= 0:
@@ -144,9 +164,9 @@ def undo_multibyte(text: str) -> str | None:
             at = b
         out.append(text[at:])
         new = "".join(out)
-        drop = cost(text) - cost(new)
-        if drop > 0 and (best is None or drop > best[0]):
-            best = (drop, new)
+        drop, covered = score(text) - score(new), sum(b - a for a, b, _ in found)
+        if drop > 0 and (best is None or (covered, drop) > best[0]):  # the true layer explains most characters
+            best = ((covered, drop), new)
     return best[1] if best else None
 
 
@@ -154,14 +174,17 @@ def undo_multibyte(text: str) -> str | None:
 #: Latin-script languages here.
 _RUS = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 _PER = "اینردهمتوبسشکزلگفخعقجپحآصچطذضژظغثئءأؤ"
-_LAT = "éèàùâêîôûçëïüñáíóúäößœåšøæìòõãýÿ¿¡ìÉÈÀÂÊÎÔÇÑÁÍÓÚÄÖÜÅŠØ"
+_LAT = "éèàùâêîôûçëïüñáíóúäößœåšøæìòõãýÿÉÈÀÙÂÊÎÔÛÇËÏÜÑÁÍÓÚÄÖŒÅŠØÆÌÒÕÃ"
 _WORDS = re.compile("[^\\x00-\\x7f\\s]*[^\\W\\d_]*[^\\x00-\\x7f][^\\s,.;:()!?\"]*")
+#: Characters that were put in after the damage, or that no legacy encoding has.
+_KEPT = set("№�‌")
 _HIGH = re.compile("[^\\x00-\\x7f]")
 
 
 #: Signs that clean text has at word borders, and those it has inside words.
-_BORDER = set("“”—–«»°±²³₂№•…„‘’→≤≥×÷−√∞≈≠Δ§¼½µ‌\u200b\xa0\u202f")
+_BORDER = set("“”—–«»°±²³₂№•…„‘’→≤≥×÷−√∞≈≠Δ§¼½µ€£¥¢¶†‡©®™‌\u200b\xa0\u202f")
 _INNER = set("’‌²₂")
+_LINES = set("─│└├┌┐┘═║╬░▒▓")
 
 
 @lru_cache(65536)
@@ -188,17 +211,19 @@ def word_cost(w: str) -> float:
         elif c.isalpha():
             kinds.add("l")
             if not c.isascii():
-                total += 0.6 if c in _LAT else 4
-                if c.isupper() and prev.islower():
+                total += 0.6 if c in _LAT else 1.8 if c in "ÝÞÐýþð" else 2.5 if "Ā" <= c <= "ž" or "Ḁ" <= c <= "ỹ" else 4
+                if c.isupper() and i and w[i + 1 : i + 2].islower():
+                    total += 4
+                elif c.isupper() and prev.islower():
                     total += 3
                 if prev and not prev.isascii() and prev.isalpha():
-                    total += 1.5
+                    total += 2
         elif not c.isascii():
-            inside = prev.isalpha() and w[i + 1 : i + 2].isalpha()
+            inside = prev.isalpha() and any(x.isalpha() for x in w[i + 1 :])
             if c in _BORDER and not inside or c in _INNER or ord(c) >= 0x1F000:
-                total += 0.2
-            elif "─" <= c <= "▟" and not prev.isalpha():
-                total += 0.3
+                total += 1 if c in "«»" else 0.2
+            elif "─" <= c <= "▟":
+                total += 0.3 if c in _LINES else 3
             else:
                 total += 4 if prev.isalpha() else 2
         prev = c
@@ -213,28 +238,110 @@ def _swap(read: str, written: str) -> dict[int, str]:
     return {ord(c): back[b] for c, b in to.items() if b >= 0x80}
 
 
+_SENTENCES = re.compile(r"[^\n.!?]+[.!?]*\s*|[\n.!?]+\s*")
+
+
+_CYRILLIC = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
+
+
+@lru_cache(None)
+def _swaps() -> list[tuple[str, bool, dict[int, str]]]:
+    """(script of the words it can stand in, whether words change one by one, character map) of each single-byte layer."""
+    script = {**dict.fromkeys(_CYRILLIC, "c"), "cp1256": "a"}
+    return [(script.get(read, "l"), read not in script and written not in _CYRILLIC and written != "cp1256", _swap(read, written)) for read, written in SINGLE]
+
+
+def _script(w: str) -> str:
+    return "c" if any("Ѐ" <= c <= "ӿ" for c in w) else "a" if any("\u0600" <= c <= "ۿ" for c in w) else "l"
+
+
+#: Signs that may come out where a letter stood, at a word's border or as an apostrophe.
+_SIGNS = set("“”‘’«»¿¡")
+_LONE = _SIGNS | set("•–—…°²±№·→")
+
+
+@lru_cache(65536)
+def _converted(w: str, k: int) -> tuple[float, str] | None:
+    _, single, swap = _swaps()[k]
+    if any(c > "\x7f" and ord(c) not in swap and c not in _KEPT and ord(c) < 0x1F000 for c in w):
+        return None
+    new = w.translate(swap)
+    if single:
+        if len(w) > 1 and w.isalpha() and not any(map(str.isascii, w)):  # no word of a Latin-script language here
+            return None
+        lost = [i for i, (x, y) in enumerate(zip(w, new)) if x != y and x.isalpha() and not y.isalpha()]
+        signs = _LONE if len(w) == 1 else _SIGNS
+        if any(new[i] not in signs or 0 < i < len(w) - 1 and new[i] != "’" for i in lost) or len(lost) == len(w) > 1:
+            return None
+    return word_cost(new), new
+
+
+def _gain(words: list[str], k: int) -> tuple[float, float, dict[str, str]]:
+    """(drop of the cost, cost before, changed words) of a sentence's words of one script under layer ``k``.
+
+    Where both encodings are Latin, words change one by one, if their own cost does not rise; else all words of the
+    script change together or not at all.
+    """
+    single = _swaps()[k][1]
+    drop = before = 0.0
+    change = {}
+    for w in words:
+        got = _converted(w, k)
+        if got is None:
+            if single:
+                continue
+            return 0.0, 0.0, {}
+        old = word_cost(w)
+        if single and (got[0] > old or got[0] == old and not (w.isalpha() and got[1].isalpha())):
+            continue
+        if not single or got[0] < old:
+            drop, before = drop + old - got[0], before + old
+        if got[1] != w:
+            change[w] = got[1]
+    return drop, before, change
+
+
 def undo_singlebyte(text: str, margin: float = 2.0) -> str | None:
-    """One single-byte layer less, line by line, or None."""
-    lines = text.split("\n")
-    changed = False
-    for i, line in enumerate(lines):
-        words = _WORDS.findall(line)
-        if not words:
+    """One single-byte layer less, or None."""
+    parts = _SENTENCES.findall(text)
+    found: dict[int, dict[int, dict[str, str]]] = {}
+    total: dict[int, float] = {}
+    groups: dict[int, dict[str, list[str]]] = {}
+    for i, part in enumerate(parts):
+        if part.isascii():
             continue
-        have = sum(map(word_cost, words))
-        if have < margin + 1:
+        by: dict[str, list[str]] = {}
+        odd = False
+        for w in _WORDS.findall(part):
+            by.setdefault(_script(w), []).append(w)
+            odd = odd or word_cost(w) > 1.2 + 1.35 * len(_HIGH.findall(w))
+        groups[i] = by
+        if not odd:
             continue
-        best = (have - margin - 0.15 * have, "")
-        for read, written in SINGLE:
-            swap = _swap(read, written)
-            if any(ord(c) > 127 and ord(c) not in swap for w in words for c in w if c not in "№�‌" and ord(c) < 0x1F000):
-                continue
-            got = sum(word_cost(w.translate(swap)) for w in words)
-            if got < best[0]:
-                best = (got, line.translate(swap))
-        if best[1]:
-            lines[i], changed = best[1], True
-    return "\n".join(lines) if changed else None
+        best: tuple[float, int, dict[str, str]] | None = None
+        for k, (script, _, _) in enumerate(_swaps()):
+            if script in by:
+                drop, before, change = _gain(by[script], k)
+                if drop > margin + 0.15 * before and (best is None or drop > best[0]):
+                    after, high = before - drop, sum(len(_HIGH.findall(w)) for w in change.values())
+                    if after <= 1.3 * high + 0.2 and (_swaps()[k][1] or max(map(len, change), default=0) > 3):
+                        best = (drop, k, change)
+        if best:
+            found.setdefault(best[1], {})[i] = best[2]
+            total[best[1]] = total.get(best[1], 0.0) + best[0]
+    if not found:
+        return None
+    top = max(total, key=lambda k: (total[k], -k))
+    script = _swaps()[top][0]
+    for i, by in groups.items():  # sentences without evidence of their own
+        if script in by and not any(i in at for at in found.values()):
+            drop, before, change = _gain(by[script], top)
+            if drop > 0.1 * before:
+                found[top][i] = change
+    for at in found.values():
+        for i, change in at.items():
+            parts[i] = _WORDS.sub(lambda m: change.get(m.group(), m.group()), parts[i])
+    return "".join(parts)
 
 
 def repair(text: str | None) -> tuple[bool, str | None, int]:
