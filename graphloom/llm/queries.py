@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from graphloom.llm.lookalikes import consistent, inconsistent_keys, vocabulary
 from graphloom.llm.mixing import Mixture
 from graphloom.llm.mojibake import repair_corpus
 from graphloom.llm.tokenizer import encode_corpus
@@ -13,6 +14,28 @@ from graphloom.session import table
 R = Registry()
 
 
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return vocabulary([(table(spark, d, "graph_nodes"), "name"), (table(spark, d, "wiki_pages"), "text")])
+
+
+@R.add("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    words = _words(spark, d)
+    names = inconsistent_keys(table(spark, d, "graph_nodes"), "node_row", "name", words, names=True)
+    texts = inconsistent_keys(table(spark, d, "wiki_pages"), "page_id", "text", words)
+    return names.select(F.lit("graph_nodes").alias("tbl"), F.col("key").alias("row_id")).unionByName(texts.select(F.lit("wiki_pages").alias("tbl"), F.col("key").alias("row_id")))
+
+
+@R.add("p4_names")
+def p4_names(spark: SparkSession, d: str) -> DataFrame:
+    return consistent(table(spark, d, "graph_nodes"), "node_row", "name", _words(spark, d), names=True).select(F.col("key").alias("node_row"), F.col("text").alias("name"), "changed")
+
+
+@R.add("p4_texts")
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    return consistent(table(spark, d, "wiki_pages"), "page_id", "text", _words(spark, d)).select(F.col("key").alias("page_id"), "text", "changed")
+
+
 @R.add("p7_ids")
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), ["doc_id"])
