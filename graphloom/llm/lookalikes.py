@@ -31,6 +31,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.session import cut
+
 #: Characters without a visible form.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 #: Look-alike letters, pairwise.
@@ -64,7 +66,7 @@ def _table() -> dict[int, str]:
 
 @lru_cache(1)
 def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    bad = re.compile("[\r" + "".join(re.escape(chr(o)) for o in _table()) + "]")
+    bad = re.compile("[\r" + "".join(re.escape(chr(o)) for o in _table() if o <= 0xFFFF) + "]")  # wider ones would make it slow
     stray = re.compile("(?<![ؠ-ۿ])‌+|‌+(?![ؠ-ۿ])|(?<=‌)‌+")
     emoji = re.compile("(?<=[☀-➿\U0001f000-\U0001faff️])‍(?=[☀-➿\U0001f000-\U0001faff])")
     return bad, stray, emoji
@@ -75,7 +77,7 @@ def plain_characters(s: str) -> str:
     bad, stray, emoji = _patterns()
     if s.isascii():
         return s.replace("\r\n", "\n").replace("\r", "\n") if bad.search(s) else s
-    if bad.search(s):
+    if bad.search(s) or max(s) > "\uffff":
         s = s.replace("\r\n", "\n").replace("\r", "\n")
         if "‍" in s:
             s = emoji.sub("", s)
@@ -220,7 +222,7 @@ def _asked(rows: DataFrame) -> DataFrame:
 
 def inconsistent_keys(df: DataFrame, key: str, text: str, words: DataFrame, names: bool = False) -> DataFrame:
     """(key) of rows whose text isn't in the consistent form."""
-    rows = plain_rows(df, key, text, names)
+    rows = cut(plain_rows(df, key, text, names))  # the texts are read once; what stays is small
     opens = _asked(rows)
     repaired = opens.join(decisions(opens.drop("key"), words).select("token", "kind"), ["token", "kind"], "left_semi")
     return rows.where("changed").select("key").unionByName(repaired.select("key")).distinct()

@@ -4,23 +4,71 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from graphloom.llm.chunking import items, read_limits, split
+from graphloom.llm.language import Profiles, fit, identify
 from graphloom.llm.lookalikes import consistent, inconsistent_keys, vocabulary
 from graphloom.llm.mixing import Mixture
 from graphloom.llm.mojibake import repair_corpus
 from graphloom.llm.tokenizer import encode_corpus
 from graphloom.queries.base import Registry
-from graphloom.session import table
+from graphloom.session import cut, table
 
 R = Registry()
 
 
+def _pieces(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    limits = read_limits(table(spark, d, "chunk_limits"))
+    return split(items(table(spark, d, "wiki_pages"), "page_id"), limits, with_text).withColumnRenamed("key", "page_id")
+
+
+@R.add(
+    "p1_found",
+    """WITH items AS (
+      SELECT page_id, 0 AS item_no, text FROM wiki_pages
+      UNION ALL SELECT page_id, CAST(k AS INTEGER), sections[k].text FROM (SELECT page_id, sections, unnest(range(1, len(sections) + 1)) AS k FROM wiki_pages))
+    SELECT page_id, CAST(item_no AS INTEGER) AS item_no FROM items
+    WHERE length(text) > (SELECT max_chars FROM chunk_limits WHERE item = CASE WHEN item_no = 0 THEN 'text' ELSE 'section' END)""",
+)
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, False).where("piece_no = 0 and n_pieces > 1").select("page_id", "item_no")
+
+
+@R.add("p1_pieces")
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, True)
+
+
+def _profiles(spark: SparkSession, d: str) -> Profiles:
+    return fit(table(spark, d, "wiki_pages"), "page_id", "text", "lang")
+
+
+def _identified(spark: SparkSession, d: str) -> DataFrame:
+    return identify(table(spark, d, "wiki_pages"), "page_id", "text", "lang", _profiles(spark, d)).withColumnRenamed("key", "page_id")
+
+
+@R.add("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    case = F.col("label_lang").isNull() | (F.col("label_lang") != F.col("lang")) | (F.size("held") > 1)
+    return _identified(spark, d).where(F.col("lang").isNotNull() & case).select("page_id", F.explode("held").alias("lang"))
+
+
+@R.add("p5_pages")
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _identified(spark, d).select("page_id", "label_lang", "lang", "confidence", F.array_join("held", " ").alias("held"))
+
+
+@R.add("p5_segments")
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _identified(spark, d).select("page_id", F.posexplode("segments").alias("segment_no", "s")).select("page_id", "segment_no", "s.*")
+
+
 def _words(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary([(table(spark, d, "graph_nodes"), "name"), (table(spark, d, "wiki_pages"), "text")])
 
 
 @R.add("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    words = _words(spark, d)
+    words = cut(_words(spark, d))
     names = inconsistent_keys(table(spark, d, "graph_nodes"), "node_row", "name", words, names=True)
     texts = inconsistent_keys(table(spark, d, "wiki_pages"), "page_id", "text", words)
     return names.select(F.lit("graph_nodes").alias("tbl"), F.col("key").alias("row_id")).unionByName(texts.select(F.lit("wiki_pages").alias("tbl"), F.col("key").alias("row_id")))
