@@ -233,13 +233,14 @@ def pattern_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "components",
-    f"""WITH RECURSIVE {GRAPH_SQL}, D AS (SELECT src, dst FROM E WHERE metaedge IN ('DrD', 'CrC') AND src <> dst), U AS (SELECT src, dst FROM D UNION SELECT dst, src FROM D),
+    f"""WITH RECURSIVE {GRAPH_SQL}, KN AS (SELECT id FROM N WHERE kind IN ('Disease', 'Compound')), D AS (SELECT src, dst FROM E WHERE metaedge IN ('DrD', 'CrC') AND src <> dst AND src IN (SELECT id FROM KN) AND dst IN (SELECT id FROM KN)), U AS (SELECT src, dst FROM D UNION SELECT dst, src FROM D),
     Q AS (SELECT id, id AS c FROM N WHERE kind IN ('Disease', 'Compound') UNION SELECT u.dst, q.c FROM Q q JOIN U u ON u.src = q.id)
     SELECT id, min(c) AS component FROM Q GROUP BY id""",
 )
 def components(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d).kept
-    return T.components(g.edges.where(F.col("metaedge").isin("DrD", "CrC")), g.nodes.where(F.col("kind").isin("Disease", "Compound")))
+    nodes = g.nodes.where(F.col("kind").isin("Disease", "Compound"))
+    return T.components(X.induced(g.edges.where(F.col("metaedge").isin("DrD", "CrC")), nodes), nodes)
 
 
 @R.add("components_whole")

@@ -15,8 +15,8 @@ from graphloom.session import table
 
 R = Registry()
 
-SQUEEZE = "trim(regexp_replace({c}, '[ \\t\\n\\r]+', ' ', 'g'))"
-NORMAL = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 \\t\\n\\r]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
+SQUEEZE = "trim(regexp_replace({c}, '[ \\t\\n\\r]+', ' ', 'g'), ' ')"
+NORMAL = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 \\t\\n\\r]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'), ' ')"
 WORDS = "list_filter(string_split(" + NORMAL + ", ' '), lambda w: w <> '')"
 
 
@@ -99,7 +99,7 @@ def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(100)
 
 
-@R.add("sentence_split", "SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '[.!?؟][ \\t\\n\\r]+'), lambda s: trim(s) <> '')) AS INTEGER) AS n_sentences, CAST(len(list_filter(string_split_regex(text, '\\n[ \\t\\r]*\\n'), lambda s: trim(s) <> '')) AS INTEGER) AS n_paragraphs FROM documents WHERE text IS NOT NULL")
+@R.add("sentence_split", "SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '[.!?؟][ \\t\\n\\r]+'), lambda s: trim(s, ' ') <> '')) AS INTEGER) AS n_sentences, CAST(len(list_filter(string_split_regex(text, '\\n[ \\t\\r]*\\n'), lambda s: trim(s, ' ') <> '')) AS INTEGER) AS n_paragraphs FROM documents WHERE text IS NOT NULL")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return _docs(spark, d).where("text is not null").select("doc_id", F.size(X.sentences(t)).alias("n_sentences"), F.size(X.paragraphs(t)).alias("n_paragraphs"))
@@ -155,7 +155,7 @@ def extract_relations(spark: SparkSession, d: str) -> DataFrame:
     return E.relations(_docs(spark, d), "doc_id", "text")
 
 
-@R.add("merge_entities", f"WITH {ENTITY_SQL}, C AS (SELECT *, lower(trim(name)) AS key, CASE type WHEN 'Gene' THEN 0.9 WHEN 'Disease' THEN 0.7 ELSE 0.6 END AS conf FROM ENT) SELECT key, CAST(count(*) AS BIGINT) AS frequency, round(avg(conf), 6) AS confidence, round(count(*) * avg(conf), 6) AS weight, arg_max(name, (conf, name, type)) AS name, arg_max(type, (conf, name, type)) AS type FROM C GROUP BY key HAVING avg(conf) >= 0.5")
+@R.add("merge_entities", f"WITH {ENTITY_SQL}, C AS (SELECT *, lower(trim(name, ' ')) AS key, CASE type WHEN 'Gene' THEN 0.9 WHEN 'Disease' THEN 0.7 ELSE 0.6 END AS conf FROM ENT) SELECT key, CAST(count(*) AS BIGINT) AS frequency, round(avg(conf), 6) AS confidence, round(count(*) * avg(conf), 6) AS weight, arg_max(name, (conf, name, type)) AS name, arg_max(type, (conf, name, type)) AS type FROM C GROUP BY key HAVING avg(conf) >= 0.5")
 def merge_entities(spark: SparkSession, d: str) -> DataFrame:
     conf = F.when(F.col("type") == "Gene", 0.9).when(F.col("type") == "Disease", 0.7).otherwise(0.6)
     rows = E.entities(_docs(spark, d), "doc_id", "text").withColumn("key", F.lower(F.trim("name"))).withColumn("conf", conf)
