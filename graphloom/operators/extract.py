@@ -14,6 +14,8 @@ RELATIONS = (
     ("(\\w+)\\s+(?:participates?\\s+in|involved\\s+in)\\s+(\\w+)", "GpBP"),
     ("(\\w+)\\s+(?:associates?\\s+with|related\\s+to)\\s+(\\w+)", "DaG"),
 )
+#: Matches begin at words only, so that long runs of letters cost no more than their length.
+_WORD_START = "(?i)(?<![A-Za-z0-9_])"
 _SYMBOL = "(?<![\\p{L}\\p{M}\\p{N}_])[A-Z][A-Z0-9]+(?![\\p{L}\\p{M}\\p{N}_])"
 DISEASE = "\\b([A-Z][a-z]+ (?:disease|syndrome|disorder|cancer|tumor|carcinoma))\\b"
 
@@ -36,8 +38,8 @@ def relations(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, src, dst, metaedge) of each match of a relation pattern, repeated ones included."""
     parts = []
     for pattern, code in RELATIONS:
-        a = F.regexp_extract_all(F.col(text), F.lit("(?i)" + pattern), F.lit(1))
-        b = F.regexp_extract_all(F.col(text), F.lit("(?i)" + pattern), F.lit(2))
+        a = F.regexp_extract_all(F.col(text), F.lit(_WORD_START + pattern), F.lit(1))
+        b = F.regexp_extract_all(F.col(text), F.lit(_WORD_START + pattern), F.lit(2))
         parts.append(F.zip_with(a, b, _relation(code)))
     return docs.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(*parts)).alias("r")).select(key, "r.*")
 

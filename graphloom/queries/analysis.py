@@ -93,12 +93,12 @@ def neighbor_type_hist(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("src").alias("id"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("subgraph_stats", f"WITH {GRAPH_SQL}, I AS (SELECT id, kind FROM N WHERE kind IN ('Gene', 'Disease')) SELECT a.kind AS src_kind, e.metaedge, b.kind AS dst_kind, CAST(count(*) AS BIGINT) AS n, round(avg(e.weight), 6) AS mean_weight FROM E e JOIN I a ON a.id = e.src JOIN I b ON b.id = e.dst GROUP BY ALL")
+@R.add("subgraph_stats", f"WITH {GRAPH_SQL}, I AS (SELECT id, kind FROM N WHERE kind IN ('Gene', 'Disease')) SELECT a.kind AS src_kind, e.metaedge, b.kind AS dst_kind, CAST(count(*) AS BIGINT) AS n, round(avg(e.weight) + 1e-10, 6) AS mean_weight FROM E e JOIN I a ON a.id = e.src JOIN I b ON b.id = e.dst GROUP BY ALL")
 def subgraph_stats(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d)
     ids = g.nodes.where(F.col("kind").isin("Gene", "Disease")).select("id", "kind")
     e = g.edges.join(ids.select(F.col("id").alias("src"), F.col("kind").alias("src_kind")), "src").join(ids.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind")), "dst")
-    return e.groupBy("src_kind", "metaedge", "dst_kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("weight"), 6).alias("mean_weight"))
+    return e.groupBy("src_kind", "metaedge", "dst_kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("weight") + 1e-10, 6).alias("mean_weight"))
 
 
 @R.add("top_degree_subgraph", f"WITH {GRAPH_SQL}, {DEGREE_SQL}, I AS (SELECT id FROM DEG ORDER BY degree DESC, id LIMIT 60) SELECT src, dst, metaedge, seq FROM E WHERE src IN (SELECT id FROM I) AND dst IN (SELECT id FROM I)")

@@ -168,10 +168,11 @@ def weight_relations(spark: SparkSession, d: str) -> DataFrame:
     return M.merge_relations(E.relations(_docs(spark, d), "doc_id", "text").withColumn("conf", F.lit(None).cast("double")), "conf")
 
 
-@R.add("merge_edges", "SELECT source AS src, target AS dst, metaedge, CAST(count(*) AS BIGINT) AS frequency, round(avg(coalesce(weight, 0.5)), 6) AS confidence, round(count(*) * (0.5 + 0.5 * avg(coalesce(weight, 0.5))), 6) AS weight FROM graph_edges WHERE source IS NOT NULL AND target IS NOT NULL GROUP BY ALL HAVING avg(coalesce(weight, 0.5)) >= 0.3")
+@R.add("merge_edges", "SELECT source AS src, target AS dst, metaedge, CAST(count(*) AS BIGINT) AS frequency, round(avg(coalesce(weight, 0.5)) + 1e-10, 6) AS confidence, round(count(*) * (0.5 + 0.5 * avg(coalesce(weight, 0.5))) + 1e-10, 6) AS weight FROM graph_edges WHERE source IS NOT NULL AND target IS NOT NULL GROUP BY ALL HAVING avg(coalesce(weight, 0.5)) >= 0.3")
 def merge_edges(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "graph_edges").where("source is not null and target is not null").select(F.col("source").alias("src"), F.col("target").alias("dst"), "metaedge", F.col("weight").alias("conf"))
-    return M.merge_relations(e, "conf", 0.3).withColumn("confidence", F.round("confidence", 6)).withColumn("weight", F.round("weight", 6))
+    # Means of a power of two of decimals end on ties; the small addend rounds them up whatever their last bit.
+    return M.merge_relations(e, "conf", 0.3).withColumn("confidence", F.round(F.col("confidence") + 1e-10, 6)).withColumn("weight", F.round(F.col("weight") + 1e-10, 6))
 
 
 @R.add("canonicalize", f"WITH {ENTITY_SQL} SELECT key AS canonical, CAST(count(*) AS BIGINT) AS mentions, CAST(count(DISTINCT name) AS BIGINT) AS spellings FROM (SELECT name, upper(name[1]) || lower(name[2:]) AS key FROM ENT WHERE type <> 'Disease') GROUP BY key")

@@ -54,3 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative job through files that outlive any one executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    For costly Python operators over few or small files. Spark splits larger inputs by itself: they stay as they are,
+    so this shuffles no more than a few megabytes a core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
