@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.session import spread
+
 WINDOW = 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -34,7 +36,7 @@ PARAGRAPH, LINE, SENTENCE, SPACE = 4, 3, 2, 1
 
 _PARAGRAPHS = re.compile(r"\n[^\S\n]*\n\s*")
 _LINES = re.compile(r"\r\n?|\n")
-_SENTENCES = re.compile("[.!?؟。！？…]+[\"'”’»)\\]]*\\s+")
+_SENTENCES = re.compile("(?<![.!?؟。！？…])[.!?؟。！？…]+[\"'”’»)\\]]*\\s+")
 _SPACES = re.compile(r"\s+")
 
 
@@ -174,7 +176,7 @@ def split(rows: DataFrame, limits: dict[str, tuple[int, int]], with_text: bool =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:m], kinds)], names=names[:m])
 
     schema = "key bigint, item_no int, piece_no int, n_pieces int, begin int, end int" + (", text string" if with_text else "")
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def read_limits(limits: DataFrame) -> dict[str, tuple[int, int]]:

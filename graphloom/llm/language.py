@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.llm.lookalikes import plain_characters
+from graphloom.session import spread
 
 LANGUAGES = ("en", "de", "fr", "es", "fa", "ru")
 SAMPLE_ROWS = 3000
@@ -57,8 +58,8 @@ SEED = {
 }
 
 _CUT = re.compile(r"[^\n.!?؟]*(?:[.!?؟]+(?=[^\s.!?؟])[^\n.!?؟]*)*[.!?؟]*\s*|[\n.!?؟]+\s*")
-_TERM = re.compile(r"\S*[0-9_<>=/@#]\S*|\b[A-ZÀ-Þ]{2,}\b(?:-[A-Z]+)?")
-_NUMBERED = re.compile(r"\S*[0-9_<>=/@#]\S*")
+_CAPITALS = re.compile(r"\b[A-ZÀ-Þ]{2,}\b(?:-[A-Z]+)?")
+_NUMBERED = re.compile(r"[0-9_<>=/@#]")
 _SENTENCE = re.compile(r"^[^\w]*(?:[A-ZÀ-ÞА-ЯЁ]|[\u0600-\u06ff]).*[.!?؟]\W*$", re.S)
 _WORDS = re.compile(r"[^\W\d_]+(?:[’'‌][^\W\d_]+)*")
 
@@ -66,9 +67,9 @@ _WORDS = re.compile(r"[^\W\d_]+(?:[’'‌][^\W\d_]+)*")
 def normal(text: str, plain: bool = False) -> str:
     """Words in lower case and ordinary characters, padded, without terms that belong to no language."""
     text = text if plain else plain_characters(text)
-    kept = _TERM.sub(" ", text)
-    if text.isupper():  # then capitals mark no terms
-        kept = _NUMBERED.sub(" ", text)
+    kept = " ".join(w for w in text.split() if not _NUMBERED.search(w))
+    if not text.isupper():  # else capitals mark no terms
+        kept = _CAPITALS.sub(" ", kept)
     return "".join(f" {w} " for w in _WORDS.findall(kept.lower().replace("'", "’")) if len(w) <= LONGEST_WORD)
 
 
@@ -240,4 +241,4 @@ def identify(df: DataFrame, key: str, text: str, label: str, profiles: Profiles)
             )
 
     rows = df.select(F.col(key).cast("bigint").alias("key"), label_language(F.col(label)).alias("label_lang"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key bigint, label_lang string, lang string, confidence double, held array<string>, segments {_SEGMENT}")
+    return spread(rows).mapInArrow(run, f"key bigint, label_lang string, lang string, confidence double, held array<string>, segments {_SEGMENT}")

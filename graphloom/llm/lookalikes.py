@@ -31,7 +31,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.session import cut
+from graphloom.session import cut, spread
 
 #: Characters without a visible form.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
@@ -89,7 +89,7 @@ def plain_characters(s: str) -> str:
 
 _L, _CG = "A-Za-zÀ-ÖØ-öø-ɏ", "Ͱ-ϿЀ-ԯ"
 _BORDER = re.compile(f"[{_L}][0-9]*(?=[{_CG}])|[{_CG}][0-9]*(?=[{_L}])|[Ͱ-Ͽ](?=[Ѐ-ԯ])|[Ѐ-ԯ](?=[Ͱ-Ͽ])")
-_WHOLE = re.compile(f"(?<![^\\W_])[{CYRILLIC}{GREEK}]+[{CYRILLIC}{GREEK}0-9]*(?![^\\W_])|(?<![^\\W_])[{LATIN}]{{2,}}[0-9]*(?![^\\W_])")
+_WHOLE = re.compile(f"(?<![^\\W_])(?=[{CYRILLIC}{GREEK}])[{CYRILLIC}{GREEK}0-9]+(?![^\\W_])|(?<![^\\W_])[{LATIN}]{{2,}}[0-9]*(?![^\\W_])")
 _WORD = re.compile(r"[^\W_]+")
 _FOREIGN = re.compile(f"[{_CG}]")
 _TO_LATIN = {ord(a): b for a, b in zip(CYRILLIC + GREEK, LATIN_OF_CYRILLIC + LATIN_OF_GREEK)}
@@ -107,9 +107,13 @@ def script(c: str) -> str:
     return "l" if c.isalpha() and c < "ɐ" else ""
 
 
-@lru_cache(100_000)
 def forms(token: str, names: bool) -> tuple[str, str | None, str | None, str | None] | None:
     """(kind, Latin form, Cyrillic form, form without vocabulary) of a token that may need repair, or None."""
+    return _forms(token, names) if len(token) <= 64 else _forms.__wrapped__(token, names)
+
+
+@lru_cache(100_000)
+def _forms(token: str, names: bool) -> tuple[str, str | None, str | None, str | None] | None:
     letters = [c for c in token if script(c)]
     scripts = {script(c) for c in letters}
     if not letters or scripts == {"l"} and names:
@@ -143,12 +147,16 @@ def open_tokens(s: str, names: bool) -> set[str]:
     if names:
         return {w for w in _WORD.findall(s) if not w.isascii() and forms(w, True)}
     found = {w for w in _WHOLE.findall(s) if forms(w, False)}
+    done = 0
     for m in _BORDER.finditer(s):
         a, b = m.start(), m.end()
+        if a < done:  # the same token
+            continue
         while a > 0 and (s[a - 1].isalnum()):
             a -= 1
         while b < len(s) and s[b].isalnum():
             b += 1
+        done = b
         if forms(s[a:b], False):
             found.add(s[a:b])
     return found
@@ -191,12 +199,12 @@ def _source(df: DataFrame, key: str, text: str) -> DataFrame:
 def plain_rows(df: DataFrame, key: str, text: str, names: bool, keep_text: bool = False) -> DataFrame:
     """(key, changed, open[, plain]) of every row."""
     schema = f"key bigint, changed boolean, open {_OPEN}" + (", plain string" if keep_text else "")
-    return _source(df, key, text).mapInArrow(lambda it: _plain_batches(it, names, keep_text), schema)
+    return spread(_source(df, key, text)).mapInArrow(lambda it: _plain_batches(it, names, keep_text), schema)
 
 
 def vocabulary(sources: list[tuple[DataFrame, str]]) -> DataFrame:
     """(token, n) over all rows of all sources."""
-    parts = [df.select(F.col(c).cast("string").alias("text")).mapInArrow(_count_batches, "token string, n bigint") for df, c in sources]
+    parts = [spread(df.select(F.col(c).cast("string").alias("text"))).mapInArrow(_count_batches, "token string, n bigint") for df, c in sources]
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)

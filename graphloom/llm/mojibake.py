@@ -28,6 +28,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.session import spread
+
 #: Legacy encodings under which UTF-8 may have been read, the usual ones first.
 LEGACY = ("cp1252", "latin_1", "mac_roman", "cp1251", "cp1256", "cp437", "cp850", "cp1250", "koi8_r", "cp866", "iso8859_2", "cp1253", "cp1254", "mac_cyrillic")
 #: (read as, written as) of single-byte layers.
@@ -39,6 +41,8 @@ SINGLE = (
     ("cp1256", "cp1252"),
 )
 MAX_LAYERS = 4
+#: Longest word whose cost a worker remembers.
+LONG_WORD = 64
 
 
 @lru_cache(None)
@@ -175,7 +179,7 @@ def undo_multibyte(text: str) -> str | None:
 _RUS = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 _PER = "اینردهمتوبسشکزلگفخعقجپحآصچطذضژظغثئءأؤ"
 _LAT = "éèàùâêîôûçëïüñáíóúäößœåšøæìòõãýÿÉÈÀÙÂÊÎÔÛÇËÏÜÑÁÍÓÚÄÖŒÅŠØÆÌÒÕÃ"
-_WORDS = re.compile("[^\\x00-\\x7f\\s]*[^\\W\\d_]*[^\\x00-\\x7f][^\\s,.;:()!?\"]*")
+_WORDS = re.compile("[^\\s,.;:()!?\"]+")
 #: Characters that were put in after the damage, or that no legacy encoding has.
 _KEPT = set("№�‌")
 _HIGH = re.compile("[^\\x00-\\x7f]")
@@ -187,9 +191,13 @@ _INNER = set("’‌²₂")
 _LINES = set("─│└├┌┐┘═║╬░▒▓")
 
 
-@lru_cache(65536)
 def word_cost(w: str) -> float:
-    """Improbability of a word with non-ASCII characters."""
+    """Improbability of a word with non-ASCII characters; long words aren't remembered."""
+    return _word_cost(w) if len(w) <= LONG_WORD else _word_cost.__wrapped__(w)
+
+
+@lru_cache(65536)
+def _word_cost(w: str) -> float:
     if len(w) == 1 and w.isalpha():
         return 0.3
     total = 3.0 * cost(w)
@@ -260,8 +268,12 @@ _SIGNS = set("“”‘’«»¿¡")
 _LONE = _SIGNS | set("•–—…°²±№·→")
 
 
-@lru_cache(65536)
 def _converted(w: str, k: int) -> tuple[float, str] | None:
+    return _conversion(w, k) if len(w) <= LONG_WORD else _conversion.__wrapped__(w, k)
+
+
+@lru_cache(65536)
+def _conversion(w: str, k: int) -> tuple[float, str] | None:
     _, single, swap = _swaps()[k]
     if any(c > "\x7f" and ord(c) not in swap and c not in _KEPT and ord(c) < 0x1F000 for c in w):
         return None
@@ -313,6 +325,8 @@ def undo_singlebyte(text: str, margin: float = 2.0) -> str | None:
         by: dict[str, list[str]] = {}
         odd = False
         for w in _WORDS.findall(part):
+            if w.isascii():
+                continue
             by.setdefault(_script(w), []).append(w)
             odd = odd or word_cost(w) > 1.2 + 1.35 * len(_HIGH.findall(w))
         groups[i] = by
@@ -369,4 +383,4 @@ def _repair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def repair_corpus(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, garbled, restored, layers); ``restored`` is null where no layer could be undone."""
     rows = df.select(F.col(key).cast("bigint").alias("__key"), F.col(text).cast("string").alias("__text"))
-    return rows.mapInArrow(_repair_batches, "__key bigint, garbled boolean, restored string, layers int").withColumnRenamed("__key", key)
+    return spread(rows).mapInArrow(_repair_batches, "__key bigint, garbled boolean, restored string, layers int").withColumnRenamed("__key", key)

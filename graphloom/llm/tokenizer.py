@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.session import spread
+
 #: Where the vocabulary files are; a parameter, never part of this repository.
 TOKENIZER_DIR = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the public split pattern of the byte-level vocabularies.
@@ -217,11 +219,11 @@ def encode_corpus(df: DataFrame, key_cols: list[str], text_col: str = "text", na
     """``key_cols`` and ids (array<int>) of every row."""
     rows = df.select(*key_cols, F.col(text_col).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda it: _encode_batches(it, name, folder, False), f"{kept}, ids array<int>")
+    return spread(rows).mapInArrow(lambda it: _encode_batches(it, name, folder, False), f"{kept}, ids array<int>")
 
 
 def token_lengths(df: DataFrame, key_cols: list[str], text_col: str = "text", name: str = "byte_bpe_50k.json", folder: str = TOKENIZER_DIR) -> DataFrame:
     """``key_cols`` and n_tokens (bigint) of every row."""
     rows = df.select(*key_cols, F.col(text_col).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda it: _encode_batches(it, name, folder, True), f"{kept}, n_tokens bigint")
+    return spread(rows).mapInArrow(lambda it: _encode_batches(it, name, folder, True), f"{kept}, n_tokens bigint")
