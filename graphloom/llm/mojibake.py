@@ -208,7 +208,7 @@ def _word_cost(w: str) -> float:
             kinds.add("c")
             k = _RUS.find(c.lower())
             total += 0.12 * k if k >= 0 else 5
-            if c.isupper() and prev.islower():
+            if c.isupper() and prev.islower() or c.islower() and prev.isupper() and i > 1:
                 total += 3
         elif "؀" <= c <= "ۿ":
             kinds.add("a")
@@ -224,6 +224,8 @@ def _word_cost(w: str) -> float:
                     total += 4
                 elif c.isupper() and prev.islower():
                     total += 3
+                if not prev and w[1:2] == "[":
+                    total += 3
                 if prev and not prev.isascii() and prev.isalpha():
                     total += 2
         elif not c.isascii():
@@ -282,13 +284,14 @@ def _conversion(w: str, k: int) -> tuple[float, str] | None:
         if len(w) > 1 and w.isalpha() and not any(map(str.isascii, w)):  # no word of a Latin-script language here
             return None
         lost = [i for i, (x, y) in enumerate(zip(w, new)) if x != y and x.isalpha() and not y.isalpha()]
-        signs = _LONE if len(w) == 1 else _SIGNS
-        if any(new[i] not in signs or 0 < i < len(w) - 1 and new[i] != "’" for i in lost) or len(lost) == len(w) > 1:
+        if any(new[i] not in (_SIGNS if i or w[1:2].isalpha() else _LONE) or 0 < i < len(w) - 1 and new[i] != "’" for i in lost) or len(lost) == len(w) > 1:
             return None
+    elif 2 * sum(map(str.isalpha, new)) < sum(map(str.isalpha, w)):
+        return None
     return word_cost(new), new
 
 
-def _gain(words: list[str], k: int) -> tuple[float, float, dict[str, str]]:
+def _gain(words: list[str], k: int, ties: bool = True) -> tuple[float, float, dict[str, str]]:
     """(drop of the cost, cost before, changed words) of a sentence's words of one script under layer ``k``.
 
     Where both encodings are Latin, words change one by one, if their own cost does not rise; else all words of the
@@ -304,7 +307,7 @@ def _gain(words: list[str], k: int) -> tuple[float, float, dict[str, str]]:
                 continue
             return 0.0, 0.0, {}
         old = word_cost(w)
-        if single and (got[0] > old or got[0] == old and not (w.isalpha() and got[1].isalpha())):
+        if single and (got[0] > old or got[0] == old and not (ties and w.isalpha() and got[1].isalpha())):
             continue
         if not single or got[0] < old:
             drop, before = drop + old - got[0], before + old
@@ -313,12 +316,31 @@ def _gain(words: list[str], k: int) -> tuple[float, float, dict[str, str]]:
     return drop, before, change
 
 
+#: Layers that swap small and capital Cyrillic letters.
+_FLIPS = tuple(k for k, pair in enumerate(SINGLE) if pair in (("koi8_r", "cp1251"), ("cp1251", "koi8_r")))
+
+
+def _flipped(words: list[str]) -> dict[str, str]:
+    """Single words in capitals, among small ones, that a layer which swaps the case turns into likelier small ones."""
+    if sum(len(w) > 3 and w.islower() for w in words) < 2:
+        return {}
+    change = {}
+    for w in words:
+        if len(w) > 4 and w.isalpha() and w[1:].isupper():
+            for k in _FLIPS:
+                got = _converted(w, k)
+                if got and got[1][1:].islower() and got[0] < word_cost(change.get(w, w)) - 1:
+                    change[w] = got[1]
+    return change
+
+
 def undo_singlebyte(text: str, margin: float = 2.0) -> str | None:
     """One single-byte layer less, or None."""
     parts = _SENTENCES.findall(text)
     found: dict[int, dict[int, dict[str, str]]] = {}
     total: dict[int, float] = {}
     groups: dict[int, dict[str, list[str]]] = {}
+    lone: dict[int, dict[str, str]] = {}
     for i, part in enumerate(parts):
         if part.isascii():
             continue
@@ -343,13 +365,19 @@ def undo_singlebyte(text: str, margin: float = 2.0) -> str | None:
         if best:
             found.setdefault(best[1], {})[i] = best[2]
             total[best[1]] = total.get(best[1], 0.0) + best[0]
-    if not found:
+        elif "c" in by and (change := _flipped(by["c"])):
+            lone[i] = change
+    if not found and not lone:
         return None
+    for i, change in lone.items():
+        parts[i] = _WORDS.sub(lambda m: change.get(m.group(), m.group()), parts[i])
+    if not found:
+        return "".join(parts)
     top = max(total, key=lambda k: (total[k], -k))
     script = _swaps()[top][0]
     for i, by in groups.items():  # sentences without evidence of their own
-        if script in by and not any(i in at for at in found.values()):
-            drop, before, change = _gain(by[script], top)
+        if script in by and i not in lone and not any(i in at for at in found.values()):
+            drop, before, change = _gain(by[script], top, ties=False)
             if drop > 0.1 * before:
                 found[top][i] = change
     for at in found.values():
