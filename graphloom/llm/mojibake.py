@@ -379,7 +379,7 @@ def undo_singlebyte(text: str, margin: float = 2.0) -> str | None:
         if script in by and i not in lone and not any(i in at for at in found.values()):
             drop, before, change = _gain(by[script], top, ties=False)
             if drop > 0.1 * before:
-                found[top][i] = change
+                found[top][i] = change if script != "l" else {w: n for w, n in change.items() if len(w) == 1 or word_cost(w) - word_cost(n) > 1}
     for at in found.values():
         for i, change in at.items():
             parts[i] = _WORDS.sub(lambda m: change.get(m.group(), m.group()), parts[i])
