@@ -10,8 +10,8 @@ window; references to a key with at least ``heavy_share`` of all references are
 few live intervals of such keys are repeated once per bucket. At most ``1 / heavy_share`` keys can be heavy, which
 bounds the list kept in the plan.
 
-Defined results: a null reference is no reference; a reference without a time is an orphan only if its key has no live
-interval at all; a node row without id or ``created_at``, or deleted no later than created, is never live; repeated
+Defined results: a null reference is no reference; a reference without a time is an orphan, as no node is known to be
+live then; a node row without id or ``created_at``, or deleted no later than created, is never live; repeated
 node rows count once per delivery in the counts but give one live interval; repeated references each come out; empty
 tables give empty (no references) or all-orphan (no nodes) results; further columns are ignored.
 """
@@ -83,7 +83,7 @@ def orphan_references(refs: list[Reference], nodes: DataFrame, heavy_share: floa
     salted = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("row_id"), F.lit(salts))).otherwise(F.lit(0).cast("bigint")))
     spread = live.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))))
     l, r = salted.alias("l"), spread.alias("r")
-    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.at").isNull() | ((F.col("l.at") >= F.col("r.live_from")) & (F.col("r.live_to").isNull() | (F.col("l.at") < F.col("r.live_to")))))
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.at") >= F.col("r.live_from")) & (F.col("r.live_to").isNull() | (F.col("l.at") < F.col("r.live_to")))
     return l.join(r, on, "left_anti").drop("salt")
 
 

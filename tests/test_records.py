@@ -31,7 +31,7 @@ def edges_df(spark, rows):
 
 
 def live(nodes, key, at):
-    return any(i == key and a is not None and (at is None or a <= at) and (b is None or b > a) and (at is None or b is None or at < b) for i, a, b in nodes)
+    return any(i == key and a is not None and at is not None and a <= at and (b is None or at < b) for i, a, b in nodes)
 
 
 def test_orphans_against_brute_force(spark):
