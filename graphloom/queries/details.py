@@ -72,13 +72,13 @@ def non_gene_quota(spark: SparkSession, d: str) -> DataFrame:
     return top.select("id", "gene")
 
 
-@R.add("rerank", f"WITH {BM_SQL}, TOP AS (SELECT doc_id, round(score, 9) AS score FROM BM ORDER BY round(score, 9) DESC, doc_id LIMIT 200), W AS (SELECT TOP.doc_id, list_distinct(T.w) AS w FROM TOP JOIN T ON T.doc_id = TOP.doc_id) SELECT doc_id, round(0.3 * len(list_intersect(w, ['dose', 'headache', 'kidney'])) / len(list_distinct(list_concat(w, ['dose', 'headache', 'kidney']))), 6) AS score FROM W")
+@R.add("rerank", f"WITH {BM_SQL}, TOP AS (SELECT doc_id, round(score, 9) AS score FROM BM ORDER BY round(score, 9) DESC, doc_id LIMIT 200), W AS (SELECT TOP.doc_id, list_distinct(T.w) AS w FROM TOP JOIN T ON T.doc_id = TOP.doc_id) SELECT doc_id, round(0.3 * len(list_intersect(w, ['dose', 'headache', 'kidney'])) / len(list_distinct(list_concat(w, ['dose', 'headache', 'kidney']))) + 1e-10, 6) AS score FROM W")
 def rerank(spark: SparkSession, d: str) -> DataFrame:
     """The best 200 by keyword score, scored again by shared words (0.3; no vectors, so 0.7 of nothing)."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", X.words(F.col("text")).alias("w"))
     top = S.bm25(docs, "doc_id", "w", list(ASKED)).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(200)
     asked = F.array(*[F.lit(t) for t in sorted(ASKED)])
-    return top.select("doc_id").join(docs, "doc_id").select("doc_id", F.round(0.3 * X.jaccard(F.array_distinct("w"), asked), 6).alias("score"))
+    return top.select("doc_id").join(docs, "doc_id").select("doc_id", F.round(0.3 * X.jaccard(F.array_distinct("w"), asked) + 1e-10, 6).alias("score"))
 
 
 @R.add("entity_documents", f"WITH {ENTITY_SQL} SELECT name, type, CAST(count(*) AS BIGINT) AS frequency, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM ENT GROUP BY name, type")
