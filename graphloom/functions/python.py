@@ -6,6 +6,7 @@ import re
 import unicodedata
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
@@ -49,6 +50,64 @@ def entity_similarity(a: str | None, b: str | None) -> float:
     return 0.55 * len(u & v) / len(u | v) + 0.45 * common_subsequence(x, y) / max(len(x), len(y))
 
 
+def _coded(forms: list[str], chars: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters as numbers (filled up with one that no form has), lengths, and the count of each character."""
+    n = np.array([len(x) for x in forms])
+    codes = np.full((len(forms), n.max()), len(chars), np.int32)
+    for i, x in enumerate(forms):
+        codes[i, : len(x)] = [chars[c] for c in x]
+    bags = np.zeros((len(forms), len(chars) + 1), np.int32)
+    np.add.at(bags, (np.arange(len(forms))[:, None], codes), 1)
+    return codes, n, bags[:, :-1]
+
+
+def _common_subsequences(x: list[str], y: list[str], i: np.ndarray, j: np.ndarray, cx: np.ndarray, cy: np.ndarray, width: int) -> np.ndarray:
+    """``common_subsequence`` of x[i] and y[j], many pairs a step; forms longer than a word of bits go one by one."""
+    out = np.zeros(len(i), np.int64)
+    short = np.array([len(s) <= 64 for s in x])
+    at = np.zeros((len(x), width + 1), np.uint64)
+    for p in range(min(64, cx.shape[1])):
+        at[np.arange(len(x)), cx[:, p]] |= np.uint64(1) << np.uint64(p)
+    at[:, width] = 0
+    for begin in range(0, len(i), 1 << 16):
+        a, b = i[begin : begin + (1 << 16)], j[begin : begin + (1 << 16)]
+        row = np.full(len(a), ~np.uint64(0))
+        for p in range(cy.shape[1]):
+            m = row & at[a, cy[b, p]]
+            row = (row + m) | (row - m)
+        out[begin : begin + len(a)] = np.bitwise_count(~row)
+    for k in np.nonzero(~short[i])[0]:
+        out[k] = common_subsequence(x[i[k]], y[j[k]])
+    return out
+
+
+def similar_pairs(x: list[str], y: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of all x[i], y[j] with ``entity_similarity`` >= threshold.
+
+    The characters two forms have in common, repeats counted, bound their common subsequence; only pairs that this bound
+    lets through get the exact test, so none is lost.
+    """
+    x, y = [entity_form(s) for s in x], [entity_form(s) for s in y]
+    chars = {c: n for n, c in enumerate(sorted(set().union(*x, *y)))}
+    none = np.zeros(0, np.int64)
+    if not chars:
+        return none, none, np.zeros(0)
+    (cx, nx, bx), (cy, ny, by) = _coded(x, chars), _coded(y, chars)
+    common = both = (bx > 0).astype(np.float32) @ (by > 0).astype(np.float32).T
+    for level in range(2, min(bx.max(), by.max()) + 1):
+        common = common + (bx >= level).astype(np.float32) @ (by >= level).astype(np.float32).T
+    ux, uy = (bx > 0).sum(1), (by > 0).sum(1)
+    most = 0.55 * both / np.maximum(1, ux[:, None] + uy[None, :] - both) + 0.45 * common / np.maximum(1, np.maximum(nx[:, None], ny[None, :]))
+    i, j = np.nonzero((most >= threshold - 1e-4) & (nx[:, None] > 0) & (ny[None, :] > 0))
+    shared = both[i, j].astype(np.int64)
+    lcs = _common_subsequences(x, y, i, j, cx, cy, len(chars))
+    exact = 0.55 * shared / (ux[i] + uy[j] - shared) + 0.45 * lcs / np.maximum(nx[i], ny[j])
+    same = np.array([x[p] == y[q] for p, q in zip(i, j)], bool)
+    exact = np.where(same, 1.0, exact)
+    kept = exact >= threshold
+    return i[kept], j[kept], exact[kept]
+
+
 @F.pandas_udf(StringType())
 def entity_form_udf(s: pd.Series) -> pd.Series:
     return s.map(entity_form)

@@ -1,10 +1,16 @@
-"""Entity resolution: candidate pairs within blocks, greedy groups by first entry, endpoint rewriting."""
+"""Entity resolution: all similar pairs of a kind in blocks, greedy groups by first entry, endpoint rewriting."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from graphloom.functions.python import entity_form_udf, entity_similarity_udf
+from graphloom.functions.python import entity_form_udf, similar_pairs
+from graphloom.session import cut, shuffle_width
+
+BLOCK = 1024
 
 
 def deletions(form: Column) -> Column:
@@ -13,21 +19,37 @@ def deletions(form: Column) -> Column:
     return F.concat(F.array(form), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.substr(form, F.lit(1), i), F.substr(form, i + 2))))
 
 
-def candidates(entities: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(a, b, similarity) pairs of different forms, a before b by (seq, form), of similarity >= ``threshold``.
+def candidates(entities: DataFrame, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(kind, a, b, sa, sb, similarity): all pairs of different forms of a kind, a before b by (seq, form), of
+    similarity >= ``threshold``.
 
-    ``entities(form, kind, seq, id)`` has one row a distinct form and kind, so copies never pair with each other. Pairs
-    share a block key, a form with one character deleted, so only variants of one or two edits meet and no block grows
-    with the number of names of one pattern; the length bound of the similarity, 0.55 + 0.45 min/max length, drops pairs
-    before the exact test.
+    ``entities(form, kind, seq)`` has one row a distinct form and kind, so copies never pair with each other. The forms
+    of a kind are cut into blocks by hash and each pair of blocks meets in one task: blocks are bounded whatever a kind
+    holds, and an upper bound of the similarity drops pairs before the exact test.
     """
-    e = entities.withColumn("blocks", F.array_distinct(deletions(F.col("form")))).select("form", "kind", "seq", F.explode("blocks").alias("block"))
-    a = e.select("kind", "block", F.col("form").alias("a"), F.col("seq").alias("sa"))
-    b = e.select("kind", "block", F.col("form").alias("b"), F.col("seq").alias("sb"))
-    la, lb = F.length("a"), F.length("b")
-    bound = 0.55 + 0.45 * F.least(la, lb) / F.greatest(la, lb)
-    pairs = a.join(b, ["kind", "block"]).where((F.col("sa") < F.col("sb")) & (bound >= threshold)).select("kind", "a", "b", "sa", "sb").distinct()
-    return pairs.withColumn("similarity", entity_similarity_udf("a", "b")).where(F.col("similarity") >= threshold)
+    e = cut(entities.where("kind is not null").select("kind", "form", "seq"))
+    blocks = e.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    groups = blocks.agg(F.sum(F.col("nb").cast("bigint") * (F.col("nb") + 1) / 2)).first()[0] or 1
+    mine = e.join(F.broadcast(blocks), "kind").withColumn("own", F.pmod(F.xxhash64("form"), F.col("nb")).cast("int"))
+    other = mine.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    met = other.select("kind", "form", "seq", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    parts = max(shuffle_width(entities.sparkSession), int(groups) // 16)
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows.own == rows.i.iloc[0]], rows[rows.own == rows.j.iloc[0]]
+        if x.empty or y.empty:
+            return pd.DataFrame({"kind": [], "a": [], "b": [], "sa": [], "sb": [], "similarity": []})
+        p, q, score = similar_pairs(list(x.form), list(y.form), threshold)
+        a, b = x.take(p), y.take(q)
+        got = pd.DataFrame({"kind": rows.kind.iloc[0], "a": a.form.to_numpy(), "b": b.form.to_numpy(), "sa": a.seq.to_numpy(), "sb": b.seq.to_numpy(), "similarity": score})
+        before = (got.sa < got.sb) | ((got.sa == got.sb) & (got.a < got.b))
+        if rows.i.iloc[0] == rows.j.iloc[0]:
+            return got[before]
+        turned = got[~before].rename(columns={"a": "b", "b": "a", "sa": "sb", "sb": "sa"})
+        return pd.concat([got[before], turned[got.columns]])
+
+    kind = e.schema["seq"].dataType.simpleString()
+    return met.repartition(parts, "kind", "i", "j").groupBy("kind", "i", "j").applyInPandas(meet, f"kind string, a string, b string, sa {kind}, sb {kind}, similarity double")
 
 
 def distinct_forms(nodes: DataFrame) -> DataFrame:
@@ -37,11 +59,25 @@ def distinct_forms(nodes: DataFrame) -> DataFrame:
 
 
 def star_groups(forms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(form, kind, leader): each form joins the earliest form it is similar to that leads itself; not transitive."""
-    first = pairs.groupBy("kind", F.col("b").alias("form")).agg(F.min_by("a", "sa").alias("leader"))
-    led = forms.select("form", "kind").join(first, ["form", "kind"], "left")
-    leads = led.where("leader is null").select(F.col("form").alias("leader"), "kind", F.lit(True).alias("is_leader"))
-    return led.join(leads, ["leader", "kind"], "left").select("form", "kind", F.when(F.col("is_leader"), F.col("leader")).otherwise(F.col("form")).alias("leader"))
+    """(form, kind, leader): in order of entry, each form joins the earliest leader it is similar to, or else leads.
+
+    Not transitive. Rounds settle all forms whose earlier neighbours are settled, until no form is open.
+    """
+    keys = ["kind", "form"]
+    pairs = cut(pairs.select("kind", "a", "b", "sa"))
+    of = lambda df, side: df.select("kind", F.col(side).alias("form"))
+    waiting, links, leads = cut(forms.where("kind is not null").select(*keys)), pairs, []
+    while not waiting.isEmpty():
+        leads.append(cut(waiting.join(of(links, "b"), keys, "left_anti")))
+        led = of(links.join(leads[-1].withColumnRenamed("form", "a"), ["kind", "a"], "left_semi"), "b")
+        waiting = cut(waiting.join(leads[-1], keys, "left_anti").join(led, keys, "left_anti"))
+        still = lambda side: waiting.withColumnRenamed("form", side)
+        links = cut(links.join(still("a"), ["kind", "a"], "left_semi").join(still("b"), ["kind", "b"], "left_semi"))
+    if not leads:
+        return forms.select("form", "kind", F.col("form").alias("leader"))
+    leaders = reduce(DataFrame.unionByName, leads).withColumnRenamed("form", "a")
+    first = pairs.join(leaders, ["kind", "a"], "left_semi").groupBy("kind", F.col("b").alias("form")).agg(F.min(F.struct("sa", "a")).alias("m"))
+    return forms.select("form", "kind").join(first, keys, "left").select("form", "kind", F.coalesce("m.a", "form").alias("leader"))
 
 
 def redirect(edges: DataFrame, mapping: DataFrame) -> DataFrame:
