@@ -84,16 +84,47 @@ def fuse_scores(parts: list[tuple[DataFrame, float]], key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.sum("score").alias("score"))
 
 
-def citations(pieces: DataFrame, sources: DataFrame, k: int = 3, least: float = 0.5) -> DataFrame:
-    """(piece, source, score) of the best ``k`` sources of each piece above a score: 0.1 shared words, 0.9 cosine.
+def citations(pieces: DataFrame, sources: DataFrame, k: int = 3, least: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """(piece, source, score, rank) of the best ``k`` sources of each piece above a score: 0.1 shared words, 0.9 cosine.
 
-    ``pieces(piece, words, v)`` and ``sources(source, words, v)`` meet where they share a word.
+    ``pieces(piece, words, v)`` and ``sources(source, words, v)``: every piece meets every source, in blocks as in
+    ``vector_topk``. Null words count as none; a null vector or one without length has cosine 0. Equal scores rank by
+    source.
     """
-    from graphloom.functions.text import cosine, jaccard
+    nb, nq = max(1, -(-sources.count() // block)), max(1, -(-pieces.count() // block))
+    row = lambda df, key, own, n: df.select(F.col(key).cast("bigint").alias("key"), F.col("words").alias("words"), F.transform("v", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias(own))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left, right = row(pieces, "piece", "qb", nq).withColumn("bb", every(nb)), row(sources, "source", "bb", nb).withColumn("qb", every(nq))
 
-    p, s = pieces.withColumn("w", F.explode(F.array_distinct("words"))), sources.withColumn("w", F.explode(F.array_distinct("words")))
-    met = p.select("piece", "w").join(s.select("source", "w"), "w").select("piece", "source").distinct()
-    both = met.join(pieces.select("piece", F.col("words").alias("pw"), F.col("v").alias("pv")), "piece").join(sources.select("source", F.col("words").alias("sw"), F.col("v").alias("sv")), "source")
-    scored = both.select("piece", "source", F.round(0.1 * jaccard(F.col("pw"), F.col("sw")) + 0.9 * cosine(F.col("pv"), F.col("sv")), 9).alias("score")).where(F.col("score") > least)
+    def unit(s: pd.Series, size: int) -> np.ndarray:
+        m = np.vstack([np.zeros(size) if x is None else np.asarray(x, np.float64) for x in s])
+        n = np.sqrt((m * m).sum(1))
+        return m / np.where(n > 0, n, 1.0)[:, None]
+
+    def best(ps: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"piece": pd.Series(dtype="int64"), "source": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if ps.empty or ss.empty:
+            return out
+        ss = ss.sort_values("key")
+        size = max((len(x) for x in [*ps.v, *ss.v] if x is not None), default=1)
+        near = unit(ps.v, size) @ unit(ss.v, size).T
+        having: dict[str, list[int]] = {}
+        count = np.zeros(len(ss))
+        for j, w in enumerate(ss.words):
+            own = set(() if w is None else w)
+            count[j] = len(own)
+            for x in own:
+                having.setdefault(x, []).append(j)
+        keys, rows = ss.key.to_numpy(), []
+        for i, (pk, w) in enumerate(zip(ps.key, ps.words)):
+            own, shared = set(() if w is None else w), np.zeros(len(ss))
+            for x in own:
+                shared[having.get(x, [])] += 1
+            score = np.round(0.1 * shared / np.maximum(1, len(own) + count - shared) + 0.9 * near[i], 9)
+            top = np.argsort(-score, kind="stable")[:k]
+            rows += [(pk, keys[j], score[j]) for j in top if score[j] > least]
+        return pd.DataFrame(rows, columns=["piece", "source", "score"]) if rows else out
+
+    parts = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(best, "piece bigint, source bigint, score double")
     rank = F.row_number().over(W.partitionBy("piece").orderBy(F.desc("score"), "source"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return parts.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import random
+from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as X
 
 from graphloom.functions.python import entity_form, entity_similarity
 from graphloom.operators import resolve as Z
@@ -31,3 +38,22 @@ def test_candidates_and_groups_whole(spark, block):
         leader[k, f] = next((g for (kk, g), lead in leader.items() if kk == k and lead == g and (k, g, f) in want), f)
     groups = Z.star_groups(df, Z.candidates(df, block=block)).collect()
     assert {(r.kind, r.form): r.leader for r in groups} == leader
+
+
+def test_citations_meet_without_common_words(spark):
+    from graphloom.operators import search as S
+
+    rng = random.Random(3)
+    rows = [(i, [rng.choice("abcdefgh") for _ in range(i % 4)], [rng.uniform(-1, 1) for _ in range(5)]) for i in range(60)] + [(60, None, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "source bigint, words array<string>, v array<double>")
+    pieces = df.where("source < 9").withColumnRenamed("source", "piece")
+
+    def score(p, s):
+        a, b = set(p[1] or []), set(s[1] or [])
+        size = math.sqrt(sum(x * x for x in p[2]) * sum(x * x for x in s[2]))
+        near = sum(x * y for x, y in zip(p[2], s[2])) / size if size else 0.0
+        return round(0.1 * (len(a & b) / len(a | b) if a | b else 0.0) + 0.9 * near, 9)
+
+    want = {(p[0], s[0]) for p in rows[:9] for s in sorted(rows, key=lambda s: (-score(p, s), s[0]))[:3] if score(p, s) > 0.5}
+    for block in (8, 4096):
+        assert {(r.piece, r.source) for r in S.citations(pieces, df, block=block).collect()} == want
