@@ -78,8 +78,8 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOP_EN + X.STOP_FA)
 
 @R.add("stopword_strip", f"SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})), ' ')) AS kept FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*')")
 def stopword_strip(spark: SparkSession, d: str) -> DataFrame:
-    """Of ASCII texts: letter case of other scripts differs between engines."""
-    return _docs(spark, d).where("text is not null").where(F.col("text").rlike("^[\\x00-\\x7F]*\\z")).select("doc_id", F.md5(X.without_stop_words(F.col("text"))).alias("kept"))
+    """Of all texts; the SQL has only the ASCII ones, as letter case of other scripts differs between engines."""
+    return _docs(spark, d).where("text is not null").select("doc_id", F.md5(X.without_stop_words(F.col("text"))).alias("kept"))
 
 
 @R.add("emoji_strip", "SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]', '', 'g')) AS INTEGER) AS n_emoji FROM documents WHERE text IS NOT NULL")

@@ -57,3 +57,13 @@ def test_citations_meet_without_common_words(spark):
     want = {(p[0], s[0]) for p in rows[:9] for s in sorted(rows, key=lambda s: (-score(p, s), s[0]))[:3] if score(p, s) > 0.5}
     for block in (8, 4096):
         assert {(r.piece, r.source) for r in S.citations(pieces, df, block=block).collect()} == want
+
+
+def test_stopword_strip_all_scripts(spark, tmp_path):
+    from graphloom.queries.texts import stopword_strip
+
+    texts = ["The cell и жизнь", "این دارو برای درمان است", "Été of the Zel", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    stop = set(X.STOP_EN + X.STOP_FA)
+    want = {i: hashlib.md5(" ".join(w for w in t.lower().split() if len(w) > 1 and w not in stop).encode()).hexdigest() for i, t in enumerate(texts) if t}
+    assert {r.doc_id: r.kept for r in stopword_strip(spark, str(tmp_path)).collect()} == want
