@@ -5,6 +5,8 @@ Lineage stays short, and an executor may be lost: the written state is in the sh
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.operators.stats import degrees, undirected
@@ -38,7 +40,7 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select("id", F.coalesce(F.try_divide(F.coalesce("degree", F.lit(0)).cast("double"), F.col("n") - 1), F.lit(0.0)).alias("centrality"))
 
 
-def closeness(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_depth: int = 50) -> DataFrame:
+def closeness(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, closeness) of ``targets(id)`` by the distances that lead to them, scaled by the share that can reach them."""
     n = nodes.count()
     d = seeded_bfs(edges, targets, max_depth, "in").where("depth > 0").groupBy(F.col("seed").alias("id")).agg(F.count(F.lit(1)).alias("r"), F.sum("depth").alias("total"))
@@ -70,7 +72,7 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 20, scale_ever
     return state.select("id", F.col("x").alias("value"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 6) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, betweenness) from the given sources: shares of shortest paths, accumulated level by level (Brandes).
 
     Distances and path counts come from a level-synchronous walk of all sources at once and the dependencies from the
@@ -79,7 +81,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 6) -> Dat
     steps = cut(edges.where("src <> dst").select("src", "dst").distinct())
     dist = seeded_bfs(edges, sources, max_depth)
     levels = [cut(dist.where("depth = 0").select("seed", "id", F.lit(1.0).alias("paths")))]
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         reach = levels[-1].select("seed", F.col("id").alias("src"), "paths").join(steps, "src").groupBy("seed", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
         level = cut(reach.join(dist.where(F.col("depth") == d).select("seed", "id"), ["seed", "id"]))
         if level.isEmpty():
@@ -136,7 +138,7 @@ def prune(nodes: DataFrame, edges: DataFrame, rounds: int = 3, centrality: float
     return e
 
 
-def mean_distance(edges: DataFrame, sources: DataFrame, max_depth: int = 20, orientation: str = "both") -> DataFrame:
+def mean_distance(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, orientation: str = "both") -> DataFrame:
     """One row: pairs reached, mean distance and largest distance from the given sources."""
     d = seeded_bfs(edges, sources, max_depth, orientation).where("depth > 0")
     return d.agg(F.count(F.lit(1)).alias("pairs"), F.avg("depth").alias("mean_distance"), F.max("depth").alias("diameter"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -27,17 +29,19 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, orientation: str = "
     return seen
 
 
-def seeded_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, orientation: str = "out") -> DataFrame:
-    """(seed, id, depth): the distances of every node from each seed on its own."""
+def seeded_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, orientation: str = "out") -> DataFrame:
+    """(seed, id, depth): the distances of every node from each seed on its own; without a depth, of all that are reached."""
     steps = oriented(edges, orientation).where("src <> dst").select("src", "dst").distinct()
     seen = cut(seeds.select("id").distinct().select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         nxt = frontier.select("seed", F.col("id").alias("src")).join(steps, "src").select("seed", F.col("dst").alias("id")).distinct()
         frontier = cut(nxt.join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:  # long walks: the plan stays small
+            seen = cut(seen)
     return seen
 
 

@@ -210,7 +210,7 @@ def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
 @R.add("closeness", f"WITH RECURSIVE {GRAPH_SQL}, {SEEDS_SQL}, {STEP_SQL}, S AS (SELECT id AS seed, id, 0 AS depth FROM SEEDS UNION SELECT s.seed, e.src, s.depth + 1 FROM S s JOIN STEP e ON e.dst = s.id WHERE s.depth < 4), M AS (SELECT seed, id, min(depth) AS depth FROM S GROUP BY seed, id), C AS (SELECT seed, count(*) AS r, sum(depth) AS t FROM M WHERE depth > 0 GROUP BY seed) SELECT s.id, round(coalesce(r * 1.0 / t * r / ((SELECT count(*) FROM N) - 1.0), 0), 8) AS closeness FROM SEEDS s LEFT JOIN C ON C.seed = s.id")
 def closeness(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d).kept
-    return A.closeness(g.edges, g.nodes, seeds(g), 4).select("id", F.round("closeness", 8).alias("closeness"))
+    return A.closeness(g.edges, g.nodes, seeds(g)).select("id", F.round("closeness", 8).alias("closeness"))
 
 
 def _lpa_sql(rounds: int) -> str:
@@ -237,7 +237,7 @@ def eigenvector20(spark: SparkSession, d: str) -> DataFrame:
 @R.add("betweenness_seeds")
 def betweenness_seeds(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d).kept
-    return A.betweenness(g.edges, seeds(g, "Compound", 3), 4)
+    return A.betweenness(g.edges, seeds(g, "Compound", 3))
 
 
 @R.add("modularity_communities")
@@ -255,7 +255,7 @@ def structure_pruning(spark: SparkSession, d: str) -> DataFrame:
 @R.add("mean_distance", f"WITH RECURSIVE {GRAPH_SQL}, {SEEDS_SQL}, {STEP_SQL}, S AS (SELECT id AS seed, id, 0 AS depth FROM SEEDS UNION SELECT s.seed, e.dst, s.depth + 1 FROM S s JOIN UND e ON e.src = s.id WHERE s.depth < 3), M AS (SELECT seed, id, min(depth) AS depth FROM S GROUP BY seed, id) SELECT CAST(count(*) AS BIGINT) AS pairs, round(avg(depth), 6) AS mean_distance, CAST(max(depth) AS INTEGER) AS diameter FROM M WHERE depth > 0")
 def mean_distance(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d).kept
-    return A.mean_distance(g.edges, seeds(g), 3).withColumn("mean_distance", F.round("mean_distance", 6))
+    return A.mean_distance(g.edges, seeds(g)).withColumn("mean_distance", F.round("mean_distance", 6))
 
 
 @R.add("pagerank_summary", f"WITH {GRAPH_SQL}, {_pagerank_sql(5)}, T AS (SELECT r.id, r.r, n.kind FROM R5 r JOIN N n ON n.id = r.id ORDER BY round(r.r, 12) DESC, r.id LIMIT 100) SELECT round(avg(r), 8) AS mean_rank, round(avg(CASE WHEN kind = 'Gene' THEN 1.0 ELSE 0 END), 6) AS gene_share FROM T")

@@ -67,3 +67,42 @@ def test_stopword_strip_all_scripts(spark, tmp_path):
     stop = set(X.STOP_EN + X.STOP_FA)
     want = {i: hashlib.md5(" ".join(w for w in t.lower().split() if len(w) > 1 and w not in stop).encode()).hexdigest() for i, t in enumerate(texts) if t}
     assert {r.doc_id: r.kept for r in stopword_strip(spark, str(tmp_path)).collect()} == want
+
+
+def test_walks_until_nothing_is_left(spark):
+    from graphloom.operators import analytics as A
+
+    ids = [f"n{i:02}" for i in range(40)]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src string, dst string").withColumns({"metaedge": F.lit("GiG"), "weight": F.lit(1.0), "seq": F.lit(1)})
+    nodes, first, last = (spark.createDataFrame([(i,) for i in x], "id string") for x in (ids, ids[:1], ids[-1:]))
+    far = A.mean_distance(edges, first).first()
+    assert (far.pairs, far.mean_distance, far.diameter) == (39, 20.0, 39)
+    assert A.closeness(edges, nodes, last).first().closeness == pytest.approx(39 / 780)
+    assert {r.id: r.betweenness for r in A.betweenness(edges, first).collect()} == {x: 38.0 - i for i, x in enumerate(ids[1:])}
+
+
+def test_mean_distance_query_whole(spark):
+    from graphloom.queries.analysis import closeness, mean_distance
+    from graphloom.queries.graph import load, seeds
+
+    d = "/root/testdata/sf0.01"
+    g = load(spark, d)
+    both, back = defaultdict(set), defaultdict(set)
+    for r in g.edges.where("src <> dst").select("src", "dst").distinct().collect():
+        both[r.src].add(r.dst), both[r.dst].add(r.src), back[r.dst].add(r.src)
+
+    def walk(seed, steps):
+        seen, edge = {seed: 0}, [seed]
+        while edge:
+            edge = [y for x in edge for y in steps[x] if y not in seen and seen.setdefault(y, seen[x] + 1)]
+        return [n for n in seen.values() if n]
+
+    start = [r.id for r in seeds(g).collect()]
+    far = [n for s in start for n in walk(s, both)]
+    got = mean_distance(spark, d).first()
+    assert (got.pairs, got.diameter) == (len(far), max(far)) and got.mean_distance == pytest.approx(sum(far) / len(far), abs=1e-6)
+    n, want = g.nodes.count(), {}
+    for s in start:
+        to = walk(s, back)
+        want[s] = len(to) / sum(to) * len(to) / (n - 1) if to else 0.0
+    assert {r.id: r.closeness for r in closeness(spark, d).collect()} == pytest.approx(want, abs=1e-8)
