@@ -18,8 +18,8 @@ def squeeze(c: Column) -> Column:
 
 
 def safe_double(c: Column) -> Column:
-    """Number of a string, 0 where there is none."""
-    return F.coalesce(c.try_cast("double"), F.lit(0.0))
+    """Number of a string, 0 where there is none; Java's hexadecimal numbers and type suffixes ("1d") are none."""
+    return F.when(c.rlike("(?i)x|[0-9.][df]\\s*$"), 0.0).otherwise(F.coalesce(c.try_cast("double"), F.lit(0.0)))
 
 
 def clean(c: Column) -> Column:

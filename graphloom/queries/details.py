@@ -26,8 +26,9 @@ def gene_like_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("safe_numbers", "SELECT raw_id, CAST(round(coalesce(TRY_CAST(x AS DOUBLE), 0), 6) AS DOUBLE) AS weight FROM (SELECT raw_id, string_split(line, chr(9))[4] AS x FROM raw_edges) WHERE x IS NULL OR regexp_full_match(x, '[0-9.]*')")
 def safe_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Of all lines; the SQL has only those whose field is missing or of digits and points."""
     rows = table(spark, d, "raw_edges").select("raw_id", F.try_element_at(F.split("line", "\t"), F.lit(4)).alias("x"))
-    return rows.where(F.col("x").isNull() | F.col("x").rlike("^[0-9.]*\\z")).select("raw_id", F.round(X.safe_double(F.col("x")), 6).alias("weight"))
+    return rows.select("raw_id", F.round(X.safe_double(F.col("x")), 6).alias("weight"))
 
 
 _CHARS = "list_distinct(string_split({c}, ''))"

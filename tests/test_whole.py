@@ -106,3 +106,12 @@ def test_mean_distance_query_whole(spark):
         to = walk(s, back)
         want[s] = len(to) / sum(to) * len(to) / (n - 1) if to else 0.0
     assert {r.id: r.closeness for r in closeness(spark, d).collect()} == pytest.approx(want, abs=1e-8)
+
+
+def test_safe_numbers_every_line(spark, tmp_path):
+    from graphloom.queries.details import safe_numbers
+
+    fields = {"2.5E-2": 0.025, "1.4e-02": 0.014, "-0.5": -0.5, "+3": 3.0, "weight": 0.0, "": 0.0, ".": 0.0, "0.5\r": 0.5, "9e": 0.0, "1d": 0.0, "0x1p3": 0.0, "inf": math.inf}
+    lines = [(i, f"a\tGiG\tb\t{x}") for i, x in enumerate(fields)] + [(len(fields), "a\tGiG\tb"), (len(fields) + 1, None)]
+    spark.createDataFrame(lines, "raw_id bigint, line string").write.parquet(str(tmp_path / "raw_edges.parquet"))
+    assert {r.raw_id: r.weight for r in safe_numbers(spark, str(tmp_path)).collect()} == dict(enumerate([*fields.values(), 0.0, 0.0]))
