@@ -40,7 +40,6 @@ SINGLE = (
     ("cp1252", "cp1256"), ("latin_1", "cp1256"), ("cp1251", "cp1256"), ("cp437", "cp1256"), ("mac_roman", "cp1256"),
     ("cp1256", "cp1252"),
 )
-MAX_LAYERS = 4
 #: Longest word whose cost a worker remembers.
 LONG_WORD = 64
 
@@ -390,14 +389,15 @@ def repair(text: str | None) -> tuple[bool, str | None, int]:
     """(garbled, text with all layers undone that can be, number of layers)."""
     if not text or _PLAIN.fullmatch(text):
         return False, text, 0
-    now, layers = text, 0
-    while layers < MAX_LAYERS:
+    now, layers, seen = text, 0, {text}
+    while True:
         new = undo_multibyte(now)
         if new is None:
             new = undo_singlebyte(now)
-        if new is None or new == now:
+        if new is None or new in seen:
             break
         now, layers = new, layers + 1
+        seen.add(now)
     return layers > 0 or "�" in text, now, layers
 
 
