@@ -126,12 +126,3 @@ def test_has_edge_pairs_all_genes(spark):
     want = {(r.src, r.dst) for r in g.edges.select("src", "dst").collect() if r.src in genes and r.dst in genes and r.src < r.dst}
     rows = has_edge_pairs(spark, d).collect()
     assert len(rows) == len(want) and {(r.src, r.dst) for r in rows} == want
-
-
-def test_repair_of_six_layers():
-    from graphloom.llm.mojibake import repair
-
-    text = garbled = "La protéine été étudiée à Genève."
-    for _ in range(6):
-        garbled = garbled.encode().decode("latin_1")
-    assert repair(garbled) == (True, text, 6)
