@@ -1,20 +1,23 @@
 """One consistent form for text that looks the same but is written with different characters.
 
-Characters first: line ends and spaces become plain, invisible characters go, presentation and width forms become
+Characters first: line ends and spaces become plain (a carriage return before a line feed is a plain line end: it is
+written as a line feed, but makes no case), invisible characters go, presentation and width forms become
 ordinary letters, letters and accents are joined, Persian words get the Persian letters. What visibly differs stays
 (raised figures, the numero sign, typographic quotes and dashes, emoji), and so does the zero-width non-joiner inside
 Persian words.
 
-Then look-alike letters, by script-aware repair: in a token that mixes scripts the look-alikes are replaced so that one
-script remains, when the result is in the corpus vocabulary (counts of all tokens of all rows). Three cases go beyond
-mixed tokens of known words, as equal names must compare equal:
+Then look-alike letters, by script-aware repair: the dominant script of a token that mixes scripts is that of its
+unambiguous letters, or else of most letters, and look-alikes are replaced when the result is in the corpus vocabulary
+(counts of all tokens of all rows); where it isn't, the other script's form is asked for. Three cases go beyond this, as
+equal names must compare equal:
 
-* a mixed token whose repaired form the vocabulary lacks takes the script of its unambiguous letters, or of most letters;
+* a mixed token of which the vocabulary has neither form takes its dominant script;
 * a token written wholly in look-alikes changes when the vocabulary holds its other form more often than its own, or
   when it has letters that no language here uses;
 * ``script='latin'`` (names) fixes the target: Latin, except tokens of one Greek letter.
 
-A small Greek letter that stands for itself next to Latin letters is only replaced for a vocabulary word.
+A small Greek letter that stands for itself next to Latin letters is only replaced for a vocabulary word. A letter with
+an accent looks like the letter that its base looks like, with the same accent.
 
 Defined results: null stays null and is no case; empty and blank texts are kept; texts are handled whole; spaces at the
 ends are kept; repeated rows give equal results; empty tables give empty results; further columns are ignored.
@@ -26,7 +29,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -92,9 +95,21 @@ _BORDER = re.compile(f"[{_L}][0-9]*(?=[{_CG}])|[{_CG}][0-9]*(?=[{_L}])|[Ͱ-Ͽ](?
 _WHOLE = re.compile(f"(?<![^\\W_])(?=[{CYRILLIC}{GREEK}])[{CYRILLIC}{GREEK}0-9]+(?![^\\W_])|(?<![^\\W_])[{LATIN}]{{2,}}[0-9]*(?![^\\W_])")
 _WORD = re.compile(r"[^\W_]+")
 _FOREIGN = re.compile(f"[{_CG}]")
-_TO_LATIN = {ord(a): b for a, b in zip(CYRILLIC + GREEK, LATIN_OF_CYRILLIC + LATIN_OF_GREEK)}
-_SOFTLY = _TO_LATIN | {ord(a): b for a, b in zip(SOFT_GREEK, LATIN_OF_SOFT)}
-_TO_CYRILLIC = {ord(a): b for a, b in zip(LATIN, CYRILLIC_OF_LATIN)}
+
+
+def _accented(table: dict[int, str], lo: int, hi: int) -> dict[int, str]:
+    """``table`` with the characters of a range whose base letter it has, accents kept."""
+    out = dict(table)
+    for o in range(lo, hi):
+        base, *marks = unicodedata.normalize("NFD", chr(o))
+        if marks and ord(base) in table and len(c := unicodedata.normalize("NFC", table[ord(base)] + "".join(marks))) == 1:
+            out.setdefault(o, c)
+    return out
+
+
+_TO_LATIN = _accented({ord(a): b for a, b in zip(CYRILLIC + GREEK, LATIN_OF_CYRILLIC + LATIN_OF_GREEK)}, 0x370, 0x530)
+_SOFTLY = _accented(_TO_LATIN | {ord(a): b for a, b in zip(SOFT_GREEK, LATIN_OF_SOFT)}, 0x370, 0x530)
+_TO_CYRILLIC = {ord(a): b for a, b in zip(LATIN, CYRILLIC_OF_LATIN)} | {ord("Ë"): "Ё", ord("ë"): "ё"}
 _TO_CYRILLIC |= {g: _TO_CYRILLIC[ord(c)] for g, c in ((ord(a), b) for a, b in zip(GREEK, LATIN_OF_GREEK)) if ord(c) in _TO_CYRILLIC}
 
 
@@ -108,10 +123,15 @@ def script(c: str) -> str:
 
 
 def forms(token: str, names: bool) -> tuple[str, str | None, str | None, str | None] | None:
-    """(kind, Latin form, Cyrillic form, form without vocabulary) of a token that may need repair, or None."""
+    """(kind, form in the dominant script, form in the other, form without vocabulary) of a token that may need repair, or None."""
     return _forms(token, names) if len(token) <= 64 else _forms.__wrapped__(token, names)
 
 
+def _only(form: str, other: str) -> str | None:
+    """``form`` if it has no letter of the ``other`` scripts."""
+    return None if any(script(c) in other for c in form if script(c)) else form
+
+
 @lru_cache(100_000)
 def _forms(token: str, names: bool) -> tuple[str, str | None, str | None, str | None] | None:
     letters = [c for c in token if script(c)]
@@ -120,24 +140,22 @@ def _forms(token: str, names: bool) -> tuple[str, str | None, str | None, str |
         return None
     if scripts == {"g"} and len(letters) == 1:
         return None
-    hard, soft = token.translate(_TO_LATIN), token.translate(_SOFTLY)
-    cyr = token.translate(_TO_CYRILLIC)
-    lat = hard if not any(script(c) in "gc" for c in hard if script(c)) else None
-    lat_vocab = lat or (soft if not any(script(c) in "gc" for c in soft if script(c)) else None)
-    cyr = cyr if not any(script(c) in "gl" for c in cyr if script(c)) else None
+    lat, cyr = _only(token.translate(_TO_LATIN), "gc"), _only(token.translate(_TO_CYRILLIC), "gl")
+    soft = lat or _only(token.translate(_SOFTLY), "gc")
     if names:
-        return ("mixed", lat_vocab, None, lat)
+        return ("mixed", soft, None, lat)
     if len(scripts) > 1:
         own_l = sum(1 for c in letters if script(c) == "l" and ord(c) not in _TO_CYRILLIC)
         own_c = sum(1 for c in letters if script(c) == "c" and ord(c) not in _TO_LATIN)
         n_l, n_c = sum(script(c) == "l" for c in letters), sum(script(c) == "c" for c in letters)
-        alone = lat if lat and (own_l or not cyr or n_l >= n_c) else cyr if cyr and (own_c or not lat or n_c > n_l) else None
-        return ("mixed", lat_vocab, cyr, alone)
+        if own_l > own_c or own_l == own_c and n_l >= n_c:
+            return ("mixed", soft, cyr, lat or cyr)
+        return ("mixed", cyr, soft, cyr or lat)
     if len(token) < 2:
         return None
     if scripts == {"l"}:
         return ("whole", None, cyr, None) if cyr and cyr != token else None
-    return ("whole", lat, None, lat if NOT_RUSSIAN & set(letters) else None) if lat and lat != token else None
+    return ("whole", None, lat, lat if NOT_RUSSIAN & set(letters) else None) if lat and lat != token else None
 
 
 def open_tokens(s: str, names: bool) -> set[str]:
@@ -167,89 +185,118 @@ def rewrite(s: str, change: dict[str, str]) -> str:
     return _WORD.sub(lambda m: change.get(m.group(), m.group()), s) if change else s
 
 
-_OPEN = "array<struct<token:string,kind:string,lat:string,cyr:string,alone:string>>"
+_FIELDS = ("token", "kind", "main", "other", "alone")
+_SURVEY = f"key bigint, changed boolean, open array<struct<{','.join(f'{f}:string' for f in _FIELDS)}>>, token string, n bigint"
+#: Most tokens whose repairs are sent to the tasks (at most a few megabytes); beyond it they are joined.
+SENT_TOKENS = 50_000
+_HELD_TOKENS = 200_000
 
 
-def _plain_batches(batches: Iterator[pa.RecordBatch], names: bool, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("token", "kind", "lat", "cyr", "alone")]))
-    for b in batches:
-        texts = b.column(1).to_pylist()
-        plain = [None if t is None else plain_characters(t) for t in texts]
-        opens = [[] if t is None else [dict(zip(("token", "kind", "lat", "cyr", "alone"), (w, *forms(w, names)))) for w in sorted(open_tokens(t, names))] for t in plain]
-        cols = [b.column(0), pa.array([t is not None and t != p for t, p in zip(texts, plain)]), pa.array(opens, kind)]
-        out = ["key", "changed", "open"]
-        if keep_text:
-            cols, out = [*cols, pa.array(plain, pa.string())], [*out, "plain"]
-        yield pa.RecordBatch.from_arrays(cols, names=out)
+def plain_case(text: str, plain: str) -> bool:
+    """Whether a text's characters make it a case."""
+    return text != plain and text.replace("\r\n", "\n") != plain
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _survey_batches(batches: Iterator[pa.RecordBatch], names: bool) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("key", pa.int64()), ("changed", pa.bool_()), ("open", pa.list_(pa.struct([(f, pa.string()) for f in _FIELDS]))), ("token", pa.string()), ("n", pa.int64())])
+    held: Counter = Counter()
+
+    def counts() -> pa.RecordBatch:
+        words, n = list(held.keys()), list(held.values())
+        held.clear()
+        none = [pa.nulls(len(words), f.type) for f in schema][:3]
+        return pa.RecordBatch.from_arrays([*none, pa.array(words, pa.string()), pa.array(n, pa.int64())], schema=schema)
+
     for b in batches:
-        n: Counter = Counter()
-        for t in b.column(0).to_pylist():
-            if t:
-                n.update(_WORD.findall(plain_characters(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], names=["token", "n"])
+        rows = []
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if not text:
+                continue
+            plain = plain_characters(text)
+            held.update(_WORD.findall(plain))
+            changed, opens = plain_case(text, plain), sorted(open_tokens(plain, names))
+            if changed or opens:
+                rows.append((key, changed, [dict(zip(_FIELDS, (w, *forms(w, names)))) for w in opens]))
+        cols = zip(*rows) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([*(pa.array(list(c), f.type) for c, f in zip(cols, schema)), pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int64())], schema=schema)
+        if len(held) > _HELD_TOKENS:
+            yield counts()
+    yield counts()
 
 
 def _source(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
 
 
-def plain_rows(df: DataFrame, key: str, text: str, names: bool, keep_text: bool = False) -> DataFrame:
-    """(key, changed, open[, plain]) of every row."""
-    schema = f"key bigint, changed boolean, open {_OPEN}" + (", plain string" if keep_text else "")
-    return spread(_source(df, key, text)).mapInArrow(lambda it: _plain_batches(it, names, keep_text), schema)
+class Survey:
+    """One reading of a table's texts, written once: rows that may be cases, with their open tokens, and token counts."""
+
+    def __init__(self, df: DataFrame, key: str, text: str, names: bool = False) -> None:
+        self.names, self.source = names, _source(df, key, text)
+        self.rows = cut(spread(self.source).mapInArrow(lambda it: _survey_batches(it, names), _SURVEY))
 
+    def opens(self) -> DataFrame:
+        return self.rows.where("size(open) > 0").select("key", F.lit(self.names).alias("names"), F.explode("open").alias("o")).select("key", "names", "o.*")
 
-def vocabulary(sources: list[tuple[DataFrame, str]]) -> DataFrame:
+
+def vocabulary(surveys: list[Survey]) -> DataFrame:
     """(token, n) over all rows of all sources."""
-    parts = [spread(df.select(F.col(c).cast("string").alias("text"))).mapInArrow(_count_batches, "token string, n bigint") for df, c in sources]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    return all_.groupBy("token").agg(F.sum("n").alias("n"))
-
-
-def decisions(opens: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, kind, repaired, known) of distinct open tokens; ``known``: the vocabulary has the result."""
-    asked = opens.groupBy("token", "kind", "lat", "cyr", "alone").agg(F.lit(1).alias("one")).drop("one")
-    form = F.explode(F.array_distinct(F.array_compact(F.array("token", "lat", "cyr"))))
-    counted = asked.select("*", form.alias("form")).join(words.withColumnRenamed("token", "form"), "form", "left")
+    return reduce(DataFrame.unionByName, [s.rows.where("token is not null").select("token", "n") for s in surveys]).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def decisions(surveys: list[Survey]) -> DataFrame:
+    """(names, token, repaired) of the distinct open tokens that change, by the vocabulary of all surveys."""
+    given = ["names", *_FIELDS]
+    asked = reduce(DataFrame.unionByName, [s.opens().drop("key") for s in surveys]).distinct()
+    form = F.explode(F.array_distinct(F.array_compact(F.array("token", "main", "other"))))
+    counted = asked.select("*", form.alias("form")).join(vocabulary(surveys).withColumnRenamed("token", "form"), "form", "left")
     n = lambda c: F.coalesce(F.max(F.when(F.col("form") == F.col(c), F.col("n"))), F.lit(0))
-    found = counted.groupBy("token", "kind", "lat", "cyr", "alone").agg(n("token").alias("n_own"), n("lat").alias("n_lat"), n("cyr").alias("n_cyr"))
-    mixed = F.when((F.col("n_lat") > 0) & (F.col("n_lat") >= F.col("n_cyr")), F.col("lat")).when(F.col("n_cyr") > 0, F.col("cyr")).otherwise(F.col("alone"))
-    whole = F.when(F.col("alone").isNotNull(), F.col("alone")).when(F.greatest("n_lat", "n_cyr") > F.col("n_own"), F.coalesce("lat", "cyr"))
-    known = F.greatest("n_lat", "n_cyr") > 0
-    return found.select("token", "kind", "lat", F.when(F.col("kind") == "mixed", mixed).otherwise(whole).alias("repaired"), known.alias("known")).where("repaired is not null and repaired <> token")
-
-
-def _asked(rows: DataFrame) -> DataFrame:
-    return rows.where(F.size("open") > 0).select("key", F.explode("open").alias("o")).select("key", "o.*")
-
-
-def inconsistent_keys(df: DataFrame, key: str, text: str, words: DataFrame, names: bool = False) -> DataFrame:
-    """(key) of rows whose text isn't in the consistent form."""
-    rows = cut(plain_rows(df, key, text, names))  # the texts are read once; what stays is small
-    opens = _asked(rows)
-    repaired = opens.join(decisions(opens.drop("key"), words).select("token", "kind"), ["token", "kind"], "left_semi")
-    return rows.where("changed").select("key").unionByName(repaired.select("key")).distinct()
-
-
-def consistent(df: DataFrame, key: str, text: str, words: DataFrame, names: bool = False) -> DataFrame:
-    """(key, text, changed) of every row in its consistent form."""
-    rows = plain_rows(df, key, text, names, keep_text=True)
-    opens = _asked(rows)
-    change = opens.join(decisions(opens.drop("key"), words).select("token", "kind", "repaired"), ["token", "kind"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("token", "repaired"))).alias("change"))
-    both = rows.select("key", "changed", "plain").join(change, "key", "left").select("key", "changed", "plain", F.map_entries("change").alias("change"))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got, flags = [], []
-            for changed, plain, entries in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                new = plain if plain is None or not entries else rewrite(plain, {e["key"]: e["value"] for e in entries})
-                got.append(new)
-                flags.append(bool(changed) or new != plain)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string()), pa.array(flags)], names=["key", "text", "changed"])
-
-    return both.mapInArrow(apply, "key bigint, text string, changed boolean")
+    found = counted.groupBy(*given).agg(n("token").alias("n_own"), n("main").alias("n_main"), n("other").alias("n_other"))
+    mixed = F.when(F.col("n_main") > 0, F.col("main")).when(F.col("n_other") > 0, F.col("other")).otherwise(F.col("alone"))
+    whole = F.when(F.col("alone").isNotNull(), F.col("alone")).when(F.col("n_other") > F.col("n_own"), F.col("other"))
+    return found.select("names", "token", F.when(F.col("kind") == "mixed", mixed).otherwise(whole).alias("repaired")).where("repaired is not null and repaired <> token")
+
+
+def inconsistent_rows(surveys: dict[str, Survey]) -> DataFrame:
+    """(tbl, key) of rows whose text isn't in the consistent form."""
+    change = cut(decisions(list(surveys.values())).select("names", "token"))
+    parts = []
+    for tbl, s in surveys.items():
+        repaired = s.opens().join(change, ["names", "token"], "left_semi").select("key")
+        parts.append(s.rows.where("changed").select("key").unionByName(repaired).distinct().select(F.lit(tbl).alias("tbl"), "key"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rewritten(batches: Iterator[pa.RecordBatch], change_of) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got, flags = [], []
+        for i, text in enumerate(b.column(1).to_pylist()):
+            new = plain = None if text is None else plain_characters(text)
+            if plain and (change := change_of(b, i, plain)):
+                new = rewrite(plain, change)
+            got.append(new)
+            flags.append(text is not None and (plain_case(text, plain) or new != plain))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string()), pa.array(flags)], names=["key", "text", "changed"])
+
+
+def consistent(survey: Survey, others: list[Survey] = ()) -> DataFrame:
+    """(key, text, changed) of every row in its consistent form; ``others`` lend their words to the vocabulary.
+
+    The repairs are sent to the tasks while they are few, so that texts are not shuffled; else they are joined by key.
+    """
+    names = survey.names
+    change = cut(decisions([survey, *others]).where(F.col("names") == names).select("token", "repaired"))
+    out = "key bigint, text string, changed boolean"
+    if change.count() <= SENT_TOKENS:
+        known = survey.source.sparkSession.sparkContext.broadcast({r.token: r.repaired for r in change.collect()})
+
+        def sent(b: pa.RecordBatch, i: int, plain: str) -> dict[str, str]:
+            return {w: known.value[w] for w in open_tokens(plain, names) if w in known.value}
+
+        return spread(survey.source).mapInArrow(lambda it: _rewritten(it, sent), out)
+    by_key = survey.opens().select("key", "token").distinct().join(change, "token").groupBy("key").agg(F.collect_list(F.struct("token", "repaired")).alias("change"))
+
+    def joined(b: pa.RecordBatch, i: int, plain: str) -> dict[str, str]:
+        return {e["token"]: e["repaired"] for e in b.column(2)[i].as_py() or ()}
+
+    return survey.source.join(by_key, "key", "left").select("key", "text", "change").mapInArrow(lambda it: _rewritten(it, joined), out)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.llm.chunking import items, read_limits, split
 from graphloom.llm.language import Profiles, fit, identify
-from graphloom.llm.lookalikes import consistent, inconsistent_keys, vocabulary
+from graphloom.llm.lookalikes import Survey, consistent, inconsistent_rows
 from graphloom.llm.mixing import Mixture
 from graphloom.llm.mojibake import repair_corpus
 from graphloom.llm.tokenizer import encode_corpus
 from graphloom.queries.base import Registry
-from graphloom.session import cut, table
+from graphloom.session import table
 
 R = Registry()
 
@@ -62,26 +62,25 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     return _identified(spark, d).select("page_id", F.posexplode("segments").alias("segment_no", "s")).select("page_id", "segment_no", "s.*")
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
-    return vocabulary([(table(spark, d, "graph_nodes"), "name"), (table(spark, d, "wiki_pages"), "text")])
+def _surveys(spark: SparkSession, d: str) -> dict[str, Survey]:
+    return {"graph_nodes": Survey(table(spark, d, "graph_nodes"), "node_row", "name", names=True), "wiki_pages": Survey(table(spark, d, "wiki_pages"), "page_id", "text")}
 
 
 @R.add("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    words = cut(_words(spark, d))
-    names = inconsistent_keys(table(spark, d, "graph_nodes"), "node_row", "name", words, names=True)
-    texts = inconsistent_keys(table(spark, d, "wiki_pages"), "page_id", "text", words)
-    return names.select(F.lit("graph_nodes").alias("tbl"), F.col("key").alias("row_id")).unionByName(texts.select(F.lit("wiki_pages").alias("tbl"), F.col("key").alias("row_id")))
+    return inconsistent_rows(_surveys(spark, d)).withColumnRenamed("key", "row_id")
 
 
 @R.add("p4_names")
 def p4_names(spark: SparkSession, d: str) -> DataFrame:
-    return consistent(table(spark, d, "graph_nodes"), "node_row", "name", _words(spark, d), names=True).select(F.col("key").alias("node_row"), F.col("text").alias("name"), "changed")
+    s = _surveys(spark, d)
+    return consistent(s["graph_nodes"], [s["wiki_pages"]]).select(F.col("key").alias("node_row"), F.col("text").alias("name"), "changed")
 
 
 @R.add("p4_texts")
 def p4_texts(spark: SparkSession, d: str) -> DataFrame:
-    return consistent(table(spark, d, "wiki_pages"), "page_id", "text", _words(spark, d)).select(F.col("key").alias("page_id"), "text", "changed")
+    s = _surveys(spark, d)
+    return consistent(s["wiki_pages"], [s["graph_nodes"]]).select(F.col("key").alias("page_id"), "text", "changed")
 
 
 @R.add("p7_ids")
