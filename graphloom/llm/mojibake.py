@@ -42,6 +42,8 @@ SINGLE = (
 )
 #: Longest word whose cost a worker remembers.
 LONG_WORD = 64
+#: Cost that a character may add when a proven layer is taken to hold for it, too.
+SLACK = 0.5
 
 
 @lru_cache(None)
@@ -91,7 +93,6 @@ _ODD = [
     (re.compile("[ÃÂ](?=[ -¿\u0080-\u009f])|[ÐÑ][ -¿\u0080-\u009fÐÑ‚-™]|[ØÙÚÛ][ -¿\u0080-\u009fØÙÚÛ‚-™]"), 2),
 ]
 _ANY_ODD = re.compile("|".join(p.pattern for p, _ in _ODD))
-_PLAIN = re.compile("[\\t\\n\\r -~]*")
 
 
 def cost(s: str) -> int:
@@ -99,9 +100,13 @@ def cost(s: str) -> int:
     return sum(w * len(p.findall(s)) for p, w in _ODD)
 
 
-#: What clean texts hold besides ASCII; other characters count as rare.
-_COMMON = set("éèàùâêîôûçëïüñáíóúäößœåšÉÈÀÂÊÎÔÇÑÁÍÓÚÄÖÜ¿¡αβγδωабвгдежзийклмнопрстуфхцчшщъыьэюяёАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁاینردهمتوبسشکزلگفخعقجپحآصچطذضژظغثئءأؤ،؛؟’“”—–«»°±²₂№•…‌ 🧬💊🧠🔬🤒😀→")
-_UNCOMMON = re.compile("[^\\x00-\\x7f" + "".join(_COMMON) + "]")
+#: Letters of the six languages, of Greek symbols and accents of names, and the usual typographic signs.
+_LETTERS = "éèàùâêîôûçëïüñáíóúäößœåšÉÈÀÂÊÎÔÇÑÁÍÓÚÄÖÜαβγδωабвгдежзийклмнопрстуфхцчшщъыьэюяёАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁاینردهمتوبسشکزلگفخعقجپحآصچطذضژظغثئءأؤ"
+_TYPOGRAPHY = "¿¡«»°±،؛؟’“”—–…•№‌"
+#: Blocks of what clean text of any script may hold and legacy encodings mostly lack: raised and lowered
+#: figures, arrows, pictographs.
+_PICTURES = "\u00b2\u2070-\u209c\u2190-\u2193\u2600-\u27bf\ufe0f\U0001f000-\U0001faff"
+_UNCOMMON = re.compile(f"[^\\x00-\\x7f{_LETTERS}{_TYPOGRAPHY}{_PICTURES}]")
 
 
 def score(s: str) -> int:
@@ -145,8 +150,6 @@ def _decoded(s: str, name: str) -> str | None:
 
 def undo_multibyte(text: str) -> str | None:
     """One multi-byte layer less, or None."""
-    if not _ANY_ODD.search(text) and not _UNCOMMON.search(text):  # nothing that could drop
-        return None
     best: tuple[tuple[int, int], str] | None = None
     for name in LEGACY:
         found = [(m.start(), m.end(), d) for m in stretches(name).finditer(text) if (d := _decoded(m.group(), name)) is not None]
@@ -179,8 +182,6 @@ _RUS = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 _PER = "اینردهمتوبسشکزلگفخعقجپحآصچطذضژظغثئءأؤ"
 _LAT = "éèàùâêîôûçëïüñáíóúäößœåšøæìòõãýÿÉÈÀÙÂÊÎÔÛÇËÏÜÑÁÍÓÚÄÖŒÅŠØÆÌÒÕÃ"
 _WORDS = re.compile("[^\\s,.;:()!?\"]+")
-#: Characters that were put in after the damage, or that no legacy encoding has.
-_KEPT = set("№�‌")
 _HIGH = re.compile("[^\\x00-\\x7f]")
 
 
@@ -276,7 +277,7 @@ def _converted(w: str, k: int) -> tuple[float, str] | None:
 @lru_cache(65536)
 def _conversion(w: str, k: int) -> tuple[float, str] | None:
     _, single, swap = _swaps()[k]
-    if any(c > "\x7f" and ord(c) not in swap and c not in _KEPT and ord(c) < 0x1F000 for c in w):
+    if not _swappable(w, swap):
         return None
     new = w.translate(swap)
     if single:
@@ -359,7 +360,7 @@ def undo_singlebyte(text: str, margin: float = 2.0) -> str | None:
                 drop, before, change = _gain(by[script], k)
                 if drop > margin + 0.15 * before and (best is None or drop > best[0]):
                     after, high = before - drop, sum(len(_HIGH.findall(w)) for w in change.values())
-                    if after <= 1.3 * high + 0.2 and (_swaps()[k][1] or max(map(len, change), default=0) > 3):
+                    if after <= 1.3 * high + 0.2:
                         best = (drop, k, change)
         if best:
             found.setdefault(best[1], {})[i] = best[2]
@@ -379,26 +380,117 @@ def undo_singlebyte(text: str, margin: float = 2.0) -> str | None:
             drop, before, change = _gain(by[script], top, ties=False)
             if drop > 0.1 * before:
                 found[top][i] = change if script != "l" else {w: n for w, n in change.items() if len(w) == 1 or word_cost(w) - word_cost(n) > 1}
+    touched = {i for at in found.values() for i in at}
     for at in found.values():
         for i, change in at.items():
             parts[i] = _WORDS.sub(lambda m: change.get(m.group(), m.group()), parts[i])
-    return "".join(parts)
+    return _widened(text, "".join(parts), lines_of(text, touched), top)
+
+
+def lines_of(text: str, touched: set[int]) -> set[int]:
+    """Numbers of the lines that hold the given sentences."""
+    out, line = set(), 0
+    for i, part in enumerate(_SENTENCES.findall(text)):
+        if i in touched:
+            out.add(line)
+        line += part.count("\n")
+    return out
+
+
+def _widened(text: str, repaired: str, touched: set[int], k: int) -> str:
+    """``repaired``, or all of the text or of a touched line read again, where its words then cost hardly more.
+
+    A layer proven by some words holds for all characters that went through it: signs, capitals and short words, too.
+    ``SLACK`` a character that this changes is what the proof is worth.
+    """
+    _, single, swap = _swaps()[k]
+
+    def read_again(old: str, new: str) -> str:
+        whole = old.translate(swap)
+        if whole == new or len(whole) != len(new) or not _swappable(old, swap) or single and _loses(old, whole):
+            return new
+        slack = SLACK * sum(map(str.__ne__, whole, new))
+        return whole if _words_cost(whole) <= _words_cost(new) + slack else new
+
+    whole = read_again(text, repaired)
+    if whole is not repaired:
+        return whole
+    old, new = text.split("\n"), repaired.split("\n")
+    if len(old) != len(new):
+        return repaired
+    return "\n".join(read_again(a, b) if i in touched else b for i, (a, b) in enumerate(zip(old, new)))
+
+
+def _loses(old: str, new: str) -> bool:
+    """Whether a letter becomes a sign where clean words have none, or a usual sign on its own a letter."""
+    for i, (x, y) in enumerate(zip(old, new)):
+        if x != y and x.isalpha() != y.isalpha():
+            before, after = i > 0 and new[i - 1].isalpha(), new[i + 1 : i + 2].isalpha()
+            if y.isalpha():
+                if x in "–—…•“”‘’" and not before and not after:
+                    return True
+            elif y not in ("’" if before and after else _SIGNS if before or after else _LONE):
+                return True
+    return False
+
+
+def _swappable(s: str, swap: dict[int, str]) -> bool:
+    """Whether every letter of ``s`` can have gone through a layer."""
+    return not any(c > "\x7f" and ord(c) not in swap and c.isalpha() for c in s)
+
+
+def _flags(token: str) -> int:
+    """1 where a token shows what a multi-byte layer leaves, 2 where a word of it looks like a single-byte layer."""
+    multi = bool(_ANY_ODD.search(token) or _UNCOMMON.search(token))
+    single = any(word_cost(w) > 1.2 + 1.35 * len(_HIGH.findall(w)) for w in _WORDS.findall(token) if not w.isascii())
+    return multi | single << 1
+
+
+_remembered_flags = lru_cache(65536)(_flags)
+
+
+def suspicion(text: str) -> int:
+    """``_flags`` of the distinct tokens of a text together: no sign of damage reaches over a blank."""
+    found = 0
+    for t in set(text.replace("\n", " ").split(" ")):
+        if not t.isascii():
+            found |= _remembered_flags(t) if len(t) <= LONG_WORD else _flags(t)
+            if found == 3:
+                break
+    return found
+
+
+def _foreign(s: str) -> int:
+    """Rare characters beyond the Latin, Greek, Cyrillic and Arabic blocks."""
+    return sum(c > "\u06ff" for c in _UNCOMMON.findall(s))
+
+
+def _words_cost(s: str) -> float:
+    return sum(word_cost(w) for w in _WORDS.findall(s) if not w.isascii())
+
+
+def _one_layer(text: str) -> str | None:
+    """One layer less, or None. A multi-byte layer that would give new letters of a foreign script competes with the
+    single-byte ones on the cost of all words."""
+    signs = suspicion(text)
+    multi = undo_multibyte(text) if signs & 1 else None
+    if multi is not None and _foreign(multi) <= _foreign(text):
+        return multi
+    single = undo_singlebyte(text) if signs & 2 else None
+    if multi is None or single is None:
+        return single if multi is None else multi
+    return single if _words_cost(single) < _words_cost(multi) else multi
 
 
 def repair(text: str | None) -> tuple[bool, str | None, int]:
     """(garbled, text with all layers undone that can be, number of layers)."""
-    if not text or _PLAIN.fullmatch(text):
+    if not text or text.isascii():
         return False, text, 0
     now, layers, seen = text, 0, {text}
-    while True:
-        new = undo_multibyte(now)
-        if new is None:
-            new = undo_singlebyte(now)
-        if new is None or new in seen:
-            break
+    while (new := _one_layer(now)) is not None and new not in seen:
         now, layers = new, layers + 1
         seen.add(now)
-    return layers > 0 or "�" in text, now, layers
+    return layers > 0 or "\ufffd" in text, now, layers
 
 
 def _repair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
