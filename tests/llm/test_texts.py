@@ -53,7 +53,7 @@ def test_chunk_oracle(spark, con, data):
     assert compare(spark, con, R.queries["p1_found"], R.sql["p1_found"], data) == ""
 
 
-PROFILES = L.Profiles({k: [g for g, _ in L.grams(L.normal(s)).most_common()] for k, s in L.SEED.items()})
+PROFILES = L.Profiles({k: [g for g, _ in L.grams(L.text_words(s)).most_common()] for k, s in L.SEED.items()})
 SAMPLES = {
     "en": "It is not clear whether the patients in the other group were treated with the same dose.",
     "de": "Es ist nicht klar, ob die Kranken in der anderen Gruppe mit derselben Dosis behandelt wurden.",
@@ -123,19 +123,23 @@ def test_plain_is_stable(s):
     assert K.plain_characters(once) == once and unicodedata.is_normalized("NFC", once)
 
 
-def test_lookalikes(spark):
+@pytest.mark.parametrize("sent", [0, 50_000])
+def test_lookalikes(spark, sent, monkeypatch):
+    monkeypatch.setattr(K, "SENT_TOKENS", sent)
     names = [(1, "BRCA1"), (2, "ВRСА1"), (3, "α-blocker"), (4, "МАР11"), (5, None), (6, " x "), (7, "ВRСА1")]
-    texts = [(1, "the liver from thе Alps"), (2, "Связь между генами и прoба проба"), (3, "СО2 and CO2 and CO2"), (4, "В почках"), (5, None), (6, ""), (7, "TNFα rose"), (8, "NAЅE77 alone")]
+    texts = [(1, "the liver from thе Alps"), (2, "Связь между генами и прoба проба"), (3, "СО2 and CO2 and CO2"), (4, "В почках"), (5, None), (6, ""), (7, "TNFα rose"), (8, "NAЅE77 alone"), (9, "line\r\nline"), (10, "line\rline"), (11, "naїve or naïve")]
     n = spark.createDataFrame([(*r, "c") for r in names], "node_row bigint, name string, key string")
     t = spark.createDataFrame([(*r, "c") for r in texts], "page_id bigint, text string, plain string")
-    words = K.vocabulary([(n, "name"), (t, "text")])
-    assert {r.key for r in K.inconsistent_keys(n, "node_row", "name", words, names=True).collect()} == {2, 4, 7}
-    assert {r.key for r in K.inconsistent_keys(t, "page_id", "text", words).collect()} == {1, 2, 3, 8}
-    got = {r.key: r.text for r in K.consistent(n, "node_row", "name", words, names=True).collect()}
-    assert got == {1: "BRCA1", 2: "BRCA1", 3: "α-blocker", 4: "MAP11", 5: None, 6: " x ", 7: "BRCA1"}
-    got = {r.key: r.text for r in K.consistent(t, "page_id", "text", words).collect()}
+    a, b = K.Survey(n, "node_row", "name", names=True), K.Survey(t, "page_id", "text")
+    found = {(r.tbl, r.key) for r in K.inconsistent_rows({"n": a, "t": b}).collect()}
+    assert found == {("n", k) for k in (2, 4, 7)} | {("t", k) for k in (1, 2, 3, 8, 10, 11)}
+    rows = K.consistent(a, [b]).collect()
+    assert {r.key: r.text for r in rows} == {1: "BRCA1", 2: "BRCA1", 3: "α-blocker", 4: "MAP11", 5: None, 6: " x ", 7: "BRCA1"} and {r.key for r in rows if r.changed} == {2, 4, 7}
+    rows = K.consistent(b, [a]).collect()
+    got = {r.key: r.text for r in rows}
     assert got[1] == "the liver from the Alps" and got[2].count("проба") == 2 and got[3] == "CO2 and CO2 and CO2" and got[7] == "TNFα rose" and got[8] == "NASE77 alone"
-    assert K.inconsistent_keys(t.where("false"), "page_id", "text", words).count() == 0
+    assert got[9] == got[10] == "line\nline" and got[11] == "naïve or naïve" and {r.key for r in rows if r.changed} == {1, 2, 3, 8, 10, 11}
+    assert K.inconsistent_rows({"t": K.Survey(t.where("false"), "page_id", "text")}).count() == 0
 
 
 ORIGINALS = ["Le gène a été relevé près du cœur, d’où la fiche.", "Die Übersicht prüfte die Größe der Änderung.", "Связь между геном и болезнью была удалена.", "در این بررسی ژن بیشتر از همه بیان می‌شود.", "¿Quién sabe la razón? El daño fue pequeño."]
@@ -165,6 +169,27 @@ def test_singlebyte_layers_come_back(read, written, s):
     assert M.repair(garbled)[:2] == (True, s)
 
 
+def test_six_layers_come_back():
+    text = garbled = "La protéine été étudiée à Genève."
+    for _ in range(6):
+        garbled = garbled.encode().decode("latin_1")
+    assert M.repair(garbled) == (True, text, 6)
+
+
+@pytest.mark.parametrize(
+    "read,written,s",
+    [
+        ("cp1252", "cp1251", "Это да и нет"),
+        ("koi8_r", "cp1251", "Кроме того, в тонкой кишке следов не обнаружили."),
+        ("mac_roman", "cp1252", "SEE ALSO:\n• The reason isn’t known; “gene panel” of Drórel."),
+        ("cp1252", "mac_roman", "• Según el registro, el corazón respondió bien y el daño fue pequeño."),
+    ],
+)
+def test_a_layer_holds_for_the_whole_line(read, written, s):
+    garbled = "".join(M.from_byte(read)[M.to_byte(written)[c]] if c > "\x7f" else c for c in s)
+    assert M.repair(garbled)[:2] == (True, s)
+
+
 CLEAN = [*ORIGINALS, None, "", "plain", "├── genes\n│   └── VORK1\n└── drugs ░▒▓", "ÄÖÜ ÆØÅ ÏÎÌ ÔÒÕ ÛÙÝ ÇÐÑ.", "The letters Ã, Â and Ð occur in the old index.", "Fee: 40 € or £12 or ¥900 for Ombrex™ ©; 5 ¢, ¶ 3, † note", "D = √(x² + y²), n → ∞, p ≤ 0.05", "طبيب، ظرف، غذاء، إطار، ضوء", "Čelvová, Dvořel, Żubrań", "Þórvel and Łubra were coded as “ð”", "ФУНКЦИЯ:", "LA GRÂCE À VÉLOR", "😀🧬 x"]
 
 
