@@ -94,8 +94,8 @@ def persian_normal(c: Column) -> Column:
 
 
 def without_stop_words(c: Column, stop: tuple[str, ...] = STOP_EN + STOP_FA) -> Column:
-    """Words split at blanks, without stop words and single characters."""
-    return F.array_join(F.filter(F.split(F.lower(c), "[ \\t\\n\\r]+"), lambda w: (F.length(w) > 1) & ~w.isin(*stop)), " ")
+    """Lower-case words split at blanks, without stop words and single characters; a letter's case depends on no other."""
+    return F.array_join(F.filter(F.split(F.lower(F.translate(c, "İΣ", "iσ")), "[ \\t\\n\\r]+"), lambda w: (F.length(w) > 1) & ~w.isin(*stop)), " ")
 
 
 def without_emoji(c: Column) -> Column:

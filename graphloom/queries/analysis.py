@@ -8,7 +8,7 @@ from graphloom.model import GRAPH_SQL
 from graphloom.operators import analytics as A, rank as K, stats as S, traverse as T
 from graphloom.operators.expand import capped, induced, neighbors
 from graphloom.queries.base import Registry
-from graphloom.queries.graph import GENES_SQL, HUB_SQL, SEEDS_SQL, STEP_SQL, _bfs_sql, hub, load, seeds
+from graphloom.queries.graph import GENES_SQL, HUB_SQL, SEEDS_SQL, STEP_SQL, _bfs_sql, hub, load, seeds, walk_sql
 
 R = Registry()
 
@@ -207,7 +207,7 @@ def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
     return A.degree_centrality(g.nodes, g.edges).select("id", F.round("centrality", 8).alias("centrality"))
 
 
-@R.add("closeness", f"WITH RECURSIVE {GRAPH_SQL}, {SEEDS_SQL}, {STEP_SQL}, S AS (SELECT id AS seed, id, 0 AS depth FROM SEEDS UNION SELECT s.seed, e.src, s.depth + 1 FROM S s JOIN STEP e ON e.dst = s.id WHERE s.depth < 4), M AS (SELECT seed, id, min(depth) AS depth FROM S GROUP BY seed, id), C AS (SELECT seed, count(*) AS r, sum(depth) AS t FROM M WHERE depth > 0 GROUP BY seed) SELECT s.id, round(coalesce(r * 1.0 / t * r / ((SELECT count(*) FROM N) - 1.0), 0), 8) AS closeness FROM SEEDS s LEFT JOIN C ON C.seed = s.id")
+@R.add("closeness", f"WITH RECURSIVE {GRAPH_SQL}, {SEEDS_SQL}, {STEP_SQL}, BACK AS (SELECT dst AS src, src AS dst FROM STEP), {walk_sql('SEEDS', 'BACK')}, C AS (SELECT seed, count(*) AS r, sum(depth) AS t FROM M WHERE depth > 0 GROUP BY seed) SELECT s.id, round(coalesce(r * 1.0 / t * r / ((SELECT count(*) FROM N) - 1.0), 0), 8) AS closeness FROM SEEDS s LEFT JOIN C ON C.seed = s.id")
 def closeness(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d).kept
     return A.closeness(g.edges, g.nodes, seeds(g)).select("id", F.round("closeness", 8).alias("closeness"))
@@ -234,10 +234,18 @@ def eigenvector20(spark: SparkSession, d: str) -> DataFrame:
     return A.eigenvector(g.nodes, g.edges, 20)
 
 
-@R.add("betweenness_seeds")
+BRANDES_SQL = f"""{walk_sql('SEEDS', 'STEP')},
+D AS (SELECT a.seed, s.src, s.dst, b.depth FROM STEP s JOIN M a ON a.id = s.src JOIN M b ON b.id = s.dst AND b.seed = a.seed WHERE b.depth = a.depth + 1),
+P AS (SELECT seed, id, 0 AS depth, 1.0::DOUBLE AS paths FROM M WHERE depth = 0 UNION ALL SELECT d.seed, d.dst, d.depth, sum(p.paths) FROM P p JOIN D d ON d.seed = p.seed AND d.src = p.id AND d.depth = p.depth + 1 GROUP BY d.seed, d.dst, d.depth),
+B AS (SELECT seed, id, depth, 0.0::DOUBLE AS dep FROM M WHERE depth = (SELECT max(depth) FROM M)
+  UNION ALL SELECT m.seed, m.id, m.depth, coalesce(sum(pm.paths / pb.paths * (1 + b.dep)), 0) FROM M m JOIN (SELECT max(depth) - 1 AS l FROM B) x ON m.depth = x.l JOIN P pm ON pm.seed = m.seed AND pm.id = m.id
+    LEFT JOIN D d ON d.seed = m.seed AND d.src = m.id LEFT JOIN B b ON b.seed = d.seed AND b.id = d.dst LEFT JOIN P pb ON pb.seed = d.seed AND pb.id = d.dst GROUP BY m.seed, m.id, m.depth)"""
+
+
+@R.add("betweenness_seeds", f"WITH RECURSIVE {GRAPH_SQL}, {SEEDS_SQL}, {STEP_SQL}, {BRANDES_SQL} SELECT id, round(sum(dep), 6) AS betweenness FROM B WHERE seed <> id GROUP BY id")
 def betweenness_seeds(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d).kept
-    return A.betweenness(g.edges, seeds(g, "Compound", 3))
+    return A.betweenness(g.edges, seeds(g, "Compound", 3)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @R.add("modularity_communities")
@@ -252,7 +260,7 @@ def structure_pruning(spark: SparkSession, d: str) -> DataFrame:
     return A.prune(g.nodes, g.edges).select("src", "dst", "metaedge", "seq")
 
 
-@R.add("mean_distance", f"WITH RECURSIVE {GRAPH_SQL}, {SEEDS_SQL}, {STEP_SQL}, S AS (SELECT id AS seed, id, 0 AS depth FROM SEEDS UNION SELECT s.seed, e.dst, s.depth + 1 FROM S s JOIN UND e ON e.src = s.id WHERE s.depth < 3), M AS (SELECT seed, id, min(depth) AS depth FROM S GROUP BY seed, id) SELECT CAST(count(*) AS BIGINT) AS pairs, round(avg(depth), 6) AS mean_distance, CAST(max(depth) AS INTEGER) AS diameter FROM M WHERE depth > 0")
+@R.add("mean_distance", f"WITH RECURSIVE {GRAPH_SQL}, {SEEDS_SQL}, {STEP_SQL}, {walk_sql('SEEDS', 'UND')} SELECT CAST(count(*) AS BIGINT) AS pairs, round(avg(depth), 6) AS mean_distance, CAST(max(depth) AS INTEGER) AS diameter FROM M WHERE depth > 0")
 def mean_distance(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d).kept
     return A.mean_distance(g.edges, seeds(g)).withColumn("mean_distance", F.round("mean_distance", 6))

@@ -24,9 +24,12 @@ def gene_like_nodes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d).nodes.where(F.lower("kind").rlike("gene|protein")).select("id")
 
 
-@R.add("safe_numbers", "SELECT raw_id, CAST(round(coalesce(TRY_CAST(x AS DOUBLE), 0), 6) AS DOUBLE) AS weight FROM (SELECT raw_id, string_split(line, chr(9))[4] AS x FROM raw_edges) WHERE x IS NULL OR regexp_full_match(x, '[0-9.]*')")
+_NUMBER = "'[ \\t\\r]*(?i:[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[+-]?[0-9]+)?|nan|[+-]?inf(inity)?)[ \\t\\r]*'"
+
+
+@R.add("safe_numbers", f"SELECT raw_id, CASE WHEN x IS NULL OR NOT regexp_full_match(x, {_NUMBER}) THEN 0.0 ELSE round(CAST(trim(x, chr(32) || chr(9) || chr(13)) AS DOUBLE), 6) END AS weight FROM (SELECT raw_id, string_split(line, chr(9))[4] AS x FROM raw_edges)")
 def safe_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Of all lines; the SQL has only those whose field is missing or of digits and points."""
+    """Of all lines; what is no decimal number, infinity or NaN gives 0."""
     rows = table(spark, d, "raw_edges").select("raw_id", F.try_element_at(F.split("line", "\t"), F.lit(4)).alias("x"))
     return rows.select("raw_id", F.round(X.safe_double(F.col("x")), 6).alias("weight"))
 

@@ -74,9 +74,9 @@ def induced_edges(spark: SparkSession, d: str) -> DataFrame:
     return X.induced(g.edges, g.nodes.where(F.col("kind").isin("Disease", "Symptom", "Anatomy"))).select("src", "dst", "metaedge", "seq")
 
 
-@R.add("has_edge_pairs", f"WITH {GRAPH_SQL}, K AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM (SELECT id FROM N WHERE kind = 'Gene' ORDER BY id LIMIT 500)) SELECT DISTINCT e.src, e.dst FROM E e JOIN K a ON a.id = e.src JOIN K b ON b.id = e.dst WHERE a.rank < b.rank")
+@R.add("has_edge_pairs", f"WITH {GRAPH_SQL}, K AS (SELECT id FROM N WHERE kind = 'Gene') SELECT DISTINCT e.src, e.dst FROM E e JOIN K a ON a.id = e.src JOIN K b ON b.id = e.dst WHERE a.id < b.id")
 def has_edge_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Of all genes, ranked by id; the SQL has only the first 500."""
+    """Of all genes, ranked by id."""
     g = load(spark, d)
     return X.forward_pairs(g.edges, g.nodes.where("kind = 'Gene'").select("id", F.col("id").alias("rank")))
 
@@ -121,6 +121,11 @@ def _bfs_sql(seed: str, depth: int, step: str) -> str:
     return f"B AS (SELECT id, 0 AS depth FROM {seed} UNION SELECT s.dst, b.depth + 1 FROM B b JOIN {step} s ON s.src = b.id WHERE b.depth < {depth})"
 
 
+def walk_sql(seed: str, step: str) -> str:
+    """M(seed, id, depth): distances from each seed, until nothing new is reached."""
+    return f"M(seed, id, depth) USING KEY (seed, id) AS (SELECT id, id, 0 FROM {seed} UNION SELECT m.seed, s.dst, m.depth + 1 FROM M m JOIN {step} s ON s.src = m.id LEFT JOIN recurring.M r ON r.seed = m.seed AND r.id = s.dst WHERE r.id IS NULL)"
+
+
 STEP_SQL = "STEP AS (SELECT DISTINCT src, dst FROM E WHERE src <> dst), UND AS (SELECT src, dst FROM STEP UNION SELECT dst, src FROM STEP)"
 
 

@@ -68,17 +68,16 @@ def lang_detect(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", X.script_language(F.col("text")).alias("script"))
 
 
-@R.add("persian_normal", "SELECT doc_id, md5(regexp_replace(translate(regexp_replace(text, '\\x{200C}', ' ', 'g'), 'يكة٠١٢٣٤٥٦٧٨٩', 'یکه۰۱۲۳۴۵۶۷۸۹'), '\\x{200D}', '', 'g')) AS normal FROM documents WHERE lang = 'fa' AND text IS NOT NULL")
+@R.add("persian_normal", "SELECT doc_id, md5(regexp_replace(translate(regexp_replace(text, '\\x{200C}', ' ', 'g'), 'يكة٠١٢٣٤٥٦٧٨٩', 'یکه۰۱۲۳۴۵۶۷۸۹'), '\\x{200D}', '', 'g')) AS normal FROM documents WHERE text IS NOT NULL")
 def persian_normal(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where("lang = 'fa' and text is not null").select("doc_id", F.md5(X.persian_normal(F.col("text"))).alias("normal"))
+    return _docs(spark, d).where("text is not null").select("doc_id", F.md5(X.persian_normal(F.col("text"))).alias("normal"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_EN + X.STOP_FA)
 
 
-@R.add("stopword_strip", f"SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})), ' ')) AS kept FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*')")
+@R.add("stopword_strip", f"SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(lower(translate(text, 'İΣ', 'iσ')), '[ \\t\\n\\r]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})), ' ')) AS kept FROM documents WHERE text IS NOT NULL")
 def stopword_strip(spark: SparkSession, d: str) -> DataFrame:
-    """Of all texts; the SQL has only the ASCII ones, as letter case of other scripts differs between engines."""
     return _docs(spark, d).where("text is not null").select("doc_id", F.md5(X.without_stop_words(F.col("text"))).alias("kept"))
 
 
