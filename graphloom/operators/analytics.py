@@ -11,25 +11,42 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.operators.stats import degrees, undirected
 from graphloom.operators.traverse import seeded_bfs
-from graphloom.session import cut
+from graphloom.session import cut, discard, measured
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
-    """(id, rank) after a fixed number of rounds over parallel edges; what dangling nodes hold is spread evenly."""
-    ids = cut(nodes.select("id").distinct())
-    n = ids.count()
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance: float | None = None, start: DataFrame | None = None) -> DataFrame:
+    """(id, rank) over parallel edges among ``nodes``; what dangling nodes hold is spread evenly.
+
+    With a ``tolerance`` it ends when the ranks move by less than ``n * tolerance`` in all, otherwise after ``rounds``.
+    ``start(id)``: the nodes to which jumps lead, all by default. A round joins the state with the links, whose shares
+    were written once, and sums contributions and old state by node in one exchange; what dangling nodes hold and how
+    far the ranks moved is measured while the state is written.
+    """
+    ids = cut(nodes.select("id").distinct(), F.count(F.lit(1)).alias("n"))
+    n = measured(ids)["n"]
     if n == 0:
         return ids.withColumn("rank", F.lit(0.0))
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     links = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("out")).alias("share")))
-    dangling = ids.join(out.select(F.col("src").alias("id")), "id", "left_anti").withColumn("dangling", F.lit(True))
-    state = ids.join(dangling, "id", "left").select("id", F.coalesce("dangling", F.lit(False)).alias("dangling"), F.lit(1.0 / n).alias("rank"))
+    if start is None:
+        jump = ids.select("id", F.lit(1.0 / n).alias("jump"))
+    else:
+        chosen = cut(start.select("id").distinct().join(ids, "id", "left_semi"), F.count(F.lit(1)).alias("n"))
+        jump = ids.join(chosen.withColumn("jump", F.lit(1.0 / max(1, measured(chosen)["n"]))), "id", "left").select("id", F.coalesce("jump", F.lit(0.0)).alias("jump"))
+    dangling = links.select(F.col("src").alias("id")).distinct().withColumn("held", F.lit(0.0))
+    measures = (F.coalesce(F.sum(F.col("rank") * F.col("held")), F.lit(0.0)).alias("lost"), F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0)).alias("moved"))
+    first = jump.join(dangling, "id", "left").select("id", "jump", F.coalesce("held", F.lit(1.0)).alias("held"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("old"))
+    state = cut(first, *measures)
     for _ in range(rounds):
-        got = links.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        lost = state.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"), F.lit(1).alias("k"))
-        state = state.select("id", "dangling").join(got, "id", "left").withColumn("k", F.lit(1)).join(F.broadcast(lost), "k")
-        state = state.select("id", "dangling", ((1 - alpha) / n + alpha * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        state = cut(state)
+        got = links.join(state.select(F.col("id").alias("src"), "rank"), "src").select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("in"), *[F.lit(None).cast("double").alias(c) for c in ("jump", "held", "old")])
+        rows = got.unionByName(state.select("id", F.lit(0.0).alias("in"), "jump", "held", F.col("rank").alias("old")))
+        new = rows.groupBy("id").agg(F.sum("in").alias("in"), *[F.max(c).alias(c) for c in ("jump", "held", "old")])
+        lost = measured(state)["lost"]
+        nxt = cut(new.select("id", "jump", "held", ((1 - alpha) * F.col("jump") + alpha * (F.col("in") + lost * F.col("jump"))).alias("rank"), "old"), *measures)
+        discard(state)
+        state = nxt
+        if tolerance is not None and measured(state)["moved"] < n * tolerance:
+            break
     return state.select("id", "rank")
 
 
@@ -51,24 +68,31 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> Da
     """(id, label): synchronous rounds; each node takes the most frequent label around it, the least of equals."""
     e = undirected(edges)
     both = cut(e.select(F.col("u").alias("id"), F.col("v").alias("nb")).unionByName(e.select(F.col("v").alias("id"), F.col("u").alias("nb"))))
-    state = nodes.select("id").distinct().select("id", F.col("id").alias("label"))
+    state = cut(nodes.select("id").distinct().select("id", F.col("id").alias("label")))
     for _ in range(rounds):
         votes = both.join(state.select(F.col("id").alias("nb"), "label"), "nb").groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("id").agg(F.max("n").alias("most")).join(votes, "id").where("n = most").groupBy("id").agg(F.min("label").alias("new"))
-        state = cut(state.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
+        # A node's own label stands with no votes, so it stays only where there are no neighbours.
+        best = votes.unionByName(state.select("id", "label", F.lit(0).cast("bigint").alias("n"))).groupBy("id").agg(F.min(F.struct(-F.col("n"), "label")).alias("m"))
+        nxt = cut(best.select("id", "m.label"))
+        discard(state)
+        state = nxt
     return state
 
 
 def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 20, scale_every: int = 5) -> DataFrame:
     """(id, value): power iteration of A + I over incoming edges; scaled to unit length every few rounds and at the end."""
     links = cut(edges.select("src", "dst").distinct())
-    state = nodes.select("id").distinct().withColumn("x", F.lit(1.0))
+    state = cut(nodes.select("id").distinct().withColumn("x", F.lit(1.0)))
     for i in range(1, rounds + 1):
-        got = links.join(state.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("in"))
-        state = cut(state.join(got, "id", "left").select("id", (F.col("x") + F.coalesce("in", F.lit(0.0))).alias("x")))
+        got = links.join(state.select(F.col("id").alias("src"), "x"), "src").select(F.col("dst").alias("id"), "x")
+        new = got.unionByName(state).groupBy("id").agg(F.sum("x").alias("x"))
+        nxt = cut(new.join(nodes.select("id").distinct(), "id", "left_semi"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+        discard(state)
+        state = nxt
         if i % scale_every == 0 or i == rounds:
-            size = state.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"), F.lit(1).alias("k"))
-            state = state.withColumn("k", F.lit(1)).join(F.broadcast(size), "k").select("id", F.coalesce(F.try_divide("x", "size"), F.lit(0.0)).alias("x"))
+            scaled = cut(state.select("id", F.coalesce(F.try_divide("x", F.lit(measured(state)["size"])), F.lit(0.0)).alias("x")))
+            discard(state)
+            state = scaled
     return state.select("id", F.col("x").alias("value"))
 
 

@@ -9,38 +9,50 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from graphloom.model import oriented
 from graphloom.operators.expand import capped, induced
-from graphloom.session import cut
+from graphloom.session import cut, discard, measured
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, orientation: str = "out", cap: int | None = None) -> DataFrame:
-    """(id, depth) of all nodes within ``max_depth`` steps of any seed; ``cap`` limits the edges a node is left by."""
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, orientation: str = "out", cap: int | None = None, max_nodes: int | None = None) -> DataFrame:
+    """(id, depth) of all nodes within ``max_depth`` steps of any seed, or of all that are reached.
+
+    ``cap`` limits the edges a node is left by. With ``max_nodes`` no further level is entered once so many nodes are
+    found, and of the last level the first by id are kept.
+    """
     steps = oriented(edges, orientation).where("src <> dst").select("src", "dst", "seq")
     if cap is not None:
-        steps = capped(steps, ["src"], ["seq", "dst"], cap)
-    steps = steps.select("src", "dst").distinct()
-    seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+        steps = cut(capped(steps, ["src"], ["seq", "dst"], cap))
+    steps = steps.select("src", "dst")
+    seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)), F.count(F.lit(1)).alias("n"))
+    frontier, found = seen, measured(seen)["n"]
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
+        if max_nodes is not None and found >= max_nodes:
+            break
         nxt = steps.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(nxt.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        new = nxt.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
+        if max_nodes is not None:
+            new = new.orderBy("id").limit(max_nodes - found)
+        frontier = cut(new, F.count(F.lit(1)).alias("n"))
+        if not measured(frontier)["n"]:
             break
+        found += measured(frontier)["n"]
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:  # long walks: the plan stays small
+            seen = cut(seen)
     return seen
 
 
 def seeded_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, orientation: str = "out") -> DataFrame:
     """(seed, id, depth): the distances of every node from each seed on its own; without a depth, of all that are reached."""
-    steps = oriented(edges, orientation).where("src <> dst").select("src", "dst").distinct()
+    steps = oriented(edges, orientation).where("src <> dst").select("src", "dst")
     seen = cut(seeds.select("id").distinct().select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")))
     frontier = seen
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         nxt = frontier.select("seed", F.col("id").alias("src")).join(steps, "src").select("seed", F.col("dst").alias("id")).distinct()
-        frontier = cut(nxt.join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        frontier = cut(nxt.join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), F.count(F.lit(1)).alias("n"))
+        if not measured(frontier)["n"]:
             break
         seen = seen.unionByName(frontier)
-        if depth % 16 == 0:  # long walks: the plan stays small
+        if depth % 16 == 0:
             seen = cut(seen)
     return seen
 
@@ -78,22 +90,37 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, max_hops: int, orientation:
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int, orientation: str = "out", k: int | None = None) -> DataFrame:
-    """(s, t, path, hops): all shortest paths of each pair (s, t) up to ``max_depth`` edges, the first ``k`` by path."""
-    steps = oriented(edges, orientation).where("src <> dst").select("src", "dst").distinct()
-    dist = seeded_bfs(edges, pairs.select(F.col("s").alias("id")), max_depth, orientation)
-    wanted = pairs.where("s <> t").join(dist.select(F.col("seed").alias("s"), F.col("id").alias("t"), F.col("depth").alias("d")), ["s", "t"])
-    # Backwards from each target, over nodes whose distance falls by one at every step.
-    level = wanted.select("s", "t", "d", F.col("t").alias("at"), F.array("t").alias("path"))
-    near = dist.select(F.col("seed").alias("s"), F.col("id").alias("prev"), F.col("depth").alias("pd"))
-    into = steps.select(F.col("dst").alias("at"), F.col("src").alias("prev"))
-    done = None
-    for left in range(1, max_depth + 1):
-        level = level.join(into, "at").join(near, ["s", "prev"]).where(F.col("pd") == F.col("d") - left).select("s", "t", "d", F.col("prev").alias("at"), F.concat(F.array("prev"), "path").alias("path"))
-        level = cut(level)
-        ended = level.where(F.col("d") == left).select("s", "t", "path", F.col("d").alias("hops"))
-        done = ended if done is None else done.unionByName(ended)
-        level = level.where(F.col("d") > left)
-    return done if k is None else capped(done, ["s", "t"], ["path"], k)
+    """(s, t, path, hops): all shortest paths of each pair (s, t) up to ``max_depth`` edges, the first ``k`` by path.
+
+    The search goes from both ends to the middle, so neither side spreads over more than half of the depth; paths are
+    then walked from the middle to both ends over nodes whose distance falls by one at every step.
+    """
+    ahead = (max_depth + 1) // 2
+    back = {"out": "in", "in": "out"}.get(orientation, "both")
+    wanted = pairs.where("s <> t").select("s", "t").distinct()
+    fore = cut(seeded_bfs(edges, wanted.select(F.col("s").alias("id")), ahead, orientation).select(F.col("seed").alias("s"), "id", F.col("depth").alias("i")))
+    aft = cut(seeded_bfs(edges, wanted.select(F.col("t").alias("id")), max_depth - ahead, back).select(F.col("seed").alias("t"), "id", F.col("depth").alias("j")))
+    met = fore.join(aft, "id").join(wanted, ["s", "t"])
+    best = met.groupBy("s", "t").agg(F.min(F.col("i") + F.col("j")).alias("hops"))
+    # One middle a path: the node at which the forward search ends.
+    level = cut(met.join(best, ["s", "t"]).where((F.col("i") == F.least("hops", F.lit(ahead))) & (F.col("i") + F.col("j") == F.col("hops"))).select("s", "t", "hops", "i", "j", "id", F.array("id").alias("path")))
+    steps = oriented(edges, orientation).where("src <> dst").select("src", "dst")
+
+    def walked(level: DataFrame, near: DataFrame, side: str, at: str, into: DataFrame, front: bool, most: int) -> DataFrame:
+        done = level.where(F.col(at) == 0)
+        for left in range(most, 0, -1):
+            now = level.where(F.col(at) == left).withColumnRenamed("id", "here")
+            path = F.concat(F.array("id"), "path") if front else F.concat("path", F.array("id"))
+            nxt = now.drop(at).join(into, "here").join(near.where(F.col(at) == left - 1).select(side, "id", at), [side, "id"])
+            level = cut(level.where(F.col(at) < left).unionByName(nxt.select("s", "t", "hops", "i", "j", "id", path.alias("path")).distinct()))
+            done = level
+        return done
+
+    to_s = walked(level, fore, "s", "i", steps.select(F.col("dst").alias("here"), F.col("src").alias("id")), True, ahead)
+    mid = to_s.withColumn("id", F.element_at("path", -1))
+    both = walked(mid, aft, "t", "j", steps.select(F.col("src").alias("here"), F.col("dst").alias("id")), False, max_depth - ahead)
+    out = both.select("s", "t", "path", "hops")
+    return out if k is None else capped(out, ["s", "t"], ["path"], k)
 
 
 def k_simple_paths(edges: DataFrame, pairs: DataFrame, k: int, max_hops: int, orientation: str = "out") -> DataFrame:
@@ -129,32 +156,34 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds; every round moves edges towards the least key, so the number of
     rounds grows with the logarithm of the longest path, and a hub's edges are never held by one task.
     """
-    pairs = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    same = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"))
+    pairs = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), *same)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        nxt = cut(small.where("u <> v").distinct())
-        if nxt.exceptAll(pairs).isEmpty() and pairs.exceptAll(nxt).isEmpty():
+        nxt = cut(small.where("u <> v").distinct(), *same)
+        if measured(nxt) == measured(pairs):  # rows and hash are those of the round before
             break
+        discard(pairs)
         pairs = nxt
     return nodes.select("id").join(pairs.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
-def dfs(edges: DataFrame, seeds: DataFrame, max_depth: int, orientation: str = "out", cap_nodes: int = 100_000) -> DataFrame:
+def dfs(edges: DataFrame, seeds: DataFrame, max_depth: int, orientation: str = "out", metaedges: list[str] | None = None) -> DataFrame:
     """(start, id, depth, ord): depth-first preorder from each seed, edges in order of entry, nodes visited once.
 
-    The order of a depth-first walk is sequential by nature; it runs on the neighbourhood of one seed, which must not
-    exceed ``cap_nodes`` edges (an error, never a cut).
+    The order of a depth-first walk is sequential by nature: one task walks the neighbourhood of one seed, as far as
+    ``max_depth - 1`` steps lead, of which it keeps the distinct steps. ``metaedges`` limits the edges walked.
     """
+    if metaedges is not None:
+        edges = edges.where(F.col("metaedge").isin(metaedges))
     near = seeded_bfs(edges, seeds, max_depth - 1 if max_depth > 0 else 0, orientation)
-    e = oriented(edges, orientation).join(near.select("seed", F.col("id").alias("src")), "src").select("seed", "src", "dst", "seq")
+    e = oriented(edges, orientation).join(near.select("seed", F.col("id").alias("src")), "src").groupBy("seed", "src", "dst").agg(F.min("seq").alias("seq"))
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > cap_nodes:
-            raise ValueError("the neighbourhood is too large for a depth-first walk")
         start = part.seed.iloc[0]
         order = part.sort_values(["seq", "dst"])
         nxt: dict[str, list[str]] = {}

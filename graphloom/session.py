@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 _SHIPPED: set[str] = set()
@@ -39,29 +39,42 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder named by ``spark.checkpoint.dir``; set a temporary one only where none is named.
-
-    The temporary folder is for tests and local mode: on a cluster the setting names a shared folder.
-    """
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where all tasks see it."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or f"file://{os.path.join(tempfile.gettempdir(), 'graphloom-checkpoints')}")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or f"file://{os.path.join(tempfile.gettempdir(), 'graphloom-checkpoints')}")
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *measures: Column) -> DataFrame:
     """``df`` as a table written to the shared checkpoint folder, which cuts its lineage.
 
     A written table outlives any executor, is computed once (a checkpoint computes its last stage twice) and has a size
-    that the planner knows.
+    that the planner knows. ``measures`` are aggregates taken while it is written; ``measured`` gives their values.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    seen = Observation()
+    (df.observe(seen, *measures) if measures else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = (path, seen.get if measures else {})
+    return out
+
+
+def measured(df: DataFrame) -> dict:
+    """The measures of a table that ``cut`` wrote, by name."""
+    return df._cut[1]
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more, such as the state of an earlier round."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut[0])
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

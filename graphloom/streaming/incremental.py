@@ -52,8 +52,7 @@ def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
     In complete mode each batch replaces the result, otherwise it is added.
     """
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     write = "overwrite" if mode == "complete" else "append"
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode(write).parquet(f"{base}/out")).start()
     q.awaitTermination()
