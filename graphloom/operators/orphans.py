@@ -5,6 +5,12 @@ positive reference delta. Summing the existence deltas of a key in time order gi
 instant; the stretches where the count is positive are its *live intervals*. A reference is an orphan when the
 existence count of its key is zero at the time of the reference.
 
+``OrphanState`` keeps both kinds of deltas, summed by key: existence changes per instant and reference counts per table
+and field. Batches of changes merge into it (arrivals count +1, removals -1), whatever their order, and it gives the
+current orphan report, keys with positive references and zero existence, as well as the live intervals that decide
+about single references. State and batches are pre-aggregated tables, so merging costs what the batch and the keys cost,
+not what all records do.
+
 Hot keys: existence deltas are pre-aggregated per (key, instant), so copies of one delivery collapse before the
 window; references to a key with at least ``heavy_share`` of all references are salted over ``salts`` buckets and the
 few live intervals of such keys are repeated once per bucket. At most ``1 / heavy_share`` keys can be heavy, which
@@ -21,7 +27,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Observation, Window as W, functions as F
+
+from graphloom.session import cut
 
 HEAVY_SHARE = 0.005
 SALTS = 32
@@ -68,17 +76,48 @@ def live_intervals(deltas: DataFrame) -> DataFrame:
     return turns.select("key", "n", F.col("at").alias("live_from"), F.lead("at").over(order).alias("live_to")).where("n > 0").drop("n")
 
 
-def heavy_keys(rows: DataFrame, key: str, total: int, share: float = HEAVY_SHARE) -> list[str]:
-    """Keys with at least ``share`` of ``total`` rows: no more than ``1 / share`` of them."""
-    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2.0, share * total)).select(key).collect()
-    return [r[0] for r in found]
+def heavy_keys(rows: DataFrame, key: str, share: float = HEAVY_SHARE) -> list[str]:
+    """Keys with at least ``share`` of the rows: no more than ``1 / share`` of them, found in one pass."""
+    seen, most = Observation(), int(1 / share) + 1
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("total"))
+    top = counts.orderBy(F.desc("n")).limit(most).collect()
+    total = seen.get["total"] or 0
+    return [r[0] for r in top if r["n"] >= max(2.0, share * total)]
+
+
+class OrphanState:
+    """Signed existence and reference counts per key, maintained from batches of changes."""
+
+    def __init__(self, existence: DataFrame, references: DataFrame) -> None:
+        self.existence, self.references = existence, references
+
+    @classmethod
+    def of(cls, nodes: DataFrame, refs: list[Reference], sign: int = 1) -> OrphanState:
+        """State of a batch of node rows and referring rows; ``sign`` -1 takes them back."""
+        e = existence_deltas(nodes).withColumn("delta", F.col("delta") * sign)
+        r = reference_rows(refs).groupBy("key", "tbl", "field").agg((F.count(F.lit(1)) * sign).alias("refs"))
+        return cls(e, r)
 
+    def merge(self, batch: OrphanState) -> OrphanState:
+        """The state after a batch, written; what sums to nothing is dropped."""
+        e = self.existence.unionByName(batch.existence).groupBy("key", "at").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+        r = self.references.unionByName(batch.references).groupBy("key", "tbl", "field").agg(F.sum("refs").alias("refs")).where("refs <> 0")
+        return OrphanState(cut(e), cut(r))
 
-def orphan_references(refs: list[Reference], nodes: DataFrame, heavy_share: float = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
-    """(tbl, row_id, field, key, at) of references whose key has a zero existence count at their time."""
-    rows, live = reference_rows(refs), live_intervals(existence_deltas(nodes))
-    total = sum({(id(r.df)): r.df.count() for r in refs}[id(r.df)] for r in refs)
-    heavy = heavy_keys(rows, "key", total, heavy_share)
+    def live(self) -> DataFrame:
+        return live_intervals(self.existence)
+
+    def current(self) -> DataFrame:
+        """(key, n_refs, n_live): keys with positive reference and zero existence count after all deltas."""
+        zero = F.lit(0).cast("bigint")
+        both = self.references.select("key", "refs", zero.alias("live")).unionByName(self.existence.select("key", zero.alias("refs"), F.col("delta").alias("live")))
+        return both.groupBy("key").agg(F.sum("refs").alias("n_refs"), F.sum("live").alias("n_live")).where("n_refs > 0 and n_live = 0")
+
+
+def orphan_references(refs: list[Reference], state: OrphanState, heavy_share: float = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
+    """(tbl, row_id, field, key, at) of references whose key has a zero existence count in ``state`` at their time."""
+    rows, live = reference_rows(refs), state.live()
+    heavy = heavy_keys(rows, "key", heavy_share)
     hot = F.col("key").isin(heavy) if heavy else F.lit(False)
     salted = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("row_id"), F.lit(salts))).otherwise(F.lit(0).cast("bigint")))
     spread = live.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))))
@@ -90,12 +129,3 @@ def orphan_references(refs: list[Reference], nodes: DataFrame, heavy_share: floa
 def orphan_report(orphans: DataFrame) -> DataFrame:
     """(tbl, field, month, n_orphans, n_keys) counts of orphan references."""
     return orphans.groupBy("tbl", "field", F.date_format("at", "yyyy-MM").alias("month"), "key").agg(F.count(F.lit(1)).alias("n")).groupBy("tbl", "field", "month").agg(F.sum("n").alias("n_orphans"), F.count(F.lit(1)).alias("n_keys"))
-
-
-def current_orphan_keys(refs: list[Reference], nodes: DataFrame) -> DataFrame:
-    """(key, n_refs, n_live): keys with positive reference and zero existence count after all deltas."""
-    r = reference_rows(refs).groupBy("key").agg(F.count(F.lit(1)).alias("refs"))
-    e = existence_deltas(nodes).groupBy("key").agg(F.sum("delta").alias("live"))
-    zero = F.lit(0).cast("bigint")
-    both = r.select("key", "refs", zero.alias("live")).unionByName(e.select("key", zero.alias("refs"), "live"))
-    return both.groupBy("key").agg(F.sum("refs").alias("n_refs"), F.sum("live").alias("n_live")).where("n_refs > 0 and n_live = 0")

@@ -20,8 +20,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from graphloom.session import shuffle_width
+from graphloom.session import plan_bytes, shuffle_width
 
+#: Bytes of a scan that one range partition takes.
+PARTITION_BYTES = 64 << 20
 PARTIAL = "field string, key string, part int, n bigint, w double, d bigint, first_nb string, last_nb string"
 
 
@@ -82,11 +84,13 @@ def stitch(partials: DataFrame) -> DataFrame:
 def keyed_stats(edges: DataFrame, fields: dict[str, str], weight: str, row_id: str, partitions: int | None = None) -> DataFrame:
     """(field, key, n_rows, sum_weight, n_neighbors) for every non-null value of each field.
 
-    ``fields`` maps a key column to the column that holds its neighbour.
+    ``fields`` maps a key column to the column that holds its neighbour. The number of range partitions follows the size
+    of the input.
     """
     pairs = F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).cast("string").alias("key"), F.col(v).cast("string").alias("nb")) for k, v in fields.items()])
     rows = edges.select(F.explode(pairs).alias("p"), F.col(weight).cast("double").alias("w"), F.col(row_id).alias("row")).select("p.*", "w", "row").where("key is not null")
-    return stitch(partial_states(rows, partitions or shuffle_width(edges.sparkSession)))
+    wide = max(shuffle_width(edges.sparkSession), len(fields) * plan_bytes(edges.select(*fields, weight, row_id)) // PARTITION_BYTES)
+    return stitch(partial_states(rows, partitions or wide))
 
 
 def heavy_hitters(stats: DataFrame, total: int, share: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.operators.orphans import Reference, current_orphan_keys, orphan_references, orphan_report
+from graphloom.operators.orphans import OrphanState, Reference, orphan_references, orphan_report
 from graphloom.operators.skew import heavy_hitters, keyed_stats
 from graphloom.queries.base import Registry
 from graphloom.session import table
@@ -24,29 +24,46 @@ orphans AS (
 """
 
 
-def _refs(spark: SparkSession, d: str) -> list[Reference]:
-    edges, pages = table(spark, d, "graph_edges"), table(spark, d, "wiki_pages")
+def _refs(edges: DataFrame, pages: DataFrame) -> list[Reference]:
     return [Reference(edges, "graph_edges", "edge_id", "source", "observed_at"), Reference(edges, "graph_edges", "edge_id", "target", "observed_at"), Reference(pages, "wiki_pages", "page_id", "node_id", "fetched_at")]
 
 
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    refs, nodes = _refs(table(spark, d, "graph_edges"), table(spark, d, "wiki_pages")), table(spark, d, "graph_nodes")
+    return orphan_references(refs, OrphanState.of(nodes, refs))
+
+
 @R.add("p2_found", f"WITH {REFS_SQL} SELECT tbl, row_id, field FROM orphans")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_references(_refs(spark, d), table(spark, d, "graph_nodes")).select("tbl", "row_id", "field")
+    return _orphans(spark, d).select("tbl", "row_id", "field")
 
 
 @R.add("p2_report", f"WITH {REFS_SQL} SELECT tbl, field, strftime(seen, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS n_orphans, CAST(count(DISTINCT key) AS BIGINT) AS n_keys FROM orphans GROUP BY ALL")
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_report(orphan_references(_refs(spark, d), table(spark, d, "graph_nodes")))
+    return orphan_report(_orphans(spark, d))
 
 
-@R.add(
-    "p2_current_keys",
-    f"""WITH {REFS_SQL},
+CURRENT_SQL = f"""WITH {REFS_SQL},
     live AS (SELECT id AS key, sum(CASE WHEN deleted_at IS NULL THEN 1 ELSE 0 END) AS n FROM graph_nodes WHERE created_at IS NOT NULL GROUP BY id)
-    SELECT r.key, CAST(count(*) AS BIGINT) AS n_refs FROM refs r LEFT JOIN live l ON r.key = l.key WHERE coalesce(l.n, 0) = 0 GROUP BY r.key""",
-)
+    SELECT r.key, CAST(count(*) AS BIGINT) AS n_refs FROM refs r LEFT JOIN live l ON r.key = l.key WHERE coalesce(l.n, 0) = 0 GROUP BY r.key"""
+
+
+@R.add("p2_current_keys", CURRENT_SQL)
 def p2_current_keys(spark: SparkSession, d: str) -> DataFrame:
-    return current_orphan_keys(_refs(spark, d), table(spark, d, "graph_nodes")).select("key", "n_refs")
+    refs = _refs(table(spark, d, "graph_edges"), table(spark, d, "wiki_pages"))
+    return OrphanState.of(table(spark, d, "graph_nodes"), refs).current().select("key", "n_refs")
+
+
+@R.add("p2_maintained_keys", CURRENT_SQL)
+def p2_maintained_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The same report from a state that takes the deliveries of all tables quarter by quarter."""
+    state = None
+    quarter = F.coalesce(F.quarter("loaded_at"), F.lit(1))
+    for q in range(1, 5):
+        edges, pages, nodes = (table(spark, d, t).where(quarter == q) for t in ("graph_edges", "wiki_pages", "graph_nodes"))
+        batch = OrphanState.of(nodes, _refs(edges, pages))
+        state = batch if state is None else state.merge(batch)
+    return state.current().select("key", "n_refs")
 
 
 STATS_SQL = """

@@ -39,6 +39,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Size of the result as the planner estimates it, for scans that of the columns in their files; 0 if unknown."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if size >= 1 << 60 else size
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where all tasks see it."""
     sc = spark.sparkContext

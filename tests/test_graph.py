@@ -139,3 +139,29 @@ def test_files_round_trip(spark, graph, tmp_path):
     assert G.read_nodes(spark, str(tmp_path / "n.tsv")).collect() == [("1", "x", "Gene")]
     with pytest.raises(ValueError):
         G.load_graph(spark, "x.pkl")
+
+
+def test_operators_on_empty_graphs(spark, graph):
+    g, _, _ = graph
+    nodes, edges, one = g.nodes.where("false"), g.edges.where("false"), spark.createDataFrame([("n01",)], "id string")
+    assert {r.id: r.depth for r in T.bfs(edges, one, 3).collect()} == {"n01": 0}
+    assert T.bfs(g.edges, one.where("false"), 3).count() == 0 and T.seeded_bfs(edges, one.where("false"), None).count() == 0
+    assert T.components(edges, g.nodes).where("id <> component").count() == 0
+    assert A.pagerank(nodes, edges).count() == 0 and A.label_propagation(nodes, edges).count() == 0 and A.eigenvector(nodes, edges, 2).count() == 0
+    assert abs(A.pagerank(g.nodes, edges, 3).agg({"rank": "sum"}).first()[0] - 1) < 1e-9
+    pairs = spark.createDataFrame([("n01", "n02")], "s string, t string")
+    assert T.shortest_paths(edges, pairs, 3).count() == 0 and T.shortest_paths(g.edges, pairs.where("false"), 3).count() == 0
+
+
+def test_pagerank_to_tolerance_and_with_starts(graph):
+    g, ids, _ = graph
+    far = {r.id: r.rank for r in A.pagerank(g.nodes, g.edges, 100).collect()}
+    near = {r.id: r.rank for r in A.pagerank(g.nodes, g.edges, 100, tolerance=1e-7).collect()}
+    assert max(abs(far[i] - near[i]) for i in ids) < 1e-5
+    mine = {r.id: r.rank for r in A.pagerank(g.nodes, g.edges, 50, start=g.nodes.where("id = 'n03'")).collect()}
+    out = {i: [b for a, b, _ in g_edges if a == i] for i in ids} if (g_edges := graph[2]) else {}
+    want = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(50):
+        lost = sum(want[i] for i in ids if not out[i])
+        want = {i: (0.15 + 0.85 * lost) * (i == "n03") + 0.85 * sum(want[a] / len(out[a]) for a in ids for b in out[a] if b == i) for i in ids}
+    assert mine == pytest.approx(want, abs=1e-9)

@@ -9,7 +9,7 @@ import re
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.operators.orphans import Reference, current_orphan_keys, orphan_references, orphan_report
+from graphloom.operators.orphans import OrphanState, Reference, orphan_references, orphan_report
 from graphloom.operators.skew import keyed_stats
 from graphloom.sources.records import END, OTHER, QUOTE, START, TAB, TRANSITION, label, parse_edge_records, tokenize
 
@@ -42,20 +42,39 @@ def test_orphans_against_brute_force(spark):
     edges = [(i, "k0" if i % 3 == 0 else rnd.choice([*keys, None]), rnd.choice([*keys, None]), 1.0, rnd.choice([None, *range(25)])) for i in range(400)]
     e = edges_df(spark, edges)
     refs = [Reference(e, "t", "edge_id", "source", "observed_at"), Reference(e, "t", "edge_id", "target", "observed_at")]
-    out = orphan_references(refs, nodes_df(spark, nodes), heavy_share=0.05, salts=4)
+    out = orphan_references(refs, OrphanState.of(nodes_df(spark, nodes), refs), heavy_share=0.05, salts=4)
     got = sorted((r.row_id, r.field) for r in out.collect())
     want = sorted((i, f) for i, s, t, _, h in edges for f, k in (("source", s), ("target", t)) if k is not None and not live(nodes, k, h))
     assert got == want
     assert orphan_report(out).agg(F.sum("n_orphans")).first()[0] == len(want)
 
 
+def test_orphan_state_equals_a_replay_of_deltas(spark):
+    rnd = random.Random(4)
+    keys = [f"k{i}" for i in range(9)]
+    nodes = [(rnd.choice(keys[:7]), rnd.randrange(20), rnd.choice([None, *range(25)])) for _ in range(40)]
+    edges = [(i, rnd.choice([*keys, None]), rnd.choice(keys), 1.0, rnd.randrange(25)) for i in range(120)]
+
+    def batch(ns, es, sign=1):
+        e = edges_df(spark, es)
+        refs = [Reference(e, "t", "edge_id", "source", "observed_at"), Reference(e, "t", "edge_id", "target", "observed_at")]
+        return refs, OrphanState.of(nodes_df(spark, ns), refs, sign)
+
+    refs, whole = batch(nodes, edges)
+    state = batch(nodes[30:], edges[100:])[1]  # late nodes first
+    for ns, es, sign in ((nodes[:10], edges[:50], 1), (nodes[5:9], edges[90:100], 1), (nodes[10:30], edges[50:100], 1), (nodes[5:9], edges[90:100], -1)):
+        state = state.merge(batch(ns, es, sign)[1])
+    assert sorted(state.current().collect()) == sorted(whole.current().collect())
+    assert sorted(orphan_references(refs, state).collect()) == sorted(orphan_references(refs, whole).collect())
+
+
 def test_orphans_of_empty_tables(spark):
     e, n = edges_df(spark, [(1, "a", None, None, 3)]), nodes_df(spark, [])
     refs = [Reference(e, "t", "edge_id", "source", "observed_at"), Reference(e, "t", "edge_id", "target", "observed_at")]
-    assert orphan_references(refs, n).count() == 1
-    assert current_orphan_keys(refs, n).collect()[0].n_refs == 1
-    none = edges_df(spark, [])
-    assert orphan_references([Reference(none, "t", "edge_id", "source", "observed_at")], n).count() == 0
+    assert orphan_references(refs, OrphanState.of(n, refs)).count() == 1
+    assert OrphanState.of(n, refs).current().collect()[0].n_refs == 1
+    none = [Reference(edges_df(spark, []), "t", "edge_id", "source", "observed_at")]
+    assert orphan_references(none, OrphanState.of(n, none)).count() == 0
 
 
 def test_keyed_stats_against_brute_force(spark):
