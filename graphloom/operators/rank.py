@@ -65,7 +65,7 @@ def rank_paths(paths: DataFrame, allow: list[str], nodes: DataFrame, edges: Data
     plus 0.05 for each piece of evidence; the hub part prefers genes of low degree; ``match`` says how well a path fits
     the question.
     """
-    p = paths.withColumn("pid", F.xxhash64("start", F.array_join("seqs", ",")))
+    p = paths.withColumn("pid", F.concat_ws(",", "start", F.transform("seqs", lambda x: x.cast("string"))))
     base = F.when(F.col("metaedge") == "CtD", 1.2).when(F.col("metaedge") == "GcG", 1.0 + 0.5 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), "weight"))).otherwise(1.0)
     power = p.select("pid", F.explode("seqs").alias("seq")).join(edges.select("seq", (base + 0.05 * F.coalesce("evidence", F.lit(0))).alias("s")), "seq").groupBy("pid").agg(F.avg("s").alias("strength"))
     genes = nodes.where("kind = 'Gene'").select("id").join(degrees.select("id", "degree"), "id")

@@ -18,9 +18,36 @@ from graphloom.streaming import incremental as W
 R = Registry()
 
 _TYPE_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(q, '{p}')" for p in ps) + f" THEN '{n}'" for n, ps, _ in I.RULES) + " ELSE 'general' END"
+
+
+def _any_sql(ps) -> str:
+    return "(" + " OR ".join(f"contains(q, '{p}')" for p in ps) + ")"
+
+
 _SCHEMA_SQL = "'general'"
-for _ps, _n, *_ in I.SCHEMA_MAP:
-    _SCHEMA_SQL = "CASE WHEN " + " OR ".join(f"contains(q, '{p}')" for p in _ps) + f" THEN '{_n}' ELSE {_SCHEMA_SQL} END"
+for _group in I.SCHEMA_GROUPS:
+    _SCHEMA_SQL = "CASE " + " ".join(f"WHEN {_any_sql(r[0])} THEN '{r[1]}'" for r in _group) + f" ELSE {_SCHEMA_SQL} END"
+_LISTED = lambda rules: "list_filter([" + ", ".join(f"CASE WHEN {_any_sql(ws)} THEN '{n}' END" for n, ws in rules) + "], lambda x: x IS NOT NULL)"
+_COMPLEX_SQL = (
+    "CASE "
+    + " ".join(f"WHEN {_any_sql(a)} AND {_any_sql(b)} THEN '{n}'" for n, a, b in I.COMPLEX)
+    + " "
+    + " ".join(f"WHEN list_has_any(me, {list(a)}) AND list_has_any(me, {list(b)}) THEN '{n}'" for n, a, b in I.COMPLEX_EDGES)
+    + f" WHEN qt IN {I.SIMPLE_TYPES} THEN qt ELSE 'general' END"
+)
+_EDGES_SQL = "CASE qt " + " ".join(f"WHEN '{n}' THEN {list(ms)}" for n, _, ms in I.RULES) + " ELSE CAST([] AS VARCHAR[]) END"
+
+
+@R.add(
+    "question_analysis",
+    f"""WITH Q AS (SELECT doc_id, lower(translate(text, 'İΣ', 'iσ')) AS q FROM documents WHERE text IS NOT NULL), T AS (SELECT *, {_TYPE_SQL} AS qt FROM Q), M AS (SELECT *, {_EDGES_SQL} AS me FROM T)
+    SELECT doc_id, {_COMPLEX_SQL} AS complex_type, array_to_string({_LISTED(I.ANSWER_TYPES)}, '+') AS answer_types, array_to_string({_LISTED(I.KIND_WORDS.items())}, '+') AS kinds,
+      CASE WHEN {_any_sql(I.BACKWARD_WORDS)} THEN 'reverse' ELSE 'forward' END AS direction, {_any_sql(I.CANCER_WORDS)} AS about_cancer FROM M""",
+)
+def question_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """What every text would ask for as a question: steps, kinds of answers and of nodes, direction, cancers."""
+    q = F.translate("text", "İΣ", "iσ")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", I.complex_type(q).alias("complex_type"), F.array_join(I.answer_types(q), "+").alias("answer_types"), F.array_join(I.question_kinds(q), "+").alias("kinds"), I.direction(q).alias("direction"), I.about_cancer(q).alias("about_cancer"))
 
 
 @R.add("intent_rules", f"SELECT doc_id, {_TYPE_SQL} AS question_type, {_SCHEMA_SQL} AS intent FROM (SELECT doc_id, lower(text) AS q FROM documents WHERE source = 'qa_pairs' AND text IS NOT NULL)")
@@ -44,6 +71,37 @@ def token_match(spark: SparkSession, d: str) -> DataFrame:
     return Q.match(tokens, g.nodes).select("token", "id", "stage")
 
 
+_KIND_SQL = "[" + ", ".join(f"{{'w': '{w}', 'k': '{k}'}}" for w, k in {w: k for k, ws in Q.KIND_TOKENS.items() for w in ws}.items()) + "]"
+_FA_SQL = "[" + ", ".join(f"{{'w': '{a}', 'e': '{b}'}}" for a, b in Q.PERSIAN_TOKENS.items()) + "]"
+_EXTRA = [*{w: 0 for ws in Q.KIND_TOKENS.values() for w in ws}, *Q.PERSIAN_TOKENS, "XZELQ9", "the kinase", "Zel loss of pain", "QQQ"]
+_ALIASES = (("p1", "PAMA"), ("qqq", "TUK"))
+
+
+@R.add(
+    "token_cascade",
+    f"""WITH {GRAPH_SQL}, T AS (SELECT DISTINCT token, lower(token) AS lt, regexp_full_match(token, '[A-Za-z0-9-]{{2,10}}') AND length(regexp_replace(token, '[^A-Z]', '', 'g')) >= 2 AS sym
+      FROM (SELECT unnest(string_split(title, ' ')) AS token FROM documents UNION ALL SELECT unnest({_EXTRA})) WHERE token IS NOT NULL AND token <> ''),
+    NN AS (SELECT id, seq, kind, name, lower(name) AS ln FROM N WHERE name IS NOT NULL AND name <> ''), AL AS (SELECT unnest([{', '.join(f"'{a}'" for a, _ in _ALIASES)}]) AS a, lower(unnest([{', '.join(f"'{b}'" for _, b in _ALIASES)}])) AS alias),
+    KW AS (SELECT x.w, x.k FROM (SELECT unnest({_KIND_SQL}) AS x)), FA AS (SELECT x.w, x.e FROM (SELECT unnest({_FA_SQL}) AS x)),
+    H AS (SELECT token, id, seq, kind, sym FROM T JOIN NN ON contains(ln, lt)),
+    M AS (SELECT token, 0 AS st, id, seq FROM T JOIN AL ON lt = a JOIN NN ON kind = 'Gene' AND ln = alias
+      UNION ALL SELECT token, 1, id, seq FROM T JOIN AL ON lt = a JOIN NN ON kind = 'Gene' AND contains(ln, alias)
+      UNION ALL SELECT token, 2, id, seq FROM H WHERE NOT sym OR kind <> 'Gene' UNION ALL SELECT token, 2, id, seq FROM T JOIN NN ON sym AND kind = 'Gene' AND upper(name) = upper(token)
+      UNION ALL SELECT token, 3, id, seq FROM T JOIN NN ON ln = lt WHERE length(token) >= 3
+      UNION ALL SELECT token, 4, id, seq FROM H WHERE length(token) >= 3
+      UNION ALL SELECT token, 5, id, seq FROM (SELECT token, id, seq, row_number() OVER (PARTITION BY token ORDER BY round(CASE WHEN contains(ln, lt) THEN length(lt) * 1.0 / length(ln) WHEN len(list_filter(string_split(lt, ' '), lambda w: contains(ln, w))) > 0 THEN 0.5 ELSE 0.1 END, 12) DESC, seq) AS rn FROM T JOIN KW ON KW.w = lt JOIN NN ON NN.kind = KW.k) WHERE rn = 1
+      UNION ALL SELECT token, 6, id, seq FROM T JOIN NN ON contains(lt, ' ') AND len(list_filter(string_split(lt, ' '), lambda w: NOT contains(ln, w))) = 0
+      UNION ALL SELECT token, 7, id, seq FROM T JOIN FA ON FA.w = token JOIN NN ON contains(ln, e)
+      UNION ALL SELECT token, 8, id, seq FROM T JOIN NN ON length(token) >= 3 AND kind = 'Gene' AND (contains(ln, lt) OR contains(lt, ln) OR len(list_filter(string_split_regex(lt, '[ \t\n\r]+'), lambda w: w <> '' AND contains(ln, w))) > 0))
+    SELECT token, id, CAST(greatest(st, 1) AS INTEGER) AS stage FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY st, CASE WHEN st = 5 THEN 0 ELSE seq END) AS rn FROM M) WHERE rn = 1""",
+)
+def token_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Words of titles, kind words, Persian words and a few made-up ones, bound to nodes by eight stages."""
+    titles = table(spark, d, "documents").select(F.explode(F.split("title", " ")).alias("token"))
+    extra, aliases = spark.createDataFrame([(w,) for w in _EXTRA], "token string"), spark.createDataFrame(list(_ALIASES), "token string, alias string")
+    return Q.cascade(titles.unionByName(extra), load(spark, d).nodes, aliases).select("token", "id", "stage")
+
+
 ANSWER_SQL = f"""D AS (SELECT id, name FROM N WHERE kind = 'Disease' AND name IS NOT NULL),
 QS AS (SELECT id AS qid, name AS token, 'What compounds treat ' || name || '?' AS question FROM D),
 TY AS (SELECT qid, token, {_TYPE_SQL} AS t FROM (SELECT qid, token, lower(question) AS q FROM QS)),
