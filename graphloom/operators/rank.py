@@ -36,12 +36,17 @@ def ensemble(parts: dict[str, DataFrame], weights: dict[str, float] = ENSEMBLE)
     return out.select("id", "n_methods", (F.col("s") * (1 + 0.1 * F.col("n_methods"))).alias("score"))
 
 
-def adaptive(parts: dict[str, DataFrame]) -> DataFrame:
-    """(id, method, depth, score): the last of the given methods that found a node wins."""
-    hits = reduce(DataFrame.unionByName, [p.select("id", "depth", F.lit(m).alias("method"), F.lit(i).alias("ord")) for i, (m, p) in enumerate(parts.items())])
-    each = hits.groupBy("id", "method", "ord").agg(F.min("depth").alias("depth"))
-    out = each.groupBy("id").agg(F.max_by("method", "ord").alias("method"), F.max_by("depth", "ord").alias("depth"), F.count(F.lit(1)).alias("n"))
-    return out.select("id", "method", "depth", ((1 + 0.1 * F.col("n")) / (F.col("depth") + 1)).alias("score"))
+#: Scores of the methods in the adaptive merge.
+ADAPTIVE, OTHER_METHOD = {"Expression-Direct": 5.0, "Expression-Reverse": 4.5, "Expression-DFS": 4.0, "BFS": 3.5, "DFS": 3.0, "Neighbors": 2.5, "Hybrid": 2.0}, 1.0
+
+
+def adaptive(hits: DataFrame) -> DataFrame:
+    """(id, method, depth, score) of ``hits(id, depth, method, ord)``: the last method by ``ord`` that found a node names it."""
+    out = hits.groupBy("id").agg(F.max_by("method", "ord").alias("method"), F.min("depth").alias("depth"), F.count(F.lit(1)).alias("n"))
+    value = F.lit(OTHER_METHOD)
+    for m, v in ADAPTIVE.items():
+        value = F.when(F.col("method") == m, v).otherwise(value)
+    return out.select("id", "method", "depth", (value * (1 + 0.1 * F.col("n")) / (F.col("depth") + 1)).alias("score"))
 
 
 def group_quota(hits: DataFrame, group: str, k: int) -> DataFrame:

@@ -52,6 +52,26 @@ def candidates(entities: DataFrame, threshold: float = 0.8, block: int = BLOCK)
     return met.repartition(parts, "kind", "i", "j").groupBy("kind", "i", "j").applyInPandas(meet, f"kind string, a string, b string, sa {kind}, sb {kind}, similarity double")
 
 
+def alike(nodes: DataFrame, asked: DataFrame, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(seed, id, similarity): nodes of a seed's kind whose names are similar to its name; a stated set against all, in blocks."""
+    named = cut(nodes.where("name is not null").withColumn("form", entity_form_udf("name")).where("form <> ''").select("id", "kind", "form"))
+    mine = cut(asked.select(F.col("id").alias("seed")).distinct().join(named.withColumnRenamed("id", "seed"), "seed"))
+    forms = named.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("n"))
+    blocks = cut(forms.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb")))
+    left = mine.select("kind", "form").distinct().join(F.broadcast(blocks), "kind").select("kind", "form", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
+    right = cut(forms.join(F.broadcast(blocks), "kind").select("kind", "form", F.pmod(F.xxhash64("form"), F.col("nb")).cast("int").alias("b")))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame(columns=["kind", "a", "form", "similarity"])
+        p, q, score = similar_pairs(list(x.form), list(y.form), threshold)
+        a, b = list(x.form), list(y.form)
+        return pd.DataFrame([(x.kind.iloc[0], a[i], b[j], s) for i, j, s in zip(p, q, score)], columns=["kind", "a", "form", "similarity"])
+
+    pairs = left.groupBy("kind", "b").cogroup(right.groupBy("kind", "b")).applyInPandas(meet, "kind string, a string, form string, similarity double")
+    return pairs.join(mine.select("seed", "kind", F.col("form").alias("a")), ["kind", "a"]).join(named, ["kind", "form"]).select("seed", "id", "similarity")
+
+
 def distinct_forms(nodes: DataFrame) -> DataFrame:
     """(form, kind, seq, n): one row a comparable name of a kind; seq is the first entry."""
     forms = nodes.where("name is not null").withColumn("form", entity_form_udf("name")).where("form <> ''")

@@ -57,6 +57,24 @@ def seeded_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, orient
     return seen
 
 
+def weighted_distances(costs: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(id, depth, cost): the cheapest path from any seed over ``costs(src, dst, cost)`` of at most ``max_hops`` edges.
+
+    Rounds improve costs from the nodes that changed last, until nothing changes; ``depth`` is the edges of that path.
+    """
+    best = cut(seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(0.0).alias("cost"), F.lit(0).alias("round")), F.count(F.lit(1)).alias("n"))
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
+        last = best.where(F.col("round") == hop - 1).select(F.col("id").alias("src"), F.col("depth").alias("d"), F.col("cost").alias("c"))
+        step = costs.join(last, "src").select(F.col("dst").alias("id"), (F.col("d") + 1).alias("depth"), F.round(F.col("c") + F.col("cost"), 9).alias("cost"), F.lit(hop).alias("round"))
+        new = best.unionByName(step).groupBy("id").agg(F.min(F.struct("cost", "round", "depth")).alias("m")).select("id", "m.depth", "m.cost", "m.round")
+        nxt = cut(new, F.count(F.when(F.col("round") == hop, 1)).alias("n"))
+        discard(best)
+        best = nxt
+        if not measured(best)["n"]:
+            break
+    return best.select("id", "depth", "cost")
+
+
 def ego(edges: DataFrame, seeds: DataFrame, max_depth: int, orientation: str = "both", cap: int | None = None) -> DataFrame:
     """The edges among all nodes near the seeds."""
     return induced(edges, bfs(edges, seeds, max_depth, orientation, cap))
@@ -181,11 +199,11 @@ def dfs(edges: DataFrame, seeds: DataFrame, max_depth: int, orientation: str = "
     if metaedges is not None:
         edges = edges.where(F.col("metaedge").isin(metaedges))
     near = seeded_bfs(edges, seeds, max_depth - 1 if max_depth > 0 else 0, orientation)
-    e = oriented(edges, orientation).join(near.select("seed", F.col("id").alias("src")), "src").groupBy("seed", "src", "dst").agg(F.min("seq").alias("seq"))
+    e = near.select("seed", F.col("id").alias("src")).join(oriented(edges, orientation).select("src", "dst", "seq"), "src", "left").groupBy("seed", "src", "dst").agg(F.min("seq").alias("seq"))
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         start = part.seed.iloc[0]
-        order = part.sort_values(["seq", "dst"])
+        order = part[part.dst.notna()].sort_values(["seq", "dst"])
         nxt: dict[str, list[str]] = {}
         for a, b in zip(order.src, order.dst):
             nxt.setdefault(a, []).append(b)

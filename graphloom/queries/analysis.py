@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.model import GRAPH_SQL
 from graphloom.operators import analytics as A, rank as K, stats as S, traverse as T
-from graphloom.operators.expand import capped, induced, neighbors
+from graphloom.operators.expand import capped, induced
+from graphloom.plans.retrieve import adaptive_hits, parts
 from graphloom.queries.base import Registry
 from graphloom.queries.graph import GENES_SQL, HUB_SQL, SEEDS_SQL, STEP_SQL, _bfs_sql, hub, load, seeds, walk_sql
 
@@ -113,32 +114,55 @@ def paginate_sort(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d).nodes.select("id", "name", "kind").orderBy(F.desc("kind"), F.asc_nulls_first("name"), "id").offset(50).limit(25)
 
 
-METHOD_SQL = f"""{SEEDS_SQL}, {STEP_SQL}, {_bfs_sql('SEEDS', 2, 'STEP')},
+def dfs_sql(seed: str) -> str:
+    """DW(seed, id, depth): depth-first preorder to depth 2, the children of a seed taken in order of entry.
+
+    A child seen before, below an earlier one, is not entered again, so its own children stay unseen.
+    """
+    return f"""CH AS (SELECT src, list(dst ORDER BY seq, dst) AS ch FROM (SELECT src, dst, min(seq) AS seq FROM E GROUP BY src, dst) GROUP BY src),
+DF AS (SELECT s.id AS seed, 0 AS i, CAST([] AS VARCHAR[]) AS d1, [s.id] AS vis, coalesce(c.ch, []) AS ch FROM {seed} s LEFT JOIN CH c ON c.src = s.id
+  UNION ALL SELECT w.seed, w.i + 1, CASE WHEN list_contains(w.vis, w.ch[w.i + 1]) THEN w.d1 ELSE list_append(w.d1, w.ch[w.i + 1]) END,
+    CASE WHEN list_contains(w.vis, w.ch[w.i + 1]) THEN w.vis ELSE list_distinct(list_concat(list_append(w.vis, w.ch[w.i + 1]), coalesce(c.ch, []))) END, w.ch
+  FROM DF w LEFT JOIN CH c ON c.src = w.ch[w.i + 1] WHERE w.i < len(w.ch)),
+DW AS (SELECT seed, x AS id, CASE WHEN x = seed THEN 0 WHEN list_contains(d1, x) THEN 1 ELSE 2 END AS depth FROM (SELECT seed, d1, unnest(vis) AS x FROM DF WHERE i = len(ch)))"""
+
+
+METHOD_SQL = f"""{SEEDS_SQL}, {STEP_SQL}, {_bfs_sql('SEEDS', 2, 'STEP')}, {dfs_sql('SEEDS')},
 M1 AS (SELECT id, min(depth) AS depth FROM B GROUP BY id),
-M2 AS (SELECT id, 0 AS depth FROM SEEDS UNION SELECT dst, 1 FROM UND WHERE src IN (SELECT id FROM SEEDS) AND dst NOT IN (SELECT id FROM SEEDS)),
+M2 AS (SELECT id, min(depth) AS depth FROM DW GROUP BY id),
 M3 AS (SELECT DISTINCT dst AS id, 1 AS depth FROM STEP WHERE src IN (SELECT id FROM SEEDS))"""
+MULTI_SQL = "H AS (SELECT id, depth, 'BFS' AS m FROM M1 UNION ALL SELECT id, depth, 'DFS' FROM M2 UNION ALL SELECT id, depth, 'NEIGHBORS' FROM M3)"
+ENSEMBLE_SQL = "H AS (SELECT id, depth, 1.0 AS w FROM M1 UNION ALL SELECT id, depth, 0.8 FROM M2 UNION ALL SELECT id, depth, 0.9 FROM M3)"
 
 
-def _methods(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     g = load(spark, d).kept
-    s = seeds(g)
-    near = neighbors(g, s).where("src <> id").select("id").distinct().withColumn("depth", F.lit(1))
-    return {"BFS": T.bfs(g.edges, s, 2), "DFS": T.bfs(g.edges, s, 1, "both"), "NEIGHBORS": near}
+    return parts(g, seeds(g))
 
 
-@R.add("multi_method", f"WITH RECURSIVE {GRAPH_SQL}, {METHOD_SQL}, H AS (SELECT id, depth, 'BFS' AS m FROM M1 UNION ALL SELECT id, depth, 'DFS' FROM M2 UNION ALL SELECT id, depth, 'NEIGHBORS' FROM M3) SELECT id, CAST(min(depth) AS INTEGER) AS depth, string_agg(m, '+' ORDER BY m) AS methods, CAST(count(*) AS BIGINT) AS n_methods, CAST(1 + 0.5 * (count(*) - 1) AS DOUBLE) AS score FROM H GROUP BY id")
+@R.add("multi_method", f"WITH RECURSIVE {GRAPH_SQL}, {METHOD_SQL}, {MULTI_SQL} SELECT id, CAST(min(depth) AS INTEGER) AS depth, string_agg(m, '+' ORDER BY m) AS methods, CAST(count(*) AS BIGINT) AS n_methods, CAST(1 + 0.5 * (count(*) - 1) AS DOUBLE) AS score FROM H GROUP BY id")
 def multi_method(spark: SparkSession, d: str) -> DataFrame:
-    return K.merge_methods(_methods(spark, d)).withColumn("score", F.col("score").cast("double"))
+    return K.merge_methods(_parts(spark, d)).withColumn("score", F.col("score").cast("double"))
 
 
-@R.add("ensemble", f"WITH RECURSIVE {GRAPH_SQL}, {METHOD_SQL}, H AS (SELECT id, depth, 1.0 AS w FROM M1 UNION ALL SELECT id, depth, 0.8 FROM M2 UNION ALL SELECT id, depth, 0.9 FROM M3) SELECT id, CAST(count(*) AS BIGINT) AS n_methods, round(sum(w / (depth + 1)) * (1 + 0.1 * count(*)), 6) AS score FROM H GROUP BY id")
+@R.add("ensemble", f"WITH RECURSIVE {GRAPH_SQL}, {METHOD_SQL}, {ENSEMBLE_SQL} SELECT id, CAST(count(*) AS BIGINT) AS n_methods, round(sum(w / (depth + 1)) * (1 + 0.1 * count(*)), 6) AS score FROM H GROUP BY id")
 def ensemble(spark: SparkSession, d: str) -> DataFrame:
-    return K.ensemble(_methods(spark, d)).withColumn("score", F.round("score", 6))
+    return K.ensemble(_parts(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@R.add("adaptive", f"WITH RECURSIVE {GRAPH_SQL}, {METHOD_SQL}, H AS (SELECT id, depth, 'BFS' AS m, 0 AS o FROM M1 UNION ALL SELECT id, depth, 'DFS', 1 FROM M2 UNION ALL SELECT id, depth, 'NEIGHBORS', 2 FROM M3) SELECT id, arg_max(m, o) AS method, CAST(arg_max(depth, o) AS INTEGER) AS depth, round((1 + 0.1 * count(*)) / (arg_max(depth, o) + 1), 6) AS score FROM H GROUP BY id")
+ADAPTIVE_SQL = f"""{STEP_SQL}, {dfs_sql('KS')}, SB AS (SELECT id AS seed, id, 0 AS depth FROM KS UNION SELECT s.seed, e.dst, s.depth + 1 FROM SB s JOIN STEP e ON e.src = s.id WHERE s.depth < 2),
+W2 AS (SELECT seed, id, min(depth) AS depth FROM SB GROUP BY seed, id),
+H AS (SELECT w.id, w.depth, CASE WHEN k.kind IN ('Gene', 'Disease', 'Biological Process', 'Pathway') THEN 'BFS' ELSE 'Hybrid' END AS m, (w.seed, 0) AS o FROM W2 w JOIN KS k ON k.id = w.seed WHERE k.kind <> 'Compound'
+  UNION ALL SELECT w.id, w.depth, 'DFS', (w.seed, CASE WHEN k.kind = 'Compound' THEN 0 ELSE 1 END) FROM DW w JOIN KS k ON k.id = w.seed WHERE k.kind IN ('Compound', 'Biological Process', 'Pathway')),
+AD AS (SELECT id, arg_max(m, o) AS method, min(depth) AS depth, count(*) AS n FROM H GROUP BY id),
+AH AS (SELECT id, method, depth, CASE method WHEN 'BFS' THEN 3.5 WHEN 'DFS' THEN 3.0 ELSE 2.0 END * (1 + 0.1 * n) / (depth + 1) AS score FROM AD)"""
+
+
+@R.add("adaptive", f"WITH RECURSIVE {GRAPH_SQL}, KS AS (SELECT min(id) AS id, kind FROM N GROUP BY kind), {ADAPTIVE_SQL} SELECT id, method, CAST(depth AS INTEGER) AS depth, round(score, 6) AS score FROM AH")
 def adaptive(spark: SparkSession, d: str) -> DataFrame:
-    return K.adaptive(_methods(spark, d)).withColumn("score", F.round("score", 6))
+    """From one seed of every kind, each walked as its kind asks."""
+    g = load(spark, d).kept
+    return adaptive_hits(g, g.nodes.groupBy("kind").agg(F.min("id").alias("id"))).withColumn("score", F.round("score", 6))
 
 
 @R.add("per_group_quota", f"WITH {GRAPH_SQL}, {DEGREE_SQL}, H AS (SELECT n.id, n.kind, d.degree AS score FROM N n JOIN DEG d ON d.id = n.id), Q AS (SELECT greatest(1, 60 // greatest(count(DISTINCT kind), 1)) AS q FROM H), X AS (SELECT id, kind, score, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS rn FROM H) SELECT id, kind, score FROM X, Q WHERE rn <= q ORDER BY score DESC, id LIMIT 60")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions import text as X
 from graphloom.model import GRAPH_SQL, REVERSE
-from graphloom.operators import rank as K, search as S, traverse as T
+from graphloom.operators import analytics as A, rank as K, search as S, traverse as T
 from graphloom.operators.expand import capped
 from graphloom.operators.extract import entities
 from graphloom.operators.stats import degrees
-from graphloom.queries.analysis import DEGREE_SQL
+from graphloom.queries.analysis import DEGREE_SQL, _pagerank_sql
 from graphloom.queries.base import Registry
 from graphloom.queries.graph import SEEDS_SQL, STEP_SQL, _bfs_sql, load, seeds
 from graphloom.queries.texts import ENTITY_SQL, WORDS
@@ -25,25 +25,24 @@ _HITS = " + ".join(f"CASE WHEN list_contains(w, '{t}') THEN 1 ELSE 0 END" for t
 
 @R.add(
     "kg_fusion",
-    f"""WITH RECURSIVE {GRAPH_SQL}, {DEGREE_SQL}, {SEEDS_SQL}, {STEP_SQL}, {_bfs_sql('SEEDS', 2, 'UND')}, H AS (SELECT id, min(depth) AS hops FROM B GROUP BY id),
+    f"""WITH RECURSIVE {GRAPH_SQL}, {SEEDS_SQL}, {STEP_SQL}, {_bfs_sql('SEEDS', 2, 'UND')}, H AS (SELECT id, min(depth) AS hops FROM B GROUP BY id),
     S AS (SELECT id, ({_HITS}) / {float(len(ASKED))} AS sim FROM (SELECT id, {WORDS.format(c='name')} AS w FROM N WHERE name IS NOT NULL)), SS AS (SELECT * FROM S WHERE sim > 0),
-    M AS (SELECT max(degree) AS most FROM DEG),
-    J AS (SELECT coalesce(SS.id, H.id) AS id, coalesce(sim, 0) AS sim, coalesce(hops, 3) AS hops FROM SS FULL JOIN H ON H.id = SS.id)
-    SELECT j.id, round(0.45 * sim + 0.35 * coalesce(d.degree, 0) * 1.0 / (SELECT most FROM M) + 0.20 * CASE WHEN n.kind = 'Gene' THEN 0.2 WHEN n.kind IN ('Disease', 'Compound') THEN 0.15 ELSE 0.1 END - 0.10 * ln(1.0 + hops) + CASE WHEN hops = 0 THEN 1.0 ELSE 0 END, 6) AS score
-    FROM J j JOIN N n ON n.id = j.id LEFT JOIN DEG d ON d.id = j.id""",
+    J AS (SELECT coalesce(SS.id, H.id) AS id, CASE WHEN hops = 0 THEN 1.0 ELSE coalesce(sim, 0) END AS sim, coalesce(hops, 3) AS hops FROM SS FULL JOIN H ON H.id = SS.id), {_pagerank_sql(10)}
+    SELECT j.id, round(0.45 * sim + 0.35 * CASE WHEN hops = 0 THEN 1.0 ELSE r.r END + 0.20 * CASE WHEN n.kind = 'Gene' THEN 0.2 WHEN n.kind IN ('Disease', 'Compound') THEN 0.15 ELSE 0.1 END - 0.10 * ln(1.0 + hops) + CASE WHEN hops = 0 THEN 1.0 ELSE 0 END, 6) AS score
+    FROM J j JOIN N n ON n.id = j.id JOIN R10 r ON r.id = j.id""",
 )
 def kg_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Entities by keyword and by nearness to the core, full outer merged and scored together."""
+    """Entities by keyword and by nearness to the core, full outer merged and scored together; the core counts as certain."""
     g = load(spark, d).kept
     named = g.nodes.where("name is not null").select("id", X.words(F.col("name")).alias("w"))
     similar = S.keyword_score(named, "id", "w", list(ASKED)).select("id", F.col("score").alias("sim"))
     near = T.bfs(g.edges, seeds(g), 2, "both").select("id", F.col("depth").alias("hops"))
-    both = similar.join(near, "id", "full").select("id", F.coalesce("sim", F.lit(0.0)).alias("sim"), F.coalesce("hops", F.lit(3)).alias("hops"))
-    deg = degrees(g.edges)
-    most = deg.agg(F.max("degree").alias("most"), F.lit(1).alias("k"))
-    rows = both.join(g.nodes.select("id", "kind"), "id").join(deg.select("id", "degree"), "id", "left").withColumn("k", F.lit(1)).join(F.broadcast(most), "k")
+    core = F.coalesce(F.col("hops") == 0, F.lit(False))
+    both = similar.join(near, "id", "full").select("id", F.when(core, 1.0).otherwise(F.coalesce("sim", F.lit(0.0))).alias("sim"), F.coalesce("hops", F.lit(3)).alias("hops"))
+    rows = both.join(g.nodes.select("id", "kind"), "id").join(A.pagerank(g.nodes, g.edges, 10), "id")
     schema = F.when(F.col("kind") == "Gene", 0.2).when(F.col("kind").isin("Disease", "Compound"), 0.15).otherwise(0.1)
-    score = K.fuse(F.col("sim"), F.coalesce("degree", F.lit(0)) / F.col("most"), schema, F.col("hops"), F.col("hops") == 0)
+    rank = F.when(F.col("hops") == 0, 1.0).otherwise(F.col("rank"))
+    score = K.fuse(F.col("sim"), rank, schema, F.col("hops"), F.col("hops") == 0)
     return rows.select("id", F.round(score, 6).alias("score"))
 
 

@@ -9,7 +9,8 @@ from graphloom.operators.expand import enrich
 from graphloom.plans import intent as I, match as Q, retrieve as V
 from graphloom.plans.context import render
 from graphloom.queries.base import Registry
-from graphloom.queries.graph import load, seeds
+from graphloom.queries.analysis import ADAPTIVE_SQL, DEGREE_SQL, ENSEMBLE_SQL, GENE_SUB, METHOD_SQL, MULTI_SQL, UND_SQL, _lpa_sql, _pagerank_sql
+from graphloom.queries.graph import SEEDS_SQL, _bfs_sql, load, seeds
 from graphloom.queries.texts import WORDS
 from graphloom.session import table
 from graphloom.sources import graph_files as G
@@ -125,17 +126,106 @@ def answer_questions(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("qid", F.col("dst").alias("hit")).agg(F.round(F.max(score), 6).alias("score"))
 
 
+QUESTION = "Which compound treats the pain syndrome?"
+_NEAR = f"{_bfs_sql('SEEDS', 1, 'UND').replace('B AS', 'B1 AS', 1).replace('FROM B b', 'FROM B1 b')}, G1 AS (SELECT id FROM N WHERE kind = 'Gene' AND id IN (SELECT id FROM B1))"
+_EXP = f"""EX AS (SELECT e.dst AS id, {SCORE_SQL.format(e='e', d='1')} AS s FROM E e LEFT JOIN metaedges m ON e.metaedge = m.metaedge WHERE e.src IN (SELECT id FROM SEEDS)
+  UNION ALL SELECT e.src, 0.8 * {SCORE_SQL.format(e='e', d='1')} FROM E e LEFT JOIN metaedges m ON e.metaedge = m.metaedge WHERE e.dst IN (SELECT id FROM SEEDS)), IT AS (SELECT id, 1 AS depth, round(max(s), 6) AS score FROM EX GROUP BY id)"""
+_HOPS = "PH AS (SELECT s.id AS seed, e.dst AS id, 1 AS hops FROM SEEDS s JOIN E e ON e.src = s.id WHERE e.dst <> s.id AND e.metaedge NOT IN ('DrD', 'CrC') UNION ALL SELECT p.seed, e.dst, 2 FROM PH p JOIN E e ON e.src = p.id WHERE p.hops = 1 AND e.dst NOT IN (p.seed, p.id) AND e.metaedge NOT IN ('DrD', 'CrC')), NH AS (SELECT id, min(hops) AS depth FROM PH GROUP BY id)"
+_BOTH = "BE AS (SELECT src, dst, metaedge, seq FROM E UNION ALL SELECT dst, src, metaedge, seq FROM E)"
+_PATHS = f"""{_BOTH}, DIS AS (SELECT list(id) AS ids FROM N WHERE kind = 'Disease'), BA AS (SELECT * FROM BE WHERE metaedge IN ('CtD', 'CpD', 'PCiC', 'CbG')),
+P AS (SELECT id AS start, id AS nd, [id] AS path, CAST([] AS VARCHAR[]) AS metas, CAST([] AS BIGINT[]) AS seqs FROM SEEDS
+  UNION ALL SELECT p.start, b.dst, list_append(p.path, b.dst), list_append(p.metas, b.metaedge), list_append(p.seqs, b.seq) FROM P p JOIN BA b ON b.src = p.nd WHERE len(p.metas) < 3 AND NOT list_contains(p.path, b.dst)),
+KP AS (SELECT p.*, len(metas) AS hops FROM P p JOIN N n ON n.id = p.nd, DIS WHERE len(metas) > 0 AND n.kind IN ('Compound', 'Pharmacologic Class') AND len(list_filter(range(1, len(metas) + 1), lambda i: metas[i] IN ('CtD', 'CpD') AND (list_contains(ids, path[i]) OR list_contains(ids, path[i + 1])))) > 0),
+ST AS (SELECT seq, CASE metaedge WHEN 'CtD' THEN 1.2 WHEN 'GcG' THEN 1.0 + 0.5 * least(1.0, greatest(0.0, weight)) ELSE 1.0 END + 0.05 * coalesce(evidence, 0) AS s FROM E),
+GH AS (SELECT n.id, 1.0 / (1.0 + ln(1.0 + d.degree)) AS h FROM N n JOIN DEG d ON d.id = n.id WHERE n.kind = 'Gene'),
+PS AS (SELECT start, seqs, avg(s) AS strength FROM (SELECT start, seqs, unnest(seqs) AS sq FROM KP) JOIN ST ON seq = sq GROUP BY start, seqs),
+HB AS (SELECT start, seqs, avg(h) AS hub FROM (SELECT start, seqs, unnest(path) AS x FROM KP) JOIN GH ON id = x GROUP BY start, seqs),
+V AS (SELECT k.*, round(0.35 * CASE WHEN list_contains(metas, 'CtD') THEN 1.0 ELSE 0.0 END + 0.25 * strength + 0.20 + 0.10 * CASE hops WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 ELSE 0.6 END + 0.05 * coalesce(hub, 1.0), 9) AS v FROM KP k JOIN PS ON PS.start = k.start AND PS.seqs = k.seqs LEFT JOIN HB ON HB.start = k.start AND HB.seqs = k.seqs),
+RK AS (SELECT *, v + CASE WHEN row_number() OVER (PARTITION BY start, nd ORDER BY v DESC, array_to_string(path, '>'), array_to_string(metas, '>')) = 1 THEN 0.05 ELSE 0 END AS score FROM V)"""
+
+
+def _between(seed: str) -> str:
+    """SP(s, t, id, depth): nodes on shortest paths of at most three edges between two seeds, with their place."""
+    return f"""DD AS (SELECT id AS seed, id, 0 AS depth FROM {seed} UNION SELECT x.seed, u.dst, x.depth + 1 FROM DD x JOIN UND u ON u.src = x.id WHERE x.depth < 3), DM AS (SELECT seed, id, min(depth) AS depth FROM DD GROUP BY seed, id),
+    SP AS (SELECT a.seed AS s, b.seed AS t, a.id, a.depth FROM DM a JOIN DM b ON b.id = a.id AND a.seed < b.seed JOIN DM c ON c.seed = a.seed AND c.id = b.seed WHERE a.depth + b.depth = c.depth)"""
+
+
+def _linked_sql(codes: str, kind: str) -> str:
+    return f"LK AS (SELECT DISTINCT g.id AS gene, x.id FROM G1 g JOIN (SELECT src AS gene, dst AS id FROM E WHERE metaedge IN {codes} AND src <> dst UNION SELECT dst, src FROM E WHERE metaedge IN {codes} AND src <> dst) x ON x.gene = g.id JOIN N n ON n.id = x.id AND n.kind = '{kind}')"
+
+
+_COUNTED = "SELECT id, 2 AS depth, CAST(count(*) AS DOUBLE) AS score FROM LK GROUP BY id"
+_NO_DEPTH = "CAST(NULL AS INTEGER) AS depth"
+_NAME_WORDS = WORDS.format(c="name")
+_ASKED = "['compound', 'pain', 'syndrome', 'the', 'treats', 'which']"
+_WORD_SIM = f"WS AS (SELECT id, len(list_intersect(list_distinct({_NAME_WORDS}), {_ASKED})) * 1.0 / len(list_distinct(list_concat({_NAME_WORDS}, {_ASKED}))) AS score FROM N WHERE name IS NOT NULL)"
+_CTD = SCORE_SQL.format(e="e", d="1")
+
+
+def _expand_sql(name: str, seeds_: str) -> str:
+    return f"{name} AS (SELECT id, round(max(s), 6) AS score FROM (SELECT e.dst AS id, {_CTD} AS s FROM E e LEFT JOIN metaedges m ON e.metaedge = m.metaedge WHERE e.metaedge = 'CtD' AND e.src IN (SELECT id FROM {seeds_}) UNION ALL SELECT e.src, 0.8 * {_CTD} FROM E e LEFT JOIN metaedges m ON e.metaedge = m.metaedge WHERE e.metaedge = 'CtD' AND e.dst IN (SELECT id FROM {seeds_})) GROUP BY id)"
+
+
+_COST = "CO AS (SELECT src, dst, 2.0 - weight AS cost FROM E), W0 AS (SELECT id, 0.0::DOUBLE AS c FROM SEEDS), " + ", ".join(f"W{h} AS (SELECT dst AS id, min(round(c + cost, 9)) AS c FROM CO JOIN W{h - 1} w ON w.id = CO.src GROUP BY dst)" for h in (1, 2, 3))
+#: Hits (id, depth, score) of each method as SQL, from the first three compounds.
+HITS = {
+    "bfs": ("", "SELECT id, depth, 1.0 / (depth + 1) AS score FROM M1"),
+    "dfs": ("", "SELECT id, depth, 1.0 / (depth + 1) AS score FROM M2"),
+    "neighbors": ("", "SELECT id, depth, 1.0 / (depth + 1) AS score FROM M3"),
+    "hybrid": ("", "SELECT id, depth, 1.0 / (depth + 1) AS score FROM M1"),
+    "multi_method": (MULTI_SQL, "SELECT id, min(depth) AS depth, 1 + 0.5 * (count(*) - 1) AS score FROM H GROUP BY id"),
+    "ensemble": (ENSEMBLE_SQL, f"SELECT id, {_NO_DEPTH}, sum(w / (depth + 1)) * (1 + 0.1 * count(*)) AS score FROM H GROUP BY id"),
+    "intelligent": (_EXP, "SELECT * FROM IT"),
+    "semantic_similarity": (_EXP, "SELECT * FROM IT"),
+    "n_hop": (_HOPS, "SELECT id, depth, 1.0 / (depth + 1) AS score FROM NH"),
+    "pagerank": (f"{_pagerank_sql(5)}, {_bfs_sql('SEEDS', 2, 'UND').replace('B AS', 'B2 AS', 1).replace('FROM B b', 'FROM B2 b')}", "SELECT b.id, min(b.depth) AS depth, max(r.r) AS score FROM B2 b JOIN R5 r ON r.id = b.id GROUP BY b.id"),
+    "community_detection": (f"{UND_SQL}, {_lpa_sql(5)}, {DEGREE_SQL}", f"SELECT l.id, {_NO_DEPTH}, CAST(coalesce(d.degree, 0) AS DOUBLE) AS score FROM L5 l LEFT JOIN DEG d ON d.id = l.id WHERE l.label IN (SELECT label FROM L5 WHERE id IN (SELECT id FROM SEEDS))"),
+    "no_retrieval": ("", "SELECT id, 0 AS depth, 0.0 AS score FROM SEEDS WHERE false"),
+    "shortest_path": (_between("SEEDS"), "SELECT id, min(depth) AS depth, 1.0 / (min(depth) + 1) AS score FROM SP GROUP BY id"),
+    "kg_search": (f"{DEGREE_SQL}, {_PATHS}", "SELECT nd AS id, min(hops) AS depth, max(score) AS score FROM RK GROUP BY nd"),
+    "hybrid_new": (f"{_EXP}, {_HOPS}, {_pagerank_sql(10)}, TR AS (SELECT id, 0 AS depth, r AS score FROM R10 ORDER BY round(r, 12) DESC, id LIMIT 6), U AS (SELECT id, 0 AS depth, 120.0 AS score FROM SEEDS UNION ALL SELECT * FROM IT UNION ALL SELECT id, depth, 1.0 / (depth + 1) FROM NH UNION ALL SELECT * FROM TR)", "SELECT id, arg_min(depth, (-score, depth)) AS depth, max(score) AS score FROM U GROUP BY id"),
+    "dijkstra": (_COST, "SELECT id, arg_min(h, (c, h)) AS depth, 1.0 / (1.0 + min(c)) AS score FROM (SELECT id, c, 0 AS h FROM W0 UNION ALL SELECT id, c, 1 FROM W1 UNION ALL SELECT id, c, 2 FROM W2 UNION ALL SELECT id, c, 3 FROM W3) GROUP BY id"),
+    "limited_bfs": (f"{_bfs_sql('SEEDS', 3, 'STEP').replace('B AS', 'B3 AS', 1).replace('FROM B b', 'FROM B3 b')}, LB AS (SELECT id, min(depth) AS depth FROM B3 GROUP BY id ORDER BY depth, id LIMIT 20)", "SELECT id, depth, 1.0 / (depth + 1) AS score FROM LB"),
+    "word_similarity": (_WORD_SIM, f"SELECT id, {_NO_DEPTH}, score FROM WS WHERE score > 0"),
+    "enhanced_n_hop": (
+        f"{DEGREE_SQL}, PA AS (SELECT s.id AS seed, s.id, 0 AS hops FROM SEEDS s UNION ALL SELECT s.id, e.dst, 1 FROM SEEDS s JOIN E e ON e.src = s.id WHERE e.dst <> s.id UNION ALL SELECT s.id, f.dst, 2 FROM SEEDS s JOIN E e ON e.src = s.id JOIN E f ON f.src = e.dst WHERE e.dst <> s.id AND f.dst NOT IN (s.id, e.dst)), NB AS (SELECT src AS id, count(DISTINCT dst) AS nb FROM STEP GROUP BY src)",
+        "SELECT p.id, min(p.hops) AS depth, max(CASE WHEN n.kind = 'Gene' THEN 2.0 ELSE 0.0 END + 0.1 * coalesce(nb, 0) + 5.0 * coalesce(d.degree, 0) / ((SELECT count(*) FROM N) - 1.0)) AS score FROM PA p JOIN N n ON n.id = p.id LEFT JOIN NB ON NB.id = p.id LEFT JOIN DEG d ON d.id = p.id GROUP BY p.id",
+    ),
+    "group_based": (f"{_NEAR}, {_linked_sql(chr(40) + repr('GpBP') + chr(41), 'Biological Process')}", "SELECT gene AS id, 2 AS depth, CAST(count(*) AS DOUBLE) AS score FROM LK WHERE id IN (SELECT id FROM LK GROUP BY id HAVING count(*) > 1) GROUP BY gene"),
+    "biological_pathway": (f"{_NEAR}, {_linked_sql(chr(40) + repr('GpPW') + chr(41), 'Pathway')}", _COUNTED),
+    "gene_cluster": (f"{_NEAR}, {_linked_sql(str(('GiG', 'GcG', 'Gr>G')), 'Gene')}", _COUNTED),
+    "disease_gene_network": (f"{_NEAR}, {_linked_sql(str(('DaG', 'DuG', 'DdG')), 'Disease')}", _COUNTED),
+    "neighbors_enhanced": ("", "SELECT dst AS id, 1 AS depth, sum(weight) AS score FROM E WHERE src IN (SELECT id FROM SEEDS) AND src <> dst GROUP BY dst"),
+    "shortest_path_enhanced": (
+        f"{_NEAR}, G5 AS (SELECT id FROM G1 ORDER BY id LIMIT 5), {_between('G5')}, U1 AS (SELECT a.s, a.t, [a.id] AS p, a.id AS x, a.depth AS i FROM SP a WHERE a.depth = 0), "
+        "PP AS (SELECT s, t, p, x, i FROM U1 UNION ALL SELECT q.s, q.t, list_append(q.p, n.id), n.id, n.depth FROM PP q JOIN SP n ON n.s = q.s AND n.t = q.t AND n.depth = q.i + 1 JOIN UND u ON u.src = q.x AND u.dst = n.id)",
+        f"SELECT y AS id, {_NO_DEPTH}, CAST(count(*) AS DOUBLE) AS score FROM (SELECT unnest(p) AS y FROM PP WHERE x = t) GROUP BY y",
+    ),
+    "targeted": (f"{_expand_sql('T1', 'SEEDS')}, {_expand_sql('T2', 'T1')}", "SELECT id, min(depth) AS depth, max(score) AS score FROM (SELECT id, 1 AS depth, score FROM T1 UNION ALL SELECT id, 2, score * 0.7 FROM T2) GROUP BY id"),
+    "hybrid_enhanced": (f"{_pagerank_sql(5)}, {_WORD_SIM}, TR AS (SELECT id, r FROM R5 ORDER BY round(r, 12) DESC, id LIMIT 20), U AS (SELECT id, 2.0 AS score FROM M1 UNION ALL SELECT id, 1.5 + r FROM TR UNION ALL SELECT id, 1.0 + score FROM WS WHERE score > 0)", f"SELECT id, {_NO_DEPTH}, max(score) AS score FROM U GROUP BY id"),
+}
+
+
+def _hits_sql(ctes: str, hits: str, base: str = METHOD_SQL, graph: str = GRAPH_SQL) -> str:
+    return f"WITH RECURSIVE {graph}, {base}{', ' if ctes else ''}{ctes}, HT AS ({hits}), TP AS (SELECT id, depth, round(score, 6) AS score FROM HT ORDER BY round(score, 6) DESC, id LIMIT 20) SELECT n.id, n.name, n.kind, CAST(t.depth AS INTEGER) AS depth, CAST(t.score AS DOUBLE) AS score FROM TP t JOIN N n ON n.id = t.id"
+
+
+_RETRIEVE_SQL = {m: _hits_sql(*x) for m, x in HITS.items()}
+_RETRIEVE_SQL["adaptive"] = _hits_sql("", "SELECT id, depth, score FROM AH", f"{SEEDS_SQL}, KS AS (SELECT id, kind FROM N WHERE id IN (SELECT id FROM SEEDS)), {ADAPTIVE_SQL}")
+_RETRIEVE_SQL["targeted_pagerank"] = _hits_sql(f"N AS (SELECT * FROM N0 WHERE kind = 'Gene'), E AS (SELECT * FROM E0 WHERE src IN (SELECT id FROM N) AND dst IN (SELECT id FROM N)), {_pagerank_sql(10)}", f"SELECT id, {_NO_DEPTH}, r AS score FROM R10", "X AS (SELECT 1)", GENE_SUB)
+
+
 def _method(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         g = load(spark, d).kept
-        return V.retrieve(name, g, seeds(g), 20)
+        return V.retrieve(name, g, seeds(g), 20, QUESTION)
 
     run.__name__ = f"retrieve_{name}"
     return run
 
 
 for _m in V.METHODS:
-    R.add(f"retrieve_{_m}")(_method(_m))
+    R.add(f"retrieve_{_m}", _RETRIEVE_SQL.get(_m))(_method(_m))
 
 
 @R.add("method_catalog")
