@@ -196,3 +196,146 @@ def loose_json(s: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def loose_json_udf(s: pd.Series) -> pd.Series:
     return s.map(loose_json, na_action="ignore")
+
+
+_END = re.compile(r"(?<=[.!?؟])\s+")
+
+
+def _sentences(text: str) -> list[str]:
+    return [s for s in (x.strip() for x in _END.split(text)) if s]
+
+
+def _tokens(text: str) -> int:
+    return int(len(text.split()) * 1.33)
+
+
+def _packed(parts: list[str], most: int) -> list[str]:
+    """Greedy packing of parts; a larger part stands alone."""
+    out, held, n = [], [], 0
+    for p in parts:
+        t = _tokens(p)
+        if held and n + t > most:
+            out.append(" ".join(held))
+            held, n = [], 0
+        held.append(p)
+        n += t
+    return [*out, " ".join(held)] if held else out
+
+
+def smart_chunks(text: str | None, most: int) -> list[str]:
+    """Paragraphs as chunks; one of more than ``most`` estimated tokens is cut at its sentences."""
+    if not text or not text.strip():
+        return []
+    out = []
+    for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
+        if p:
+            out += [p] if _tokens(p) <= most else _packed(_sentences(p), most)
+    return out
+
+
+def window_chunks(text: str | None, most: int, ratio: float) -> list[str]:
+    """Windows of whole sentences of at most ``most`` tokens; each begins with the last sentences of the one before, up to
+    a share of its size. A sentence that is too large is a window of its own; every window takes a new sentence."""
+    if not text or not text.strip():
+        return []
+    parts, out, last, i = _sentences(text), [], [], 0
+    while i < len(parts):
+        held, n = [], 0
+        for s in reversed(last):
+            if n >= int(most * ratio):
+                break
+            held.insert(0, s)
+            n += _tokens(s)
+        if n + _tokens(parts[i]) > most:  # no room beside what overlaps
+            held, n = [], 0
+        fresh = i
+        while i < len(parts) and (i == fresh or n + _tokens(parts[i]) <= most):
+            held.append(parts[i])
+            n += _tokens(parts[i])
+            i += 1
+        out.append(" ".join(held))
+        last = held
+    return out
+
+
+def chunks_udf(strategy: str, most: int, ratio: float = 0.2):
+    """Column function: array of chunks by ``smart`` or ``window``."""
+    if strategy not in ("smart", "window"):
+        raise ValueError(f"strategy {strategy!r} is none of smart, window")
+    cut = (lambda t: smart_chunks(t, most)) if strategy == "smart" else (lambda t: window_chunks(t, most, ratio))
+    return F.pandas_udf(lambda s: s.map(lambda t: cut(None if t is None or t != t else t)), "array<string>")
+
+
+class _Wiki(HTMLParser):
+    """Infobox, categories, links and sections of an encyclopedia page."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.infobox: list[tuple[str, str]] = []
+        self.categories: list[str] = []
+        self.links: list[str] = []
+        self.sections: list[list] = []
+        self.table, self.cell, self.data, self.row, self.heading, self.block = 0, "", [], {}, "", ""
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "table":
+            self.table += "infobox" in (a.get("class") or "") or self.table > 0
+        elif self.table and tag in ("th", "td"):
+            self.cell, self.data = tag, []
+        elif tag in ("h2", "h3", "p", "li") and not self.table:
+            self.block, self.data = tag, []
+        elif tag == "a" and (a.get("href") or "").startswith("/wiki/"):
+            name = a["href"][6:].split("#")[0].replace("_", " ")
+            if name.startswith("Category:"):
+                self.categories.append(name[9:])
+            elif ":" not in name and name and name not in self.links:
+                self.links.append(name)
+
+    def handle_endtag(self, tag):
+        text = " ".join("".join(self.data).split())
+        if tag == "table":
+            self.table = max(0, self.table - 1)
+        elif self.table and tag == self.cell:
+            self.row[tag], self.cell, self.data = text, "", []
+        elif self.table and tag == "tr":
+            if self.row.get("th") and self.row.get("td"):
+                self.infobox.append((self.row["th"], self.row["td"]))
+            self.row = {}
+        elif tag == self.block and not self.table:
+            text = re.sub(r"\[(?:\d+|edit)\]", "", text).strip()
+            if tag in ("h2", "h3"):
+                self.sections.append([text, []])
+            elif len(text) > (20 if tag == "p" else 10):
+                if not self.sections:
+                    self.sections.append(["", []])
+                self.sections[-1][1].append(text if tag == "p" else "• " + text)
+            self.block, self.data = "", []
+
+    def handle_data(self, data):
+        if self.cell or self.block:
+            self.data.append(data)
+
+
+def wiki_parts(html: str | None, most_links: int = 100) -> dict | None:
+    """Infobox pairs, categories, the first distinct links and sections (heading, text) of a page; null of null.
+
+    ``most_links`` is how many links the result names, as the feature asks.
+    """
+    if html is None:
+        return None
+    p = _Wiki()
+    p.feed(html)
+    p.close()
+    return {"infobox": dict(p.infobox), "categories": list(dict.fromkeys(p.categories)), "links": p.links[:most_links], "sections": [{"heading": h, "text": "\n".join(x)} for h, x in p.sections if x]}
+
+
+def wiki_parts_udf():
+    """Column function of ``wiki_parts``."""
+    kind = "struct<infobox:map<string,string>,categories:array<string>,links:array<string>,sections:array<struct<heading:string,text:string>>>"
+    return F.udf(wiki_parts, kind, useArrow=True)
+
+
+def model_udf(score, kind: str = "double"):
+    """Hook for a model: a function from a list of inputs to a list of outputs, applied to Arrow batches of a column."""
+    return F.pandas_udf(lambda s: pd.Series(score(s.tolist())), kind)

@@ -175,3 +175,95 @@ def drug_names(c: Column) -> Column:
 def cache_key(*cols: Column) -> Column:
     """Stable key of a request: hash of its canonical JSON."""
     return F.xxhash64(F.to_json(F.struct(*cols)))
+
+
+#: Shares of a limit that a cut at a paragraph, sentence or blank must keep, and the mark of a cut text.
+KEPT = {"paragraph": 0.8, "sentence": 0.7, "blank": 0.9}
+CUT_MARK = "\n\n[... متن ادامه دارد ...]"
+
+
+def clean_lines(c: Column) -> Column:
+    """Lines without blanks at their ends, at most one empty line in a row, single blanks, no control characters."""
+    out = F.regexp_replace(c, "\r\n?", "\n")
+    out = F.regexp_replace(out, "[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]", "")
+    out = F.regexp_replace(out, "[ \t]+", " ")
+    out = F.regexp_replace(out, " ?\n ?", "\n")
+    return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), "^[ \n]+|[ \n]+\\z", "")
+
+
+def truncate_smart(c: Column, n: int) -> Column:
+    """At most ``n`` characters, cut at the end of a paragraph, a sentence or a word where enough is kept, with a mark."""
+    head = F.substring(c, 1, n)
+    para = F.length(F.regexp_extract(head, "(?s)^(.*)\n\n", 1))
+    sent = F.length(F.regexp_extract(head, "(?s)^(.*[.!?][ \n])", 1))
+    blank = F.length(F.regexp_extract(head, "(?s)^(.*) ", 1))
+    end = F.when(para > KEPT["paragraph"] * n, para).when(sent - 2 > KEPT["sentence"] * n, sent).when(blank > KEPT["blank"] * n, blank).otherwise(F.lit(n))
+    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.substr(c, F.lit(1), end), F.lit(CUT_MARK)))
+
+
+def title_from_url(c: Column) -> Column:
+    """Title of an encyclopedia page by its address, null for other addresses."""
+    part = F.regexp_extract(c, "/wiki/([^?#]+)", 1)
+    return F.when(part != "", F.replace(F.try_url_decode(part), F.lit("_"), F.lit(" ")))
+
+
+def valid_url(c: Column) -> Column:
+    """Whether a string is a web address with a host."""
+    return F.coalesce(c.rlike("(?i)^https?://[^/?#\\s]+[^\\s]*\\z"), F.lit(False))
+
+
+#: Endings of graph files.
+GRAPH_FILES = ("pkl", "sif", "tsv", "csv", "txt", "gz")
+
+
+def allowed_file(c: Column) -> Column:
+    """Whether a file name has the ending of a graph file."""
+    return F.coalesce(F.lower(F.regexp_extract(c, "\\.([^.]*)\\z", 1)).isin(*GRAPH_FILES), F.lit(False))
+
+
+def mostly_not_latin(c: Column) -> Column:
+    """Whether a text of more than three tokens has seven tenths that are more than ASCII letters; shorter ones count."""
+    t = F.split(c, "[ \t]+")
+    share = F.size(F.filter(t, lambda w: ~w.rlike("^[a-zA-Z]+\\z"))) / F.size(t)
+    return (F.size(t) <= 3) | (share >= 0.7)
+
+
+#: Relation of two entities by the first group of words that their sentence holds.
+RELATION_WORDS = (
+    ("REGULATES", ("regulates", "controls", "تنظیم", "کنترل")),
+    ("INTERACTS_WITH", ("interacts", "binds", "تعامل", "اتصال")),
+    ("TREATS", ("treats", "cures", "درمان", "معالجه")),
+    ("CAUSES", ("causes", "leads", "سبب", "موجب")),
+    ("PREVENTS", ("prevents", "inhibits", "جلوگیری", "مهار")),
+    ("ACTIVATES", ("activates", "فعال", "فعالسازی")),
+)
+OTHER_RELATION = "ASSOCIATES_WITH"
+
+
+def sentence_relation(c: Column) -> Column:
+    """Relation that a sentence states, by its words."""
+    q, col = F.lower(c), F.lit(OTHER_RELATION)
+    for name, ws in reversed(RELATION_WORDS):
+        held = F.lit(False)
+        for w in ws:
+            held = held | q.contains(w)
+        col = F.when(held, name).otherwise(col)
+    return col
+
+
+#: Parts of a written comparison and the words of their headings.
+ANSWER_PARTS = ("summary", "analysis", "strengths", "weaknesses", "recommendation")
+
+
+def answer_part(c: Column) -> Column:
+    """Part of a comparison that a paragraph belongs to, by the word its first line names; null for others."""
+    first, col = F.lower(F.substring_index(c, "\n", 1)), F.lit(None).cast("string")
+    for p in reversed(ANSWER_PARTS):
+        col = F.when(first.contains(p), p).otherwise(col)
+    return col
+
+
+def valid_extraction(c: Column) -> Column:
+    """Whether a JSON text is an extraction: lists of entities and of relationships."""
+    e, r = F.get_json_object(c, "$.entities"), F.get_json_object(c, "$.relationships")
+    return F.coalesce(e.startswith("[") & r.startswith("["), F.lit(False))

@@ -121,31 +121,57 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int | None = No
     return total.where("seed <> id").groupBy("id").agg(F.sum("dep").alias("betweenness"))
 
 
-def modularity_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 4, resolution: float = 1.0) -> DataFrame:
-    """(id, community): synchronous local moving by modularity gain, one level.
+def _moved(both: DataFrame, ids: DataFrame, rounds: int, resolution: float) -> DataFrame:
+    """(id, c): local moving over ``both(id, nb, w)``, a graph given both ways with weights and loops.
 
     In round ``i`` only nodes of one half (by hash and round) move, so that neighbours don't swap; each goes to the
     neighbouring community of the largest gain, the least key of equals, if that beats its own.
     """
-    e = undirected(edges)
-    both = cut(e.select(F.col("u").alias("id"), F.col("v").alias("nb")).unionByName(e.select(F.col("v").alias("id"), F.col("u").alias("nb"))))
-    deg = cut(both.groupBy("id").agg(F.count(F.lit(1)).alias("k")))
-    two_m = both.count()
-    state = nodes.select("id").distinct().select("id", F.col("id").alias("c"))
-    if two_m == 0:
-        return state.select("id", F.col("c").alias("community"))
+    deg = cut(both.groupBy("id").agg(F.sum("w").alias("k")), F.sum("k").alias("m"))
+    two_m = measured(deg)["m"]
+    state = cut(ids.select("id").distinct().select("id", F.col("id").alias("c")))
+    if not two_m:
+        return state
     for i in range(rounds):
         mass = state.join(deg, "id").groupBy("c").agg(F.sum("k").alias("mass"))
-        links = both.join(state.select(F.col("id").alias("nb"), "c"), "nb").groupBy("id", "c").agg(F.count(F.lit(1)).alias("w"))
+        links = both.where("id <> nb").join(state.select(F.col("id").alias("nb"), "c"), "nb").groupBy("id", "c").agg(F.sum("w").alias("w"))
         own = state.select("id", F.col("c").alias("mine"))
         scored = links.join(deg, "id").join(mass, "c").join(own, "id")
         gain = F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0)) / two_m
-        scored = scored.withColumn("gain", F.round(gain, 9))
-        best = scored.groupBy("id").agg(F.max("gain").alias("top"), F.max(F.when(F.col("c") == F.col("mine"), F.col("gain"))).alias("stay")).join(scored, "id").where("gain = top")
-        moves = best.groupBy("id").agg(F.min("c").alias("to"), F.max("top").alias("top"), F.max("stay").alias("stay")).where(F.col("top") > F.coalesce("stay", F.lit(0.0)))
+        scored = scored.select("id", "c", "mine", F.round(gain, 9).alias("gain"))
+        best = scored.groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("mine"), F.col("gain"))).alias("stay"))
+        moves = best.select("id", F.col("b.c").alias("to"), (-F.col("b.g")).alias("top"), "stay").where(F.col("top") > F.coalesce("stay", F.lit(0.0)))
         moves = moves.where(F.pmod(F.xxhash64("id", F.lit(i // 2)), F.lit(2)) == i % 2).select("id", "to")
-        state = cut(state.join(moves, "id", "left").select("id", F.coalesce("to", "c").alias("c")))
-    return state.select("id", F.col("c").alias("community"))
+        nxt = cut(state.join(moves, "id", "left").select("id", F.coalesce("to", "c").alias("c")))
+        discard(state)
+        state = nxt
+    return state
+
+
+def _weighted(edges: DataFrame) -> DataFrame:
+    e = undirected(edges).withColumn("w", F.lit(1.0))
+    return cut(e.select(F.col("u").alias("id"), F.col("v").alias("nb"), "w").unionByName(e.select(F.col("v").alias("id"), F.col("u").alias("nb"), "w")))
+
+
+def modularity_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 4, resolution: float = 1.0) -> DataFrame:
+    """(id, community): synchronous local moving by modularity gain, one level."""
+    return _moved(_weighted(edges), nodes, rounds, resolution).select("id", F.col("c").alias("community"))
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 8, resolution: float = 1.0) -> DataFrame:
+    """(id, community): local moving, then the same over communities as nodes, level by level while any of them join."""
+    both, ids = _weighted(edges), nodes.select("id").distinct()
+    found = cut(ids.select("id", F.col("id").alias("community")))
+    for _ in range(levels):
+        state = _moved(both, ids, rounds, resolution)
+        ids = cut(state.select(F.col("c").alias("id")).distinct(), F.count(F.lit(1)).alias("n"))
+        joined = state.where("id <> c").isEmpty()
+        found = cut(found.join(state.select(F.col("id").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
+        if joined:
+            break
+        a, b = state.select("id", F.col("c").alias("x")), state.select(F.col("id").alias("nb"), F.col("c").alias("y"))
+        both = cut(both.join(a, "id").join(b, "nb").groupBy(F.col("x").alias("id"), F.col("y").alias("nb")).agg(F.sum("w").alias("w")))
+    return found
 
 
 def prune(nodes: DataFrame, edges: DataFrame, rounds: int = 3, centrality: float = 0.1, confidence: float = 0.6) -> DataFrame:
@@ -166,3 +192,11 @@ def mean_distance(edges: DataFrame, sources: DataFrame, max_depth: int | None =
     """One row: pairs reached, mean distance and largest distance from the given sources."""
     d = seeded_bfs(edges, sources, max_depth, orientation).where("depth > 0")
     return d.agg(F.count(F.lit(1)).alias("pairs"), F.avg("depth").alias("mean_distance"), F.max("depth").alias("diameter"))
+
+
+def distance_summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row over all pairs of a graph, taken without direction: pairs reached, mean and largest distance, connected."""
+    d = seeded_bfs(edges, nodes, None, "both")
+    n = nodes.select("id").distinct().count()
+    one = d.agg(F.count(F.when(F.col("depth") > 0, 1)).alias("pairs"), F.avg(F.when(F.col("depth") > 0, F.col("depth"))).alias("mean_distance"), F.max("depth").alias("diameter"), F.count(F.lit(1)).alias("all"))
+    return one.select("pairs", "mean_distance", "diameter", (F.col("all") == n * n).alias("connected"))

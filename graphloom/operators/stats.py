@@ -81,3 +81,17 @@ def rollup(df: DataFrame, a: str, b: str) -> DataFrame:
 def ratio(part: Column, whole: Column) -> Column:
     """Share, 0 of nothing."""
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
+def answer_quality(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of ``hits(id, score)``: how many, their mean score, and distinct edges among them for each hit."""
+    from graphloom.operators.expand import induced
+
+    m = induced(edges, hits).select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("m"), F.lit(1).alias("k"))
+    h = hits.agg(F.count(F.lit(1)).alias("n_hits"), F.avg("score").alias("mean_score"), F.lit(1).alias("k"))
+    return h.join(F.broadcast(m), "k").select("n_hits", "mean_score", ratio(F.col("m"), F.col("n_hits")).alias("density"))
+
+
+def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that an edge touches."""
+    return nodes.join(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi")

@@ -258,7 +258,7 @@ def eigenvector20(spark: SparkSession, d: str) -> DataFrame:
     return A.eigenvector(g.nodes, g.edges, 20)
 
 
-BRANDES_SQL = f"""{walk_sql('SEEDS', 'STEP')},
+BRANDES = f"""{walk_sql('SEEDS', 'STEP')},
 D AS (SELECT a.seed, s.src, s.dst, b.depth FROM STEP s JOIN M a ON a.id = s.src JOIN M b ON b.id = s.dst AND b.seed = a.seed WHERE b.depth = a.depth + 1),
 P AS (SELECT seed, id, 0 AS depth, 1.0::DOUBLE AS paths FROM M WHERE depth = 0 UNION ALL SELECT d.seed, d.dst, d.depth, sum(p.paths) FROM P p JOIN D d ON d.seed = p.seed AND d.src = p.id AND d.depth = p.depth + 1 GROUP BY d.seed, d.dst, d.depth),
 B AS (SELECT seed, id, depth, 0.0::DOUBLE AS dep FROM M WHERE depth = (SELECT max(depth) FROM M)
@@ -266,7 +266,7 @@ B AS (SELECT seed, id, depth, 0.0::DOUBLE AS dep FROM M WHERE depth = (SELECT ma
     LEFT JOIN D d ON d.seed = m.seed AND d.src = m.id LEFT JOIN B b ON b.seed = d.seed AND b.id = d.dst LEFT JOIN P pb ON pb.seed = d.seed AND pb.id = d.dst GROUP BY m.seed, m.id, m.depth)"""
 
 
-@R.add("betweenness_seeds", f"WITH RECURSIVE {GRAPH_SQL}, {SEEDS_SQL}, {STEP_SQL}, {BRANDES_SQL} SELECT id, round(sum(dep), 6) AS betweenness FROM B WHERE seed <> id GROUP BY id")
+@R.add("betweenness_seeds", f"WITH RECURSIVE {GRAPH_SQL}, {SEEDS_SQL}, {STEP_SQL}, {BRANDES} SELECT id, round(sum(dep), 6) AS betweenness FROM B WHERE seed <> id GROUP BY id")
 def betweenness_seeds(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d).kept
     return A.betweenness(g.edges, seeds(g, "Compound", 3)).withColumn("betweenness", F.round("betweenness", 6))
