@@ -252,10 +252,19 @@ def label_propagation5(spark: SparkSession, d: str) -> DataFrame:
     return A.label_propagation(g.nodes, g.edges, 5)
 
 
-@R.add("eigenvector20")
+def _eigen_sql(rounds: int, every: int) -> str:
+    out = ["LN AS (SELECT DISTINCT src, dst FROM E)", "V0 AS (SELECT id, 1.0::DOUBLE AS x FROM N)"]
+    for i in range(1, rounds + 1):
+        out.append(f"U{i} AS (SELECT v.id, v.x + coalesce(g.s, 0) AS x FROM V{i - 1} v LEFT JOIN (SELECT LN.dst AS id, sum(p.x) AS s FROM LN JOIN V{i - 1} p ON p.id = LN.src GROUP BY LN.dst) g ON g.id = v.id)")
+        scale = f"/ (SELECT sqrt(sum(x * x)) FROM U{i})" if i % every == 0 or i == rounds else ""
+        out.append(f"V{i} AS (SELECT id, x {scale} AS x FROM U{i})")
+    return ", ".join(out)
+
+
+@R.add("eigenvector20", f"WITH {GRAPH_SQL}, {_eigen_sql(20, 5)} SELECT id, round(x, 8) AS value FROM V20")
 def eigenvector20(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d).kept
-    return A.eigenvector(g.nodes, g.edges, 20)
+    return A.eigenvector(g.nodes, g.edges, 20).select("id", F.round("value", 8).alias("value"))
 
 
 BRANDES = f"""{walk_sql('SEEDS', 'STEP')},
@@ -278,7 +287,15 @@ def modularity_communities(spark: SparkSession, d: str) -> DataFrame:
     return A.modularity_communities(g.nodes, g.edges)
 
 
-@R.add("structure_pruning")
+def _prune_sql(rounds: int) -> str:
+    out = ["K0 AS (SELECT * FROM E)"]
+    for i in range(rounds):
+        out.append(f"D{i} AS (SELECT id, count(*) / ((SELECT count(*) FROM N) - 1.0) AS c FROM (SELECT src AS id FROM K{i} UNION ALL SELECT dst FROM K{i}) GROUP BY id)")
+        out.append(f"K{i + 1} AS (SELECT k.* FROM K{i} k JOIN D{i} a ON a.id = k.src JOIN D{i} b ON b.id = k.dst WHERE (a.c + b.c) / 2 > 0.1 OR k.weight > 0.6)")
+    return ", ".join(out)
+
+
+@R.add("structure_pruning", f"WITH {GRAPH_SQL}, {_prune_sql(3)} SELECT src, dst, metaedge, seq FROM K3")
 def structure_pruning(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d).kept
     return A.prune(g.nodes, g.edges).select("src", "dst", "metaedge", "seq")

@@ -246,7 +246,7 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return T.components(X.induced(g.edges.where(F.col("metaedge").isin("DrD", "CrC")), nodes), nodes)
 
 
-@R.add("components_whole")
+@R.add("components_whole", f"WITH RECURSIVE {GRAPH_SQL}, {STEP_SQL}, Q(id, c) USING KEY (id) AS (SELECT id, id FROM N UNION SELECT u.dst, min(q.c) FROM Q q JOIN UND u ON u.src = q.id JOIN recurring.Q r ON r.id = u.dst WHERE q.c < r.c GROUP BY u.dst) SELECT c AS component, CAST(count(*) AS BIGINT) AS n_nodes FROM Q GROUP BY c")
 def components_whole(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d).kept
     return T.components(g.edges, g.nodes).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))

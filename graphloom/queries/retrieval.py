@@ -228,7 +228,7 @@ for _m in V.METHODS:
     R.add(f"retrieve_{_m}", _RETRIEVE_SQL.get(_m))(_method(_m))
 
 
-@R.add("method_catalog")
+@R.add("method_catalog", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', '{v}')" for k, n, v in [*(("method", m, "") for m in V.METHODS), *(("preset", p, "/".join(map(str, x))) for p, x in V.PRESETS.items()), *(("question", n, " ".join(ms)) for n, _, ms in I.RULES), *(("answer", n, " ".join(ws)) for n, ws in I.ANSWER_TYPES)]) + ") v(kind, name, value)")
 def method_catalog(spark: SparkSession, d: str) -> DataFrame:
     return V.catalog(spark)
 
@@ -248,13 +248,31 @@ def stats_text(spark: SparkSession, d: str) -> DataFrame:
     return G.stats_lines(g.nodes, g.edges)
 
 
-@R.add("graphml_export")
+_XML = "replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+_KEYS = (("name", "node"), ("kind", "node"), ("metaedge", "edge"), ("weight", "edge"))
+
+
+@R.add(
+    "graphml_export",
+    f"""WITH {GRAPH_SQL} SELECT CAST(x.part AS INTEGER) AS part, x.line FROM (SELECT unnest([{{'part': 0, 'line': '<?xml version="1.0" encoding="UTF-8"?>'}}, {{'part': 1, 'line': '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'}}, {{'part': 3, 'line': '<graph id="G" edgedefault="directed">'}}, {{'part': 6, 'line': '</graph>'}}, {{'part': 7, 'line': '</graphml>'}}]) AS x)
+    UNION ALL SELECT 2, x FROM (SELECT unnest([{", ".join(f"'<key id={chr(34)}{k}{chr(34)} for={chr(34)}{w}{chr(34)} attr.name={chr(34)}{k}{chr(34)} attr.type={chr(34)}{'double' if k == 'weight' else 'string'}{chr(34)}/>'" for k, w in _KEYS)}]) AS x)
+    UNION ALL SELECT 4, '<node id="' || {_XML.format(c='id')} || '"><data key="name">' || {_XML.format(c='name')} || '</data><data key="kind">' || {_XML.format(c='kind')} || '</data></node>' FROM N
+    UNION ALL SELECT 5, '<edge source="' || {_XML.format(c='src')} || '" target="' || {_XML.format(c='dst')} || '"><data key="metaedge">' || {_XML.format(c='metaedge')} || '</data><data key="weight">' || CAST(weight AS VARCHAR) || '</data></edge>' FROM E""",
+)
 def graphml_export(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d)
     return G.graphml_lines(g.nodes, g.edges)
 
 
-@R.add("graph_view_json")
+@R.add("gexf_export", f"""WITH {GRAPH_SQL} SELECT 3 AS part, '<node id="' || {_XML.format(c='id')} || '" label="' || {_XML.format(c='coalesce(name, id)')} || '"><attvalues><attvalue for="0" value="' || {_XML.format(c='kind')} || '"/></attvalues></node>' AS line FROM N
+    UNION ALL SELECT 5, '<edge id="' || seq || '" source="' || {_XML.format(c='src')} || '" target="' || {_XML.format(c='dst')} || '" label="' || {_XML.format(c='metaedge')} || '" weight="' || CAST(weight AS VARCHAR) || '"/>' FROM E""")
+def gexf_export(spark: SparkSession, d: str) -> DataFrame:
+    """The node and edge lines of the file."""
+    g = load(spark, d)
+    return G.gexf_lines(g.nodes, g.edges).where("part in (3, 5)")
+
+
+@R.add("graph_view_json", f"""WITH {GRAPH_SQL} SELECT 'node' AS part, id, '{{"id":' || to_json(id) || CASE WHEN name IS NULL THEN '' ELSE ',"label":' || to_json(name) END || ',"type":' || to_json(kind) || '}}' AS json FROM N UNION ALL SELECT 'edge', CAST(seq AS VARCHAR), '{{"source":' || to_json(src) || ',"target":' || to_json(dst) || CASE WHEN metaedge IS NULL THEN '' ELSE ',"label":' || to_json(metaedge) END || '}}' FROM E""")
 def graph_view_json(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d)
     return G.view_json(g.nodes, g.edges)

@@ -110,13 +110,21 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "c.start", F.md5("c.chunk").alias("chunk"))
 
 
-@R.add("chunk_sentences")
+def _pack_sql(table_: str, key: str, pattern: str, most: int) -> str:
+    """Greedy packing of the parts of a text, one part after the other."""
+    return f"""WITH RECURSIVE S AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) AS i, s, CAST(floor(len(list_filter(string_split_regex(s, '[ \\t\\n\\r]+'), lambda w: w <> '')) * 1.33) AS INTEGER) AS t
+      FROM (SELECT {key}, unnest(range(1, len(p) + 1)) AS i, trim(unnest(p), ' ') AS s FROM (SELECT {key}, string_split_regex(text, '{pattern}') AS p FROM {table_} WHERE text IS NOT NULL)) WHERE s <> ''),
+    R AS (SELECT {key}, i, 0 AS c, t AS n FROM S WHERE i = 1 UNION ALL SELECT s.{key}, s.i, CASE WHEN r.n + s.t <= {most} THEN r.c ELSE r.c + 1 END, CASE WHEN r.n + s.t <= {most} THEN r.n + s.t ELSE s.t END FROM R r JOIN S s ON s.{key} = r.{key} AND s.i = r.i + 1)
+    SELECT R.{key}, CAST(c AS INTEGER) AS chunk_no, string_agg(s, ' ' ORDER BY R.i) AS text, CAST(sum(t) AS INTEGER) AS tokens FROM R JOIN S ON S.{key} = R.{key} AND S.i = R.i GROUP BY R.{key}, c"""
+
+
+@R.add("chunk_sentences", _pack_sql("documents", "doc_id", "[.!?؟][ \\t\\n\\r]+", 60))
 def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
     rows = _docs(spark, d).where("text is not null").select("doc_id", F.posexplode(X.pack(X.sentences(F.col("text")), 60)).alias("chunk_no", "c"))
     return rows.select("doc_id", "chunk_no", "c.text", "c.tokens")
 
 
-@R.add("chunk_paragraphs")
+@R.add("chunk_paragraphs", _pack_sql("(SELECT DISTINCT page_id, text FROM wiki_pages)", "page_id", "\\n[ \\t\\r]*\\n", 200))
 def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "wiki_pages").where("text is not null").select("page_id", F.posexplode(X.pack(X.paragraphs(F.col("text")), 200)).alias("chunk_no", "c"))
     return rows.select("page_id", "chunk_no", "c.text", "c.tokens")

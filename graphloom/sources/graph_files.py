@@ -49,11 +49,32 @@ def _escaped(c: str):
     return out
 
 
+def _fixed(spark: SparkSession, lines: list[tuple[int, str]]) -> DataFrame:
+    return spark.createDataFrame(lines, "part int, line string")
+
+
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(line) of the node and edge elements of a GraphML file."""
-    n = nodes.select(F.concat(F.lit('<node id="'), _escaped("id"), F.lit('"><data key="name">'), _escaped("name"), F.lit('</data><data key="kind">'), _escaped("kind"), F.lit("</data></node>")).alias("line"))
-    e = edges.select(F.concat(F.lit('<edge source="'), _escaped("src"), F.lit('" target="'), _escaped("dst"), F.lit('"><data key="metaedge">'), _escaped("metaedge"), F.lit("</data></edge>")).alias("line"))
-    return n.unionByName(e)
+    """(part, line) of a GraphML file; in order of ``part`` the lines are the file."""
+    keys = [("name", "node", "string"), ("kind", "node", "string"), ("metaedge", "edge", "string"), ("weight", "edge", "double")]
+    frame = [(0, '<?xml version="1.0" encoding="UTF-8"?>'), (1, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'), (3, '<graph id="G" edgedefault="directed">'), (6, "</graph>"), (7, "</graphml>")]
+    frame += [(2, f'<key id="{k}" for="{w}" attr.name="{k}" attr.type="{t}"/>') for k, w, t in keys]
+    n = nodes.select(F.lit(4).alias("part"), F.concat(F.lit('<node id="'), _escaped("id"), F.lit('"><data key="name">'), _escaped("name"), F.lit('</data><data key="kind">'), _escaped("kind"), F.lit("</data></node>")).alias("line"))
+    e = edges.select(F.lit(5).alias("part"), F.concat(F.lit('<edge source="'), _escaped("src"), F.lit('" target="'), _escaped("dst"), F.lit('"><data key="metaedge">'), _escaped("metaedge"), F.lit('</data><data key="weight">'), F.col("weight").cast("string"), F.lit("</data></edge>")).alias("line"))
+    return _fixed(nodes.sparkSession, frame).unionByName(n).unionByName(e)
+
+
+def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, line) of a GEXF file; in order of ``part`` the lines are the file."""
+    frame = [(0, '<?xml version="1.0" encoding="UTF-8"?>'), (1, '<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed"><attributes class="node"><attribute id="0" title="kind" type="string"/></attributes>'), (2, "<nodes>"), (4, "</nodes><edges>"), (6, "</edges></graph></gexf>")]
+    named = nodes.withColumn("label", F.coalesce("name", "id"))
+    n = named.select(F.lit(3).alias("part"), F.concat(F.lit('<node id="'), _escaped("id"), F.lit('" label="'), _escaped("label"), F.lit('"><attvalues><attvalue for="0" value="'), _escaped("kind"), F.lit('"/></attvalues></node>')).alias("line"))
+    e = edges.select(F.lit(5).alias("part"), F.concat(F.lit('<edge id="'), F.col("seq").cast("string"), F.lit('" source="'), _escaped("src"), F.lit('" target="'), _escaped("dst"), F.lit('" label="'), _escaped("metaedge"), F.lit('" weight="'), F.col("weight").cast("string"), F.lit('"/>')).alias("line"))
+    return _fixed(nodes.sparkSession, frame).unionByName(n).unionByName(e)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Write (part, line) rows as text files whose names and lines are in order of ``part``."""
+    lines.repartitionByRange("part").sortWithinPartitions("part").select("line").write.mode("overwrite").text(path)
 
 
 def view_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
