@@ -78,6 +78,41 @@ def distinct_forms(nodes: DataFrame) -> DataFrame:
     return forms.groupBy("form", "kind").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
 
 
+#: Names that are related but distinct, never merged.
+BLOCKED = (("cancer", "tumor"), ("neoplasm", "tumor"), ("mapk", "mapk1"), ("mapk", "mapk3"), ("her2", "erbb2"))
+
+
+def unblocked(pairs: DataFrame, blocked: tuple[tuple[str, str], ...] = BLOCKED) -> DataFrame:
+    """Pairs (a, b) that are not blocked in either order."""
+    both = sorted({p for a, b in blocked for p in ((a, b), (b, a))})
+    held = F.lit(False)
+    for a, b in both:
+        held = held | ((F.col("a") == a) & (F.col("b") == b))
+    return pairs.where(~held)
+
+
+def representatives(members: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(id, to) of ``members(id, group, seq)``: each group is represented by its best connected member, the first of equals."""
+    rows = members.join(degrees.select("id", "degree"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    best = rows.groupBy("group").agg(F.min_by("id", F.struct(-F.col("degree"), "seq")).alias("to"))
+    return rows.join(best, "group").select("id", "to")
+
+
+def resolve_graph(nodes: DataFrame, edges: DataFrame, degrees: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, mapping): similar names of one kind and name space merged, edges led to the representatives.
+
+    The name space is the part of a key before ``::``; nodes without a name stay as they are.
+    """
+    space = F.concat_ws("\u0001", "kind", F.when(F.col("id").contains("::"), F.substring_index("id", "::", 1)))
+    named = cut(nodes.where("name is not null").select("id", "name", "seq", space.alias("kind")).withColumn("form", entity_form_udf("name")).where("form <> ''"))
+    forms = cut(named.groupBy("form", "kind").agg(F.min("seq").alias("seq")))
+    leaders = star_groups(forms, unblocked(candidates(forms, threshold)))
+    members = named.join(leaders, ["form", "kind"]).select("id", "seq", F.concat_ws("\u0001", "kind", "leader").alias("group"))
+    mapping = cut(representatives(members, degrees))
+    kept = nodes.join(mapping.where("id <> to").select("id"), "id", "left_anti")
+    return kept, redirect(edges, mapping), mapping
+
+
 def star_groups(forms: DataFrame, pairs: DataFrame) -> DataFrame:
     """(form, kind, leader): in order of entry, each form joins the earliest leader it is similar to, or else leads.
 

@@ -128,3 +128,32 @@ def citations(pieces: DataFrame, sources: DataFrame, k: int = 3, least: float =
     parts = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(best, "piece bigint, source bigint, score double")
     rank = F.row_number().over(W.partitionBy("piece").orderBy(F.desc("score"), "source"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def document_search(docs: DataFrame, key: str, filters: dict | None = None, score: DataFrame | None = None, order: list | None = None, offset: int = 0, limit: int | None = None, fields: list[str] | None = None) -> DataFrame:
+    """Rows of a document table: equality filters (lists as alternatives), scores joined, sorted, a page, some fields.
+
+    A field that the table lacks holds for no row. Without an order, rows come by score and key.
+    """
+    rows = docs
+    for name, value in (filters or {}).items():
+        if name not in docs.columns:
+            return docs.where("false").select(*(fields or docs.columns))
+        rows = rows.where(F.col(name).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(name) == value)
+    if score is not None:
+        rows = rows.join(score.select(key, "score"), key)
+    by = order or ([F.desc("score"), key] if score is not None else [key])
+    rows = rows.orderBy(*by).offset(offset)
+    return (rows if limit is None else rows.limit(limit)).select(*(fields or rows.columns))
+
+
+def highlighted(c, words: list[str]):
+    """Text with the given words, whole and in any case, between marks."""
+    return F.regexp_replace(c, f"(?i)(?<![A-Za-z0-9_])({'|'.join(sorted(words))})(?![A-Za-z0-9_])", "<em>$1</em>") if words else c
+
+
+def rerank_rows(rows: DataFrame, key: str, weights: dict[str, float], text: float = 0.3, vector: float = 0.7) -> DataFrame:
+    """(key, score) of ``rows(key, shared, near, features)``: shared words, near vectors and weighted rank features."""
+    from graphloom.operators.scores import feature_score
+
+    return rows.select(key, (text * F.coalesce("shared", F.lit(0.0)) + vector * F.coalesce("near", F.lit(0.0)) + feature_score(F.col("features"), weights)).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("records", "graph", "analysis", "texts", "retrieval", "fusion", "details", "insight")
+AREAS = ("records", "graph", "analysis", "texts", "retrieval", "fusion", "details", "insight", "building")
 
 
 def registries() -> list:

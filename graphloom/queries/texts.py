@@ -224,7 +224,7 @@ def entity_candidates(spark: SparkSession, d: str) -> DataFrame:
 @R.add("resolve_entities")
 def resolve_entities(spark: SparkSession, d: str) -> DataFrame:
     forms = Z.distinct_forms(latest_nodes(table(spark, d, "graph_nodes")))
-    return Z.star_groups(forms, Z.candidates(forms))
+    return Z.star_groups(forms, Z.unblocked(Z.candidates(forms)))
 
 
 REDIRECT_SQL = f"WITH {GRAPH_SQL}, K AS (SELECT kind, name, min(id) AS keep FROM N WHERE name IS NOT NULL GROUP BY kind, name), MAP AS (SELECT n.id, k.keep FROM N n JOIN K k ON k.kind = n.kind AND k.name = n.name), X AS (SELECT coalesce(a.keep, e.src) AS src, e.metaedge, coalesce(b.keep, e.dst) AS dst, e.weight, e.seq, e.src = e.dst AS lp FROM E e LEFT JOIN MAP a ON a.id = e.src LEFT JOIN MAP b ON b.id = e.dst) SELECT src, metaedge, dst, max(weight) AS weight, min(seq) AS seq FROM X WHERE src <> dst OR lp GROUP BY src, metaedge, dst"

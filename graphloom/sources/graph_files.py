@@ -20,12 +20,13 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame]:
     """(nodes, edges) by the ending of a path: an edge list or a folder of Parquet tables."""
-    if path.endswith((".sif", ".sif.gz", ".tsv", ".tsv.gz")):
-        edges = read_sif(spark, path)
+    name = path.lower().removesuffix(".gz")
+    if name.endswith((".sif", ".tsv", ".txt", ".csv")):
+        edges = read_sif(spark, path) if not name.endswith(".csv") else spark.read.schema("src string, metaedge string, dst string").csv(path).where("src is not null and metaedge is not null and dst is not null")
         nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("kind", F.lit("entity"))
         return nodes, edges
-    if path.endswith((".csv", ".pkl", ".txt")):
-        raise ValueError(f"files like {path!r} hold no graph this reader knows")
+    if name.endswith(".pkl"):
+        raise ValueError("pickled graphs run code when they are read; convert them to edge lists first")
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
