@@ -7,7 +7,7 @@
 3. Whole passes over a source fill its budget first. For the rest each length gives the same fraction of its documents
    (rounded down), which keeps the length distribution; a greedy step takes what is left down to a few documents'
    worth, and a bounded-knapsack dynamic programme over the remaining counts closes the gap, exactly where some
-   subset does. The programme's target is at most ``WINDOW`` tokens, whatever the corpus holds.
+   subset does. The programme's target is a few times the longest document, whatever the corpus holds.
 4. The plan says how many documents of each length to take; those with the smallest seeded hashes are taken. Selection
    first cuts a (source, length) group into hash buckets, so that no task holds the whole of a hot group.
 
@@ -19,6 +19,7 @@ broken by id; empty tables give an empty mixture.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -27,38 +28,40 @@ from graphloom.session import cut
 
 SEED = 20_240_517
 BUCKETS = 1024
-WINDOW = 1 << 16
 PLAN = "source string, n_tokens bigint, passes bigint, take bigint, n_docs bigint"
 
 
 def knapsack(lengths: list[int], counts: list[int], target: int) -> list[int]:
-    """How many of each length to take so that the sum is as near below ``target`` as any subset's."""
-    reach, steps = 1, []
-    mask = (1 << (target + 1)) - 1
+    """How many of each length to take so that the sum is as near below ``target`` as any subset's.
+
+    ``first`` keeps for each sum the step that made it possible, so memory is linear in the target.
+    """
+    first = np.full(target + 1, -1, np.int32)
+    first[0] = 0
+    steps: list[tuple[int, int]] = [(0, 0)]
     for k, (size, n) in enumerate(zip(lengths, counts)):
-        if size > target or reach >> target & 1:
+        if size > target or first[target] >= 0:
             continue
         lot = 1
-        while n > 0:
+        while n > 0 and first[target] < 0:
             lot = min(lot, n)
             n -= lot
-            if lot * size <= target:
-                grown = (reach | reach << lot * size) & mask
-                if grown != reach:
-                    steps.append((k, lot, reach))
-                    reach = grown
+            w = lot * size
+            if w <= target:
+                new = (first[:-w] >= 0) & (first[w:] < 0)
+                if new.any():
+                    first[w:][new] = len(steps)
+                    steps.append((k, lot))
             lot *= 2
-            if reach >> target & 1:
-                break
-    at, take = reach.bit_length() - 1, [0] * len(lengths)
-    for k, lot, before in reversed(steps):
-        if not before >> at & 1:
-            take[k] += lot
-            at -= lot * lengths[k]
+    at, take = int(np.flatnonzero(first >= 0)[-1]), [0] * len(lengths)
+    while at:
+        k, lot = steps[first[at]]
+        take[k] += lot
+        at -= lot * lengths[k]
     return take
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW) -> tuple[int, list[int]]:
+def fit(lengths: list[int], counts: list[int], budget: int) -> tuple[int, list[int]]:
     """(whole passes, documents of each length on top) whose tokens come as near below ``budget`` as can be."""
     held = sum(s * n for s, n in zip(lengths, counts))
     if held <= 0 or budget <= 0:
@@ -66,19 +69,14 @@ def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW
     passes, rest = divmod(budget, held)
     take = [n * rest // held for n in counts]
     rest -= sum(s * t for s, t in zip(lengths, take))
-    room = min(window, 4 * max(lengths))
+    room = 2 * max(lengths)
     for k in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        more = min(counts[k] - take[k], max(0, rest - room // 2) // lengths[k])
+        more = min(counts[k] - take[k], max(0, rest - room) // lengths[k])
         take[k] += more
         rest -= more * lengths[k]
     left = [n - t for n, t in zip(counts, take)]
-    for k in sorted(range(len(lengths)), key=lambda i: -lengths[i]) if rest > window else []:
-        more = min(left[k], rest // lengths[k])
-        take[k] += more
-        left[k] -= more
-        rest -= more * lengths[k]
     order = sorted(range(len(lengths)), key=lambda i: lengths[i])
-    for k, more in zip(order, knapsack([lengths[i] for i in order], [left[i] for i in order], min(rest, window))):
+    for k, more in zip(order, knapsack([lengths[i] for i in order], [left[i] for i in order], rest)):
         take[k] += more
     return passes, take
 

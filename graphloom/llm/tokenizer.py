@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.session import spread
@@ -182,6 +183,8 @@ def _split():
 def load_encoder(name: str = "byte_bpe_50k.json", folder: str = TOKENIZER_DIR) -> BytePairEncoder:
     """The encoder of a vocabulary file: ``.json`` with merges or ``.tiktoken`` with ranks."""
     path = os.path.join(folder, name)
+    if not os.path.exists(path):  # an executor without the folder has the file that was sent to it
+        path = SparkFiles.get(name)
     if name.endswith(".tiktoken"):
         with open(path, "rb") as f:
             ranked = sorted((int(r), base64.b64decode(t)) for t, r in (line.split() for line in f if line.strip()))
@@ -200,6 +203,17 @@ def load_encoder(name: str = "byte_bpe_50k.json", folder: str = TOKENIZER_DIR) -
     return BytePairEncoder(tokens, halves)
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def _send(df: DataFrame, name: str, folder: str) -> None:
+    """Send a vocabulary file to the executors once a context."""
+    sc = df.sparkSession.sparkContext
+    if (sc.applicationId, name) not in _SENT and os.path.exists(os.path.join(folder, name)):
+        _SENT.add((sc.applicationId, name))
+        sc.addFile(os.path.realpath(os.path.join(folder, name)))
+
+
 def _encode_batches(batches: Iterator[pa.RecordBatch], name: str, folder: str, lengths_only: bool) -> Iterator[pa.RecordBatch]:
     enc = load_encoder(name, folder)
     for b in batches:
@@ -217,6 +231,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], name: str, folder: str, l
 
 def encode_corpus(df: DataFrame, key_cols: list[str], text_col: str = "text", name: str = "byte_bpe_50k.json", folder: str = TOKENIZER_DIR) -> DataFrame:
     """``key_cols`` and ids (array<int>) of every row."""
+    _send(df, name, folder)
     rows = df.select(*key_cols, F.col(text_col).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return spread(rows).mapInArrow(lambda it: _encode_batches(it, name, folder, False), f"{kept}, ids array<int>")
@@ -224,6 +239,7 @@ def encode_corpus(df: DataFrame, key_cols: list[str], text_col: str = "text", na
 
 def token_lengths(df: DataFrame, key_cols: list[str], text_col: str = "text", name: str = "byte_bpe_50k.json", folder: str = TOKENIZER_DIR) -> DataFrame:
     """``key_cols`` and n_tokens (bigint) of every row."""
+    _send(df, name, folder)
     rows = df.select(*key_cols, F.col(text_col).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return spread(rows).mapInArrow(lambda it: _encode_batches(it, name, folder, True), f"{kept}, n_tokens bigint")
