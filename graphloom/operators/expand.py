@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.model import BACKWARD_FACTOR, PropertyGraph, metaedge_score, oriented
+from graphloom.session import cut
 
 
 def expand(g: PropertyGraph, seeds: DataFrame, metaedges: list[str] | None = None, orientation: str = "out") -> DataFrame:
@@ -54,6 +55,21 @@ def capped(rows: DataFrame, keys: list[str], order: list, cap: int) -> DataFrame
     return rows.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= cap).drop("__rn")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``place``, their number within the key by order, without a task that holds a hot key.
+
+    Rows are range partitioned below the key, numbered within each stretch, and moved on by what the stretches before
+    hold of the key; there are at most (keys + partitions) such counts.
+    """
+    part = rows.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("__part", F.spark_partition_id())
+    part = cut(part)
+    counts = part.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy(*keys, "__part").orderBy(*order))
+    both = part.withColumn("__rn", place).join(counts.withColumn("__before", before).drop("__n"), [*keys, "__part"])
+    return both.withColumn("place", (F.col("__rn") + F.col("__before")).cast("int")).drop("__part", "__rn", "__before")
+
+
 def chain(g: PropertyGraph, start_kind: str, steps: list[tuple[str, str, int | None]]) -> DataFrame:
     """Paths n0..nk that begin at nodes of a kind and follow (metaedge, orientation, cap per reached node) steps.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions.python import entity_form_udf, similar_pairs
 from graphloom.session import cut, shuffle_width
@@ -13,10 +13,29 @@ from graphloom.session import cut, shuffle_width
 BLOCK = 1024
 
 
-def deletions(form: Column) -> Column:
-    """A form and what is left of it without any one character: forms one edit apart share one of these."""
-    n = F.length(form)
-    return F.concat(F.array(form), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.substr(form, F.lit(1), i), F.substr(form, i + 2))))
+def close_names(asked: DataFrame, names: DataFrame, least: float = 0.8) -> DataFrame:
+    """(asked, name, similarity): names(x) within a share of edits of ``asked(x)``, other than itself; none is lost.
+
+    One edit changes at most two pairs of neighbouring letters. Of the G distinct pairs of an asked name all but
+    2 d stand in a name d edits away, so the two share one of its 2 d + 1 rarest pairs, and meet there; the longest
+    name in reach gives the largest d. Where a name has no more pairs than that, lengths decide who is met.
+    """
+    pairs_of = lambda c: F.array_distinct(F.transform(F.when(F.length(c) > 1, F.sequence(F.lit(1), F.length(c) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, 2)))
+    n = cut(names.select("x", F.length("x").alias("n"), pairs_of(F.col("x")).alias("g")))
+    index = n.select(F.col("x").alias("name"), "n", F.explode("g").alias("pair"))
+    common = index.groupBy("pair").agg(F.count(F.lit(1)).alias("df"))
+    share = 1 - least
+    longest = F.floor(F.length("x") / least + 1e-9)
+    q = asked.select("x", F.length("x").alias("qn"), pairs_of(F.col("x")).alias("g"), F.floor(share * longest + 1e-9).cast("int").alias("d"))
+    reach = F.col("n").between(F.ceil(least * F.col("qn") - 1e-9), F.floor(F.col("qn") / least + 1e-9))
+    ranked = q.where(F.size("g") > 2 * F.col("d")).select("x", "qn", "d", F.explode("g").alias("pair")).join(common, "pair", "left")
+    own = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pair")))
+    rare = ranked.groupBy("x", "qn", "d").agg(own.alias("s")).select("x", "qn", F.explode(F.slice("s", 1, 2 * F.col("d") + 1)).alias("s")).select("x", "qn", F.col("s.pair").alias("pair"))
+    met = rare.join(index, "pair").where(reach).select("x", "name").distinct()
+    short = q.where(F.size("g") <= 2 * F.col("d")).select("x", "qn", F.explode(F.sequence(F.ceil(least * F.col("qn") - 1e-9).cast("int"), F.floor(F.col("qn") / least + 1e-9).cast("int"))).alias("n"))
+    both = met.unionByName(short.join(n.select(F.col("x").alias("name"), "n"), "n").select("x", "name")).where("x <> name")
+    edits, most = F.levenshtein("x", "name"), F.greatest(F.length("x"), F.length("name"))
+    return both.where(edits <= share * most + 1e-9).select(F.col("x").alias("asked"), "name", (1 - edits / most).alias("similarity"))
 
 
 def candidates(entities: DataFrame, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
@@ -52,6 +71,13 @@ def candidates(entities: DataFrame, threshold: float = 0.8, block: int = BLOCK)
     return met.repartition(parts, "kind", "i", "j").groupBy("kind", "i", "j").applyInPandas(meet, f"kind string, a string, b string, sa {kind}, sb {kind}, similarity double")
 
 
+def links(pairs: DataFrame) -> DataFrame:
+    """(kind, form, n_links, nearest, similarity) of ``pairs(kind, a, b, similarity)``: one row a form with a link."""
+    both = pairs.select("kind", F.col("a").alias("form"), F.col("b").alias("other"), "similarity").unionByName(pairs.select("kind", F.col("b").alias("form"), F.col("a").alias("other"), "similarity"))
+    m = both.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("n_links"), F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("m"))
+    return m.select("kind", "form", "n_links", F.col("m.other").alias("nearest"), (-F.col("m.s")).alias("similarity"))
+
+
 def alike(nodes: DataFrame, asked: DataFrame, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(seed, id, similarity): nodes of a seed's kind whose names are similar to its name; a stated set against all, in blocks."""
     named = cut(nodes.where("name is not null").withColumn("form", entity_form_udf("name")).where("form <> ''").select("id", "kind", "form"))

@@ -42,7 +42,9 @@ def process(g: PropertyGraph, question: str, method: str = "intelligent", k: int
     seeds = cut(bound(g, question).select("id").distinct())
     hits = cut(V.retrieve(method, g, seeds, k, question))
     among = induced(g.edges, hits.select("id").unionByName(seeds))
-    text = render(enrich(among, g.nodes, g.schema).select("src", "metaedge", "sentence"), "src", 5, style)
+    said = enrich(among, g.nodes, g.schema)
+    ends = said.select("src", "metaedge", "sentence").unionByName(said.select(F.col("dst").alias("src"), "metaedge", "sentence")).distinct()
+    text = render(ends, "src", 5, style)
     return hits.join(text.withColumnRenamed("src", "id"), "id", "left")
 
 

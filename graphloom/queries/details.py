@@ -99,23 +99,22 @@ def neighbor_strength(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("src").alias("id"), "kind").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("weight") + 1e-10, 6).alias("strength"))
 
 
-@R.add("gene_groups", f"WITH {GRAPH_SQL} SELECT p.id AS pathway, CAST(count(DISTINCT e.src) AS BIGINT) AS n_genes, string_agg(DISTINCT e.src, ' ' ORDER BY e.src) AS genes FROM E e JOIN N p ON p.id = e.dst WHERE e.metaedge = 'GpPW' AND p.kind = 'Pathway' GROUP BY p.id HAVING count(DISTINCT e.src) >= 2")
+@R.add("gene_groups", f"WITH {GRAPH_SQL}, P AS (SELECT DISTINCT p.id AS pathway, e.src AS gene FROM E e JOIN N p ON p.id = e.dst WHERE e.metaedge = 'GpPW' AND p.kind = 'Pathway'), C AS (SELECT pathway, count(*) AS n FROM P GROUP BY pathway HAVING count(*) >= 2) SELECT P.pathway, P.gene, CAST(C.n AS BIGINT) AS n_genes FROM P JOIN C ON C.pathway = P.pathway")
 def gene_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Pathways that at least two genes take part in, with those genes."""
+    """Pathways that at least two genes take part in, a row for each of those genes."""
     g = load(spark, d)
-    e = g.edges.where("metaedge = 'GpPW'").select("src", F.col("dst").alias("id")).distinct().join(g.nodes.where("kind = 'Pathway'").select("id"), "id", "left_semi")
-    return e.groupBy(F.col("id").alias("pathway")).agg(F.count(F.lit(1)).alias("n_genes"), F.array_join(F.array_sort(F.collect_list("src")), " ").alias("genes")).where("n_genes >= 2")
+    e = T.cut(g.edges.where("metaedge = 'GpPW'").select(F.col("src").alias("gene"), F.col("dst").alias("id")).distinct().join(g.nodes.where("kind = 'Pathway'").select("id"), "id", "left_semi"))
+    n = e.groupBy("id").agg(F.count(F.lit(1)).alias("n_genes")).where("n_genes >= 2")
+    return e.join(n, "id").select(F.col("id").alias("pathway"), "gene", "n_genes")
 
 
-@R.add("fuzzy_names", f"WITH {GRAPH_SQL}, A AS (SELECT id, {NORMAL.format(c='name')} AS x FROM N WHERE name IS NOT NULL AND kind = 'Pathway'), P AS (SELECT DISTINCT a.x AS a, b.x AS b FROM A a JOIN A b ON a.x < b.x WHERE a.x <> '' AND levenshtein(a.x, b.x) <= 1) SELECT a, b, round(1 - levenshtein(a, b) * 1.0 / greatest(length(a), length(b)), 6) AS similarity FROM P")
+@R.add("fuzzy_names", f"WITH {GRAPH_SQL}, A AS (SELECT DISTINCT {NORMAL.format(c='name')} AS x FROM N WHERE name IS NOT NULL), Q AS (SELECT DISTINCT {NORMAL.format(c='name')} AS x FROM N WHERE name IS NOT NULL AND seq % 50 = 0) SELECT q.x AS asked, a.x AS name, round(1 - levenshtein(q.x, a.x) * 1.0 / greatest(length(q.x), length(a.x)), 6) AS similarity FROM Q q JOIN A a ON a.x <> q.x WHERE q.x <> '' AND a.x <> '' AND levenshtein(q.x, a.x) <= 0.2 * greatest(length(q.x), length(a.x)) + 1e-9")
 def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names of pathways one edit apart, met by their deletion keys."""
-    from graphloom.operators.resolve import deletions
+    """Names of all kinds close to every fiftieth name, with a similarity of 0.8 or more."""
+    from graphloom.operators.resolve import close_names
 
-    forms = load(spark, d).nodes.where("name is not null and kind = 'Pathway'").select(X.normal(F.col("name")).alias("x")).where("x <> ''").distinct()
-    keyed = forms.select("x", F.explode(F.array_distinct(deletions(F.col("x")))).alias("key"))
-    pairs = keyed.select(F.col("x").alias("a"), "key").join(keyed.select(F.col("x").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct().where(F.levenshtein("a", "b") <= 1)
-    return pairs.select("a", "b", F.round(X.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    forms = load(spark, d).nodes.where("name is not null").select(X.normal(F.col("name")).alias("x"), (F.col("seq") % 50 == 0).alias("q")).where("x <> ''")
+    return close_names(forms.where("q").select("x").distinct(), forms.select("x").distinct()).select("asked", "name", F.round("similarity", 6).alias("similarity"))
 
 
 @R.add("answer_template", f"WITH {GRAPH_SQL}, T AS (SELECT e.dst AS id, e.src, row_number() OVER (PARTITION BY e.dst ORDER BY coalesce(n.name, n.id), n.id) AS rn, coalesce(n.name, n.id) AS name FROM E e JOIN N n ON n.id = e.src WHERE e.metaedge = 'CtD') SELECT d.id, coalesce(d.name, d.id) || ' is treated by ' || string_agg(T.name, ', ' ORDER BY T.rn) || '.' AS answer FROM N d JOIN T ON T.id = d.id WHERE T.rn <= 3 GROUP BY d.id, d.name")

@@ -110,11 +110,13 @@ def chain_compound(spark: SparkSession, d: str) -> DataFrame:
     return X.chain(load(spark, d), "Disease", [("CtD", "in", None), ("CuG", "out", 3), ("GpBP", "out", 2)])
 
 
-@R.add("gene_lists", f"WITH {GRAPH_SQL} SELECT e.src AS id, e.metaedge, CAST(count(*) AS BIGINT) AS n, string_agg(e.dst, ' ' ORDER BY e.dst) AS ends FROM E e JOIN N g ON g.id = e.src WHERE g.kind = 'Gene' GROUP BY e.src, e.metaedge")
+@R.add("gene_lists", f"WITH {GRAPH_SQL} SELECT e.src AS id, e.metaedge, e.dst, CAST(row_number() OVER (PARTITION BY e.src, e.metaedge ORDER BY e.dst) AS INTEGER) AS place, CAST(count(*) OVER (PARTITION BY e.src, e.metaedge) AS BIGINT) AS n FROM E e JOIN N g ON g.id = e.src WHERE g.kind = 'Gene'")
 def gene_lists(spark: SparkSession, d: str) -> DataFrame:
+    """What each gene is joined with, by metaedge, as numbered rows: no list of a hot gene is held in one row."""
     g = load(spark, d)
-    e = g.edges.join(g.nodes.where("kind = 'Gene'").select(F.col("id").alias("src")), "src", "left_semi")
-    return e.groupBy(F.col("src").alias("id"), "metaedge").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("dst")), " ").alias("ends"))
+    e = T.cut(g.edges.join(g.nodes.where("kind = 'Gene'").select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), "metaedge", "dst"))
+    n = e.groupBy("id", "metaedge").agg(F.count(F.lit(1)).alias("n"))
+    return X.numbered(e, ["id", "metaedge"], ["dst"]).join(n, ["id", "metaedge"]).select("id", "metaedge", "dst", "place", "n")
 
 
 def _bfs_sql(seed: str, depth: int, step: str) -> str:

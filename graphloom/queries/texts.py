@@ -217,8 +217,10 @@ def span_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("entity_candidates")
 def entity_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Of each name that is similar to others of its kind: the number of its links and the best of them."""
     forms = Z.distinct_forms(latest_nodes(table(spark, d, "graph_nodes")))
-    return Z.candidates(forms).select("kind", "a", "b", F.round("similarity", 6).alias("similarity"))
+    pairs = Z.unblocked(Z.candidates(forms)).withColumn("similarity", F.round("similarity", 6))
+    return Z.links(pairs)
 
 
 @R.add("resolve_entities")
@@ -283,13 +285,18 @@ def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     return S.inverse_frequency(docs, "doc_id", "w").select("term", F.round("idf", 6).alias("idf"))
 
 
-@R.add("citations")
+@R.add(
+    "citations",
+    f"""WITH T AS (SELECT d.doc_id AS id, list_distinct({WORDS.format(c='title')}) AS w, CAST(v.embedding AS DOUBLE[]) AS v FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id WHERE d.title IS NOT NULL AND v.embedding IS NOT NULL),
+    X AS (SELECT p.id AS piece, s.id AS source, round(0.1 * len(list_intersect(p.w, s.w)) / greatest(1, len(list_distinct(list_concat(p.w, s.w)))) + 0.9 * list_cosine_similarity(p.v, s.v), 9) AS score FROM T p JOIN T s ON true WHERE p.id % 50 = 0)
+    SELECT piece, source, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY score DESC, source) AS rank FROM X WHERE score > 0.3) WHERE rank <= 3""",
+)
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    """Titles with a vector cite the titles of others: shared words and near vectors."""
+    """Titles with a vector cite the titles of others: shared words and near vectors above a score."""
     v = table(spark, d, "embeddings").where("embedding is not null")
     t = _docs(spark, d).where("title is not null").select(F.col("doc_id").alias("vec_id"), X.words(F.col("title")).alias("words")).join(v, "vec_id")
     pieces = t.where("vec_id % 50 = 0").select(F.col("vec_id").alias("piece"), "words", F.col("embedding").alias("v"))
-    return S.citations(pieces, t.select(F.col("vec_id").alias("source"), "words", F.col("embedding").alias("v")), least=0.0)
+    return S.citations(pieces, t.select(F.col("vec_id").alias("source"), "words", F.col("embedding").alias("v")), least=0.3).withColumn("score", F.round("score", 6))
 
 
 @R.add("quality_levels", "SELECT CASE WHEN w >= 0.9 THEN 'excellent' WHEN w >= 0.8 THEN 'very good' WHEN w >= 0.7 THEN 'good' WHEN w >= 0.6 THEN 'fair' WHEN w >= 0.5 THEN 'weak' ELSE 'poor' END AS value, CAST(count(*) AS BIGINT) AS n FROM (SELECT coalesce(weight, 0) AS w FROM graph_edges) GROUP BY 1")

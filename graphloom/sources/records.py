@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 FIELDS = ("source", "relation", "target", "weight", "evidence", "observed_on", "note")
@@ -107,15 +107,17 @@ def tokenize(lines: list[str | None], header: str = "\t".join(FIELDS), n_fields:
     return out
 
 
-def _token_batches(parts: Iterator[pd.DataFrame], line: str) -> Iterator[pd.DataFrame]:
-    for p in parts:
-        got = tokenize([None if x is None or x is pd.NA else x for x in p[line].tolist()])
-        yield pd.concat([p.drop(columns=[line]).reset_index(drop=True), pd.DataFrame(got, columns=["status", "reason", "error_at", "fields"]).astype({"error_at": "Int32"})], axis=1)
+def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = tokenize(b.column(1).to_pylist())
+        status, reason, at, fields = zip(*got) if got else ((), (), (), ())
+        cols = [pa.array(status, pa.string()), pa.array(reason, pa.string()), pa.array([None if x is None else int(x) for x in at], pa.int32()), pa.array(fields, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["rid", "status", "reason", "error_at", "fields"])
 
 
 def _first_fault(kinds: list[str], relations: list[str]) -> tuple[Column, dict[str, Column]]:
     f = {name: F.col("fields")[i] for i, name in enumerate(FIELDS)}
-    node = "^(" + "|".join(k.replace("\\", "\\\\") for k in kinds) + ")::(?s:.)+$"
+    node = "^(" + "|".join(f"\\Q{k}\\E" for k in kinds) + ")::(?s:.)+$"
     number = f["weight"].try_cast("double")
     day = f["observed_on"].try_cast("date")
     typed = {
@@ -145,7 +147,7 @@ def parse_edge_records(raw: DataFrame, kinds: list[str], relations: list[str], i
     ``kinds`` and ``relations`` are the small fixed vocabularies of node kinds and metaedges.
     """
     plain = raw.select(F.col(id_col).cast("bigint").alias("rid"), F.col(line_col).cast("string").alias("text"))
-    tokens = plain.mapInPandas(lambda it: _token_batches(it, "text"), f"rid bigint, {TOKENS}")
+    tokens = plain.mapInArrow(_token_batches, f"rid bigint, {TOKENS}")
     reason, typed = _first_fault(kinds, relations)
     fault = F.when(F.col("status") == "edge", reason)
     order = F.create_map(*[x for i, n in enumerate(FIELDS) for x in (F.lit(n), F.lit(i))])

@@ -169,3 +169,13 @@ def test_cascade_stages(spark):
     t = spark.createDataFrame([(x,) for x in asked], "token string")
     got = {r.token: (r.id, r.stage) for r in Q.cascade(t, n, spark.createDataFrame([("pq", "tp9k")], "token string, alias string")).collect()}
     assert got == {"TP9": ("g1", 2), "TP9K": ("g2", 2), "tp9k": ("g2", 2), "LIVER": ("d1", 2), "the liver cancer of": ("d2", 6), "pathway": ("p1", 5), "network": ("p1", 5), "کبد": ("d1", 7), "سرطان": ("d1", 7), "azzb": ("g3", 8), "pq": ("g2", 1)}
+
+
+def test_numbers_of_a_hot_key(spark):
+    from graphloom.operators.expand import numbered
+
+    rows = [("hot", i % 700) for i in range(3000)] + [(f"k{i}", 0) for i in range(50)]
+    got = numbered(spark.createDataFrame(rows, "k string, v int").repartition(4), ["k"], ["v"]).collect()
+    hot = sorted((r.place, r.v) for r in got if r.k == "hot")
+    assert [p for p, _ in hot] == list(range(1, 3001)) and [v for _, v in hot] == sorted(v for k, v in rows if k == "hot")
+    assert all(r.place == 1 for r in got if r.k != "hot")
