@@ -99,18 +99,22 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 20, scale_ever
 def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, betweenness) from the given sources: shares of shortest paths, accumulated level by level (Brandes).
 
-    Distances and path counts come from a level-synchronous walk of all sources at once and the dependencies from the
-    levels in reverse, so neither holds a graph in one task.
+    One level-synchronous walk of all sources at once gives distances and path counts, and the dependencies come from the
+    levels in reverse, so neither holds a graph in one task. A level is kept with its counts; nodes seen before are
+    dropped from the next.
     """
     steps = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    dist = seeded_bfs(edges, sources, max_depth)
-    levels = [cut(dist.where("depth = 0").select("seed", "id", F.lit(1.0).alias("paths")))]
+    levels = [cut(sources.select("id").distinct().select(F.col("id").alias("seed"), "id", F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("seed", "id")
     for d in count(1) if max_depth is None else range(1, max_depth + 1):
         reach = levels[-1].select("seed", F.col("id").alias("src"), "paths").join(steps, "src").groupBy("seed", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        level = cut(reach.join(dist.where(F.col("depth") == d).select("seed", "id"), ["seed", "id"]))
-        if level.isEmpty():
+        level = cut(reach.join(seen, ["seed", "id"], "left_anti"), F.count(F.lit(1)).alias("n"))
+        if not measured(level)["n"]:
             break
         levels.append(level)
+        seen = seen.unionByName(level.select("seed", "id"))
+        if d % 16 == 0:
+            seen = cut(seen)
     below = levels[-1].withColumn("dep", F.lit(0.0))
     total = below.select("seed", "id", "dep")
     for level in reversed(levels[:-1]):

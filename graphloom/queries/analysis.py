@@ -277,7 +277,7 @@ B AS (SELECT seed, id, depth, 0.0::DOUBLE AS dep FROM M WHERE depth = (SELECT ma
 
 @R.add("betweenness_seeds", f"WITH RECURSIVE {GRAPH_SQL}, {SEEDS_SQL}, {STEP_SQL}, {BRANDES} SELECT id, round(sum(dep), 6) AS betweenness FROM B WHERE seed <> id GROUP BY id")
 def betweenness_seeds(spark: SparkSession, d: str) -> DataFrame:
-    g = load(spark, d).kept
+    g = load(spark, d)  # read once by the walk's own table of steps
     return A.betweenness(g.edges, seeds(g, "Compound", 3)).withColumn("betweenness", F.round("betweenness", 6))
 
 
