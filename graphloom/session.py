@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 _SHIPPED: set[str] = set()
+_WRITTEN: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -67,6 +68,7 @@ def cut(df: DataFrame, *measures: Column) -> DataFrame:
     seen = Observation()
     (df.observe(seen, *measures) if measures else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
     out._cut = (path, seen.get if measures else {})
     return out
 
@@ -76,18 +78,40 @@ def measured(df: DataFrame) -> dict:
     return df._cut[1]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and nothing reads any more, such as the state of an earlier round."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut[0])
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._cut[0])
+        if df._cut[0] in _WRITTEN:
+            _WRITTEN.remove(df._cut[0])
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table that ``cut`` wrote in this process, once their results are used; gives their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+    return n
+
+
+#: Operators above a scan after which rows are spread already.
+_SPREAD_BY = ("Aggregate", "Join", "Sort", "RepartitionBy", "Repartition", "Window", "Distinct", "Deduplicate")
 
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
     For costly Python operators over few or small files. Spark splits larger inputs by itself: they stay as they are,
-    so this shuffles no more than a few megabytes a core.
+    so this shuffles no more than a few megabytes a core. What comes from a shuffle stays as it is, too, and is not
+    planned twice.
     """
+    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+    if any(f"{x} " in plan or f"{x}(" in plan for x in _SPREAD_BY):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -179,3 +179,20 @@ def test_numbers_of_a_hot_key(spark):
     hot = sorted((r.place, r.v) for r in got if r.k == "hot")
     assert [p for p, _ in hot] == list(range(1, 3001)) and [v for _, v in hot] == sorted(v for k, v in rows if k == "hot")
     assert all(r.place == 1 for r in got if r.k != "hot")
+
+
+def test_written_tables_are_released_and_spread_leaves_shuffles_alone(spark):
+    import os
+
+    from graphloom import session as N
+
+    df = spark.range(10).toDF("id")
+    a, b = N.cut(df, F.count(F.lit(1)).alias("n")), N.cut(df.where("false"), F.count(F.lit(1)).alias("n"))
+    assert N.measured(a) == {"n": 10} and N.measured(b) == {"n": 0}
+    paths = [x._cut[0].removeprefix("file:") for x in (a, b)]
+    paths = ["/" + p.lstrip("/") for p in paths]
+    assert all(map(os.path.isdir, paths))
+    N.discard(a)
+    assert not os.path.isdir(paths[0]) and paths[1].split("/")[-1] in {w.split("/")[-1] for w in N._WRITTEN}
+    grouped = df.groupBy("id").count()
+    assert N.spread(grouped) is grouped and N.spread(spark.range(1, numPartitions=1)).rdd.getNumPartitions() >= 8
