@@ -108,6 +108,42 @@ def similar_pairs(x: list[str], y: list[str], threshold: float) -> tuple[np.ndar
     return i[kept], j[kept], exact[kept]
 
 
+def close_pairs(x: list[str], y: list[str], share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, edits) of all x[i], y[j] at most ``share`` of the longer one's length in edits apart; ``y`` is of one length.
+
+    An edit makes up for one character at most, so the longer length less the characters two have in common, repeats
+    counted, bounds their edits; only pairs that this bound lets through are compared, many a step, by columns of bits.
+    What is longer than a word of bits isn't compared: these pairs come with -1.
+    """
+    chars = {c: n for n, c in enumerate(sorted(set().union(*x, *y)))}
+    (cx, nx, bx), (cy, ny, by) = _coded(x, chars), _coded(y, chars)
+    levels = range(1, min(bx.max(), by.max()) + 1)
+    ux, uy = (np.concatenate([b >= level for level in levels] or [b > b], axis=1) for b in (bx, by))
+    shared = ux.any(0) & uy.any(0)
+    longer = np.maximum(nx, ny[0])
+    most = np.floor(share * longer + 1e-9).astype(np.int64)
+    i, j = np.nonzero(ux[:, shared].astype(np.float32) @ uy[:, shared].astype(np.float32).T >= (longer - most)[:, None].astype(np.float32))
+    at = np.zeros((len(x), len(chars) + 1), np.uint64)
+    for p in range(min(64, cx.shape[1])):
+        at[np.arange(len(x)), cx[:, p]] |= np.uint64(1) << np.uint64(p)
+    edits, one = np.full(len(i), -1, np.int64), np.uint64(1)
+    short = np.nonzero(nx[i] <= 64)[0]
+    for begin in range(0, len(short), 1 << 14):
+        k = short[begin : begin + (1 << 14)]
+        a, b = i[k], j[k]
+        up, down = np.full(len(k), ~np.uint64(0)), np.zeros(len(k), np.uint64)
+        for p in range(cy.shape[1]):
+            eq = at[a, cy[b, p]]
+            across = ((eq & up) + up ^ up) | eq
+            rise, fall = (down | ~(across | up)) << one | one, (up & across) << one
+            eq |= down
+            up, down = fall | ~(eq | rise), rise & eq
+        own = ~np.uint64(0) >> (64 - nx[a]).astype(np.uint64)
+        edits[k] = ny[0] + np.bitwise_count(up & own).astype(np.int64) - np.bitwise_count(down & own)
+    kept = edits <= most[i]
+    return i[kept], j[kept], edits[kept]
+
+
 @F.pandas_udf(StringType())
 def entity_form_udf(s: pd.Series) -> pd.Series:
     return s.map(entity_form)

@@ -7,35 +7,45 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.functions.python import entity_form_udf, similar_pairs
+from graphloom.functions.python import close_pairs, entity_form_udf, similar_pairs
 from graphloom.session import cut, shuffle_width
 
 BLOCK = 1024
 
 
-def close_names(asked: DataFrame, names: DataFrame, least: float = 0.8) -> DataFrame:
-    """(asked, name, similarity): names(x) within a share of edits of ``asked(x)``, other than itself; none is lost.
+def close_names(asked: DataFrame, names: DataFrame, least: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(asked, name, similarity): distinct names(x) within a share of edits of distinct ``asked(x)``, other than itself.
 
-    One edit changes at most two pairs of neighbouring letters. Of the G distinct pairs of an asked name all but
-    2 d stand in a name d edits away, so the two share one of its 2 d + 1 rarest pairs, and meet there; the longest
-    name in reach gives the largest d. Where a name has no more pairs than that, lengths decide who is met.
+    Names of a length meet the asked ones that it is in reach of; both are cut into blocks by hash, so that a task holds
+    a bounded number of pairs. Names built on one pattern share most of their letters and are close in masses: pairs are
+    weighed as matrices, and each is compared once. None is lost.
     """
-    pairs_of = lambda c: F.array_distinct(F.transform(F.when(F.length(c) > 1, F.sequence(F.lit(1), F.length(c) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, 2)))
-    n = cut(names.select("x", F.length("x").alias("n"), pairs_of(F.col("x")).alias("g")))
-    index = n.select(F.col("x").alias("name"), "n", F.explode("g").alias("pair"))
-    common = index.groupBy("pair").agg(F.count(F.lit(1)).alias("df"))
     share = 1 - least
-    longest = F.floor(F.length("x") / least + 1e-9)
-    q = asked.select("x", F.length("x").alias("qn"), pairs_of(F.col("x")).alias("g"), F.floor(share * longest + 1e-9).cast("int").alias("d"))
-    reach = F.col("n").between(F.ceil(least * F.col("qn") - 1e-9), F.floor(F.col("qn") / least + 1e-9))
-    ranked = q.where(F.size("g") > 2 * F.col("d")).select("x", "qn", "d", F.explode("g").alias("pair")).join(common, "pair", "left")
-    own = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pair")))
-    rare = ranked.groupBy("x", "qn", "d").agg(own.alias("s")).select("x", "qn", F.explode(F.slice("s", 1, 2 * F.col("d") + 1)).alias("s")).select("x", "qn", F.col("s.pair").alias("pair"))
-    met = rare.join(index, "pair").where(reach).select("x", "name").distinct()
-    short = q.where(F.size("g") <= 2 * F.col("d")).select("x", "qn", F.explode(F.sequence(F.ceil(least * F.col("qn") - 1e-9).cast("int"), F.floor(F.col("qn") / least + 1e-9).cast("int"))).alias("n"))
-    both = met.unionByName(short.join(n.select(F.col("x").alias("name"), "n"), "n").select("x", "name")).where("x <> name")
-    edits, most = F.levenshtein("x", "name"), F.greatest(F.length("x"), F.length("name"))
-    return both.where(edits <= share * most + 1e-9).select(F.col("x").alias("asked"), "name", (1 - edits / most).alias("similarity"))
+    count = lambda df, name: df.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    n = cut(names.select("x", F.length("x").alias("n")).where("n > 0"))
+    reach = F.sequence(F.ceil(least * F.length("x") - 1e-9).cast("int"), F.floor(F.length("x") / least + 1e-9).cast("int"))
+    q = cut(asked.where("x <> ''").select("x", F.explode(reach).alias("n")).join(F.broadcast(count(n, "nb")), "n"))
+    blocks = cut(count(q, "nq").join(count(n, "nb"), "n"))
+    groups = blocks.agg(F.sum(F.col("nq").cast("bigint") * F.col("nb"))).first()[0] or 1
+    q = q.drop("nb")
+    own = lambda parts: F.pmod(F.xxhash64("x"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = q.join(F.broadcast(blocks), "n").select("n", own("nq").alias("i"), each("nb").alias("j"), "x", F.lit(True).alias("q"))
+    right = n.join(F.broadcast(blocks), "n").select("n", each("nq").alias("i"), own("nb").alias("j"), "x", F.lit(False).alias("q"))
+    parts = max(shuffle_width(names.sparkSession), int(groups) // 16)
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows.x[rows.q].to_numpy(), rows.x[~rows.q].to_numpy()
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=["asked", "name", "edits"])
+        p, r, edits = close_pairs(list(x), list(y), share)
+        return pd.DataFrame({"asked": x[p], "name": y[r], "edits": edits})[edits != 0]
+
+    met = left.unionByName(right).repartition(parts, "n", "i", "j").groupBy("n", "i", "j").applyInPandas(meet, "asked string, name string, edits int")
+    most = F.greatest(F.length("asked"), F.length("name"))
+    edits = F.when(F.col("edits") < 0, F.levenshtein("asked", "name")).otherwise(F.col("edits"))
+    near = met.select("asked", "name", edits.alias("edits"), most.alias("most")).where("asked <> name").where(F.col("edits") <= share * F.col("most") + 1e-9)
+    return near.select("asked", "name", (1 - F.col("edits") / F.col("most")).alias("similarity"))
 
 
 def candidates(entities: DataFrame, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -40,6 +41,38 @@ def test_candidates_and_groups_whole(spark, block):
     assert {(r.kind, r.form): r.leader for r in groups} == leader
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_close_names_whole(spark, block):
+    stem = "acute delsel pain " + "x" * 44
+    names = sorted({n for _, n, _ in _names()} | {"", "a", "b", "ab", "aba", "abab", "babab", "дар", "дара", "дарами", "дарамы", "a𝄞cde", "abcde"} | {stem + t for t in ("yy", "yyy", "zz", "zyyy")})
+    asked = names[::2]
+    n, q = (spark.createDataFrame([(x,) for x in rows], "x string") for rows in (names, asked))
+    rows = [(r.asked, r.name, r.similarity) for r in Z.close_names(q, n, block=block).collect()]
+    want = {(a, b): 1 - e / most for a in asked for b in names if a != b and (e := _edits(a, b)) <= 0.2 * (most := max(len(a), len(b))) + 1e-9}
+    assert len(rows) == len(want) and {r[:2]: r[2] for r in rows} == pytest.approx(want, abs=1e-12)
+
+
+def test_close_names_of_one_pattern_in_time(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdklmnprst") + rng.choice("aeiou") for _ in range(4))
+    names = sorted({f"positive control of {word()} {word()} transport" for _ in range(6000)})
+    n, q = (spark.createDataFrame([(x,) for x in rows], "x string") for rows in (names, names[::12]))
+    began = time.monotonic()
+    got = {(r.asked, r.name) for r in Z.close_names(q, n).collect()}
+    assert time.monotonic() - began < 45
+    few = names[::480]
+    assert {p for p in got if p[0] in few[:2]} == {(a, b) for a in few[:2] for b in names if a != b and _edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9}
+
+
 def test_citations_meet_without_common_words(spark):
     from graphloom.operators import search as S
 
